@@ -3,6 +3,7 @@
 from ledgerloom.functions.numeric import (
     as_double,
     half_even,
+    half_up,
     level,
     money,
     quotient,
@@ -10,4 +11,4 @@ from ledgerloom.functions.numeric import (
     zero_if_null,
 )
 
-__all__ = ["as_double", "half_even", "level", "money", "quotient", "weighted_mean", "zero_if_null"]
+__all__ = ["as_double", "half_even", "half_up", "level", "money", "quotient", "weighted_mean", "zero_if_null"]

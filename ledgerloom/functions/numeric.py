@@ -35,8 +35,18 @@ def weighted_mean(value: Column, weight: Column) -> Column:
 
 
 def half_even(c: Column, places: int = 0) -> Column:
-    """Rounding with ties to the even digit."""
-    return F.bround(c, places)
+    """A DOUBLE rounded to the nearest decimal, judged on its exact binary value, ties to even.
+
+    ``bround`` would judge the printed digits instead: 0.15 is a little less
+    than it prints and belongs to 0.1.
+    """
+    return F.replace(F.format_number(as_double(c), places), F.lit(","), F.lit("")).cast("double")
+
+
+def half_up(c: Column, places: int) -> Column:
+    """A DOUBLE scaled, rounded with ties away from zero, and scaled back: rounding as SQL engines do it."""
+    scale = float(10**places)
+    return F.round(as_double(c) * scale) / scale
 
 
 def level(c: Column, high: float, medium: float) -> Column:

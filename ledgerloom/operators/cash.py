@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import as_double, half_even, money, weighted_mean, zero_if_null
+from ledgerloom.functions import as_double, half_even, half_up, money, weighted_mean, zero_if_null
 from ledgerloom.operators.classes import running_share
 from ledgerloom.plans.lineage import materialize
 from ledgerloom.plans.order import running_groups
@@ -179,7 +179,7 @@ def _mean_days(df: DataFrame, key: str, days: str, name: str) -> DataFrame:
     mean = as_double(F.sum(days)) / F.nullif(F.count(days), F.lit(0))
     return (
         df.groupBy(key)
-        .agg(F.round(mean, 1).alias(name), F.count(F.lit(1)).alias("invoices"))
+        .agg(half_up(mean, 1).alias(name), F.count(F.lit(1)).alias("invoices"))
         .orderBy(F.col(name).desc_nulls_last(), F.col(key).asc_nulls_last())
     )
 
@@ -193,7 +193,7 @@ def dso_by_customer(t: Tables, limit: int = 20) -> DataFrame:
     slowest = (
         paid.groupBy("customer_id")
         .agg(
-            F.round(weighted_mean(F.col("days_to_pay"), F.col("invoice_amount")), 1).alias("weighted_dso"),
+            half_up(weighted_mean(F.col("days_to_pay"), F.col("invoice_amount")), 1).alias("weighted_dso"),
             F.count(F.lit(1)).alias("invoices"),
             money(F.sum("invoice_amount")).alias("total_billed"),
         )
@@ -226,7 +226,7 @@ def dpo_by_supplier(t: Tables) -> DataFrame:
         t["ap_ledger"]
         .groupBy("supplier_id")
         .agg(
-            F.round(weighted_mean(F.col("actual_days_to_pay"), F.col("invoice_amount")), 1).alias("weighted_dpo"),
+            half_up(weighted_mean(F.col("actual_days_to_pay"), F.col("invoice_amount")), 1).alias("weighted_dpo"),
             F.count(F.lit(1)).alias("invoices"),
             money(F.sum("early_payment_discount")).alias("total_discounts"),
         )
@@ -252,7 +252,7 @@ def shipment_tracking(t: Tables, status: str | None = None) -> DataFrame:
         F.count(F.lit(1)).alias("count"),
         F.sum("qty_shipped").alias("total_qty"),
         money(F.sum("freight_cost")).alias("total_freight"),
-        F.round(delay, 1).alias("avg_delay"),
+        half_up(delay, 1).alias("avg_delay"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import as_double, money, quotient
+from ledgerloom.functions import as_double, half_up, money, quotient
 from ledgerloom.plans.lineage import materialize
 from ledgerloom.plans.order import running_groups
 from ledgerloom.plans.totals import total
@@ -57,7 +57,7 @@ def revenue_classes(sales: DataFrame, limit: int | None) -> DataFrame:
             "product_id",
             "rev",
             money(F.col("rev"), 2).alias("revenue"),
-            F.round("pct", 2).alias("revenue_pct"),
+            half_up(F.col("pct"), 2).alias("revenue_pct"),
             abc_class(F.col("cum_pct")).alias("abc"),
             xyz_class(variation).alias("xyz"),
             F.round(variation, 6).alias("variability_score"),

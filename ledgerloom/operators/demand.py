@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import as_double, half_even, level, money, quotient, zero_if_null
+from ledgerloom.functions import as_double, half_even, half_up, level, money, quotient, zero_if_null
 from ledgerloom.plans.totals import total
 from ledgerloom.tables import Tables
 
@@ -126,7 +126,7 @@ def sales_velocity(t: Tables, limit: int | None = 30) -> DataFrame:
             "product_id",
             "total_sold",
             "sale_days",
-            F.round(as_double(F.col("total_sold")) / F.nullif(F.nullif("sale_days", F.lit(1)), F.lit(0)), 2).alias(
+            half_up(as_double(F.col("total_sold")) / F.nullif(F.nullif("sale_days", F.lit(1)), F.lit(0)), 2).alias(
                 "daily_velocity"
             ),
             "total_revenue",

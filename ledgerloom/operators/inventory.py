@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import as_double, half_even, money, quotient, zero_if_null
+from ledgerloom.functions import as_double, half_even, half_up, money, quotient, zero_if_null
 from ledgerloom.operators.classes import class_columns, revenue_classes
 from ledgerloom.plans.snapshot import latest_snapshot
 from ledgerloom.plans.totals import unpivot_row
@@ -169,7 +169,7 @@ def inventory_turnover(t: Tables, limit: int | None = 50) -> DataFrame:
         value.alias("inventory_value"),
         zero_if_null(F.col("total_sold")).alias("total_sold"),
         revenue.alias("revenue"),
-        F.when(value > 0, F.round(revenue / value, 2)).otherwise(0.0).alias("turnover_ratio"),
+        F.when(value > 0, half_up(revenue / value, 2)).otherwise(0.0).alias("turnover_ratio"),
     )
     return _top(rows, [F.col("turnover_ratio").desc_nulls_last(), F.col("product_id").asc_nulls_last()], limit)
 

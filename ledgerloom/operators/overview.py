@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import as_double, half_even, money, weighted_mean, zero_if_null
+from ledgerloom.functions import as_double, half_even, half_up, money, weighted_mean, zero_if_null
 from ledgerloom.plans.snapshot import latest_snapshot
 from ledgerloom.plans.totals import side_by_side
 from ledgerloom.tables import MissingTable, Tables
@@ -17,7 +17,7 @@ def _or_zero(total: Column) -> Column:
 
 def _mean(column: str, places: int) -> Column:
     """Mean of the known values, summed before dividing."""
-    return zero_if_null(F.round(as_double(F.sum(column)) / F.nullif(F.count(column), F.lit(0)), places))
+    return zero_if_null(half_up(as_double(F.sum(column)) / F.nullif(F.count(column), F.lit(0)), places))
 
 
 def full_dashboard(t: Tables) -> DataFrame:
@@ -143,6 +143,6 @@ def kpi_record(t: Tables, date: str | None = None) -> DataFrame:
     """One row for the KPI history: the summary plus revenue per unit of stock value."""
     day = F.lit(date).cast("date") if date else F.current_date()
     sales = t["sales_transactions"].agg(money(F.sum("total_revenue")).alias("revenue"))
-    turnover = F.round(F.col("revenue") / F.nullif(F.col("stock"), F.lit(0.0)), 2)
+    turnover = half_up(F.col("revenue") / F.nullif(F.col("stock"), F.lit(0.0)), 2)
     row = side_by_side(t.spark, [kpi_summary(t), sales, _stock_value(t)])
     return row.select(day.alias("date"), "dio", "dso", "dpo", "ccc", turnover.alias("inventory_turnover"))

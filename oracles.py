@@ -149,7 +149,7 @@ def _trend(period: str) -> str:
             FROM sales_transactions GROUP BY 1),
         q AS (SELECT *, lag(revenue) OVER (ORDER BY period) AS prev FROM p)
         SELECT period, revenue, units, skus,
-               CASE WHEN prev > 0 THEN round_even((revenue - prev) / prev * 100, 1) WHEN prev IS NOT NULL THEN 0 END
+               CASE WHEN prev > 0 THEN CAST(printf('%.1f', (revenue - prev) / prev * 100) AS DOUBLE) WHEN prev IS NOT NULL THEN 0 END
                    AS growth_pct
         FROM q"""
 
@@ -198,10 +198,10 @@ def oracle_queries(scenarios: list[tuple], as_of: str, free_sql: str, sales_type
     latest_value = "(SELECT CAST(sum(inventory_value) AS DOUBLE) FROM latest)"
     kpi = f"""
         WITH n AS (
-            SELECT round_even({latest_value}
-                       / ((SELECT CAST(sum(total_cost) AS DOUBLE) / count(DISTINCT transaction_date) FROM sales_transactions)), 1) AS dio,
-                   round_even((SELECT {_weighted('days_to_pay')} FROM paid), 1) AS dso,
-                   round_even((SELECT {_weighted('actual_days_to_pay')} FROM ap_ledger WHERE actual_days_to_pay IS NOT NULL), 1) AS dpo)"""
+            SELECT CAST(printf('%.1f', {latest_value}
+                       / ((SELECT CAST(sum(total_cost) AS DOUBLE) / count(DISTINCT transaction_date) FROM sales_transactions))) AS DOUBLE) AS dio,
+                   CAST(printf('%.1f', (SELECT {_weighted('days_to_pay')} FROM paid)) AS DOUBLE) AS dso,
+                   CAST(printf('%.1f', (SELECT {_weighted('actual_days_to_pay')} FROM ap_ledger WHERE actual_days_to_pay IS NOT NULL)) AS DOUBLE) AS dpo)"""
     top_customers = """
         WITH g AS (SELECT customer_id, sum(total_revenue) AS rev, count(DISTINCT product_id) AS unique_products
                    FROM sales_transactions GROUP BY customer_id),
@@ -218,12 +218,12 @@ def oracle_queries(scenarios: list[tuple], as_of: str, free_sql: str, sales_type
         return f"""
         WITH s AS (SELECT *, ({x} - avg({x}) OVER ()) / nullif(stddev_samp({x}) OVER (), 0) AS z FROM sales_transactions)"""
 
-    def anomalies(x: str) -> str:
-        return f"{scored(x)} SELECT * EXCLUDE (z), round(z, 6) AS z_score FROM s WHERE abs(z) > 2"
+    def anomalies(x: str, bound: float = 2) -> str:
+        return f"{scored(x)} SELECT * EXCLUDE (z), round(z, 6) AS z_score FROM s WHERE abs(z) > {bound}"
 
-    def anomaly_count(x: str) -> str:
+    def anomaly_count(x: str, bound: float = 2) -> str:
         return f"""{scored(x)}
-            SELECT count(*) AS total_rows, count(*) FILTER (abs(z) > 2) AS anomalies_found FROM s"""
+            SELECT count(*) AS total_rows, count(*) FILTER (abs(z) > {bound}) AS anomalies_found FROM s"""
 
     single = """
         WITH one AS (SELECT product_id, min(supplier_id) AS supplier_id FROM edges GROUP BY product_id HAVING count(*) = 1)"""
@@ -263,16 +263,16 @@ def oracle_queries(scenarios: list[tuple], as_of: str, free_sql: str, sales_type
             CROSS JOIN
             (SELECT count(*) AS po_count, {_long('sum(qty_ordered)')} AS po_qty,
                     {_double('sum(total_po_value)')} AS po_value FROM purchase_orders)""",
-        "kpi_summary": f"{kpi} SELECT dio, dso, dpo, round_even(dio + dso - dpo, 1) AS ccc FROM n",
+        "kpi_summary": f"{kpi} SELECT dio, dso, dpo, CAST(printf('%.1f', dio + dso - dpo) AS DOUBLE) AS ccc FROM n",
         "kpi_record": f"""{kpi}
-            SELECT DATE '{as_of}' AS date, dio, dso, dpo, round_even(dio + dso - dpo, 1) AS ccc,
+            SELECT DATE '{as_of}' AS date, dio, dso, dpo, CAST(printf('%.1f', dio + dso - dpo) AS DOUBLE) AS ccc,
                    round((SELECT CAST(sum(total_revenue) AS DOUBLE) FROM sales_transactions) / {latest_value}, 2)
                        AS inventory_turnover
             FROM n""",
         "kpi_simple": f"""
-            WITH n AS (SELECT round_even((SELECT {_double('sum(qty_on_hand * unit_cost)')} FROM latest)
-                / (SELECT {_double('sum(total_revenue)')} / count(DISTINCT transaction_date) FROM sales_transactions), 1) AS dio)
-            SELECT dio, 30.0::DOUBLE AS dso, 0.0::DOUBLE AS dpo, round_even(dio + 30.0::DOUBLE, 1) AS ccc FROM n""",
+            WITH n AS (SELECT CAST(printf('%.1f', (SELECT {_double('sum(qty_on_hand * unit_cost)')} FROM latest)
+                / (SELECT {_double('sum(total_revenue)')} / count(DISTINCT transaction_date) FROM sales_transactions)) AS DOUBLE) AS dio)
+            SELECT dio, 30.0::DOUBLE AS dso, 0.0::DOUBLE AS dpo, CAST(printf('%.1f', dio + 30.0::DOUBLE) AS DOUBLE) AS ccc FROM n""",
         "data_quality_report": _quality(),
         "null_counts": _null_counts(),
         "check_quality": """
@@ -300,17 +300,17 @@ def oracle_queries(scenarios: list[tuple], as_of: str, free_sql: str, sales_type
             x AS (SELECT p.product_id, coalesce(nullif(sd, 0), 50.0) AS sigma,
                          coalesce(nullif(lead_time_days, 0), 14) AS lead_time
                   FROM products p LEFT JOIN s ON p.product_id = s.product_id)
-            SELECT product_id, CAST(round_even(1.65::DOUBLE * sigma * sqrt(lead_time), 0) AS BIGINT) AS safety_stock,
-                   round_even(sigma, 2) AS demand_std, lead_time, 1.65::DOUBLE AS z_score FROM x""",
+            SELECT product_id, CAST(CAST(printf('%.0f', 1.65::DOUBLE * sigma * sqrt(lead_time)) AS DOUBLE) AS BIGINT) AS safety_stock,
+                   CAST(printf('%.2f', sigma) AS DOUBLE) AS demand_std, lead_time, 1.65::DOUBLE AS z_score FROM x""",
         "eoq": """
             WITH s AS (SELECT product_id, sum(qty_sold) AS q, count(DISTINCT transaction_date) AS days
                        FROM sales_transactions GROUP BY product_id),
             x AS (SELECT p.product_id, CAST(coalesce(q, 0) AS DOUBLE) / greatest(coalesce(days, 1), 1) * 365 AS annual,
                          coalesce(nullif(CAST(unit_cost AS DOUBLE), 0), 10.0) AS unit_cost
                   FROM products p LEFT JOIN s ON p.product_id = s.product_id),
-            y AS (SELECT *, CAST(round_even(sqrt(2 * annual * 50 / (unit_cost * 0.25::DOUBLE)), 0) AS BIGINT) AS eoq FROM x)
-            SELECT product_id, eoq, CAST(round_even(annual, 0) AS BIGINT) AS annual_demand, unit_cost,
-                   CASE WHEN eoq > 0 THEN round_even(annual / eoq, 1) ELSE 0 END AS orders_per_year FROM y""",
+            y AS (SELECT *, CAST(CAST(printf('%.0f', sqrt(2 * annual * 50 / (unit_cost * 0.25::DOUBLE))) AS DOUBLE) AS BIGINT) AS eoq FROM x)
+            SELECT product_id, eoq, CAST(CAST(printf('%.0f', annual) AS DOUBLE) AS BIGINT) AS annual_demand, unit_cost,
+                   CASE WHEN eoq > 0 THEN CAST(printf('%.1f', annual / eoq) AS DOUBLE) ELSE 0 END AS orders_per_year FROM y""",
         "inventory_turnover": f"""
             WITH i AS (SELECT product_id, sum(qty_on_hand) AS qty, avg(CAST(unit_cost AS DOUBLE)) AS unit_cost,
                               {_double('sum(unit_cost)')} / count(unit_cost) AS mean_cost, {_double('sum(inventory_value)')} AS v
@@ -376,16 +376,16 @@ def oracle_queries(scenarios: list[tuple], as_of: str, free_sql: str, sales_type
         # cash cycle
         "ccc_scenarios": f"""
             WITH {_scenarios(scenarios)}
-            SELECT scenario_id, round_even(annual, 2) AS annual_revenue, round_even(annual / 365, 2) AS daily_revenue,
-                   CAST(a + b + c AS INTEGER) AS total_days_saved, round_even((a + b + c) * (annual / 365), 2) AS total_cash_freed
+            SELECT scenario_id, CAST(printf('%.2f', annual) AS DOUBLE) AS annual_revenue, CAST(printf('%.2f', annual / 365) AS DOUBLE) AS daily_revenue,
+                   CAST(a + b + c AS INTEGER) AS total_days_saved, CAST(printf('%.2f', (a + b + c) * (annual / 365)) AS DOUBLE) AS total_cash_freed
             FROM priced""",
         "ccc_scenarios_breakdown": f"""
             WITH {_scenarios(scenarios)}
-            SELECT scenario_id, 'Reduce DIO by ' || a || 'd' AS action, round_even(a * (annual / 365), 2) AS cash FROM priced
+            SELECT scenario_id, 'Reduce DIO by ' || a || 'd' AS action, CAST(printf('%.2f', a * (annual / 365)) AS DOUBLE) AS cash FROM priced
             UNION ALL
-            SELECT scenario_id, 'Reduce DSO by ' || b || 'd', round_even(b * (annual / 365), 2) FROM priced
+            SELECT scenario_id, 'Reduce DSO by ' || b || 'd', CAST(printf('%.2f', b * (annual / 365)) AS DOUBLE) FROM priced
             UNION ALL
-            SELECT scenario_id, 'Increase DPO by ' || c || 'd', round_even(c * (annual / 365), 2) FROM priced""",
+            SELECT scenario_id, 'Increase DPO by ' || c || 'd', CAST(printf('%.2f', c * (annual / 365)) AS DOUBLE) FROM priced""",
         "working_capital_summary": f"""
             SELECT coalesce(product_id, 'unknown') AS product_id, {_long('qty')} AS total_units, {_double('v')} AS trapped_cash
             FROM stock ORDER BY v DESC, stock.product_id LIMIT 50""",
@@ -393,8 +393,8 @@ def oracle_queries(scenarios: list[tuple], as_of: str, free_sql: str, sales_type
             SELECT {_double('sum(v)')} AS total_cash_trapped FROM (SELECT v FROM stock ORDER BY v DESC, product_id LIMIT 50)""",
         "carrying_cost": f"""
             WITH n AS (SELECT {_double('sum(inventory_value)')} AS v FROM latest)
-            SELECT round_even(v, 2) AS total_inventory_value, 0.25::DOUBLE AS holding_rate,
-                   round_even(v * 0.25::DOUBLE, 2) AS annual_carrying_cost, round_even(v * 0.25::DOUBLE / 12, 2) AS monthly FROM n""",
+            SELECT CAST(printf('%.2f', v) AS DOUBLE) AS total_inventory_value, 0.25::DOUBLE AS holding_rate,
+                   CAST(printf('%.2f', v * 0.25::DOUBLE) AS DOUBLE) AS annual_carrying_cost, CAST(printf('%.2f', v * 0.25::DOUBLE / 12) AS DOUBLE) AS monthly FROM n""",
         "pareto": f"""
             SELECT product_id, {_double('v')} AS val, {_RUNNING} AS cum_pct FROM sold ORDER BY v DESC, product_id LIMIT 50""",
         "pareto_inventory": f"""
@@ -403,7 +403,7 @@ def oracle_queries(scenarios: list[tuple], as_of: str, free_sql: str, sales_type
         "pareto_summary": f"""
             WITH c AS (SELECT {_RUNNING} AS cum_pct FROM sold)
             SELECT 'revenue' AS dimension, count(*) AS total_skus, count(*) FILTER (cum_pct <= 80) AS skus_driving_80pct,
-                   round_even(count(*) FILTER (cum_pct <= 80) / count(*) * 100, 1) AS pct_of_skus FROM c""",
+                   CAST(printf('%.1f', count(*) FILTER (cum_pct <= 80) / count(*) * 100) AS DOUBLE) AS pct_of_skus FROM c""",
         "ar_aging": f"""
             SELECT aging_bucket, count(*) AS invoices, {_double('sum(invoice_amount)')} AS total_amount,
                    {_double('sum(CASE WHEN paid_date IS NULL THEN invoice_amount ELSE 0 END)')} AS outstanding
@@ -420,14 +420,14 @@ def oracle_queries(scenarios: list[tuple], as_of: str, free_sql: str, sales_type
                    count(*) AS invoices, {_double('sum(invoice_amount)')} AS total_billed
             FROM paid a LEFT JOIN customers c ON a.customer_id = c.customer_id
             GROUP BY a.customer_id, c.customer_name, c.segment ORDER BY weighted_dso DESC, a.customer_id LIMIT 20""",
-        "dso_overall": f"SELECT round_even({_weighted('days_to_pay')}, 1) AS overall_dso FROM paid",
+        "dso_overall": f"SELECT CAST(printf('%.1f', {_weighted('days_to_pay')}) AS DOUBLE) AS overall_dso FROM paid",
         "dpo_by_supplier": f"""
             SELECT a.supplier_id, s.supplier_name, round({_weighted('actual_days_to_pay')}, 1) AS weighted_dpo,
                    s.contracted_payment_days AS terms, count(*) AS invoices,
                    {_double('sum(early_payment_discount)')} AS total_discounts
             FROM ap_ledger a LEFT JOIN suppliers s ON a.supplier_id = s.supplier_id
             GROUP BY a.supplier_id, s.supplier_name, s.contracted_payment_days""",
-        "dpo_overall": f"SELECT round_even({_weighted('actual_days_to_pay')}, 1) AS overall_dpo FROM ap_ledger",
+        "dpo_overall": f"SELECT CAST(printf('%.1f', {_weighted('actual_days_to_pay')}) AS DOUBLE) AS overall_dpo FROM ap_ledger",
         "shipment_tracking": f"""
             SELECT status, count(*) AS count, {_long('sum(qty_shipped)')} AS total_qty,
                    {_double('sum(freight_cost)')} AS total_freight, round(avg(delay_days), 1) AS avg_delay
@@ -448,11 +448,11 @@ def oracle_queries(scenarios: list[tuple], as_of: str, free_sql: str, sales_type
             SELECT product_id, n AS historical_days, CAST(w AS BIGINT) AS window,
                    CASE WHEN n >= 14 AND ma > old * 1.1::DOUBLE THEN 'increasing'
                         WHEN n >= 14 AND ma < old * 0.9::DOUBLE THEN 'decreasing' ELSE 'stable' END AS trend,
-                   round_even(ma, 2) AS moving_average, round_even(ma * 30, 0) AS total_predicted FROM m""",
+                   CAST(printf('%.2f', ma) AS DOUBLE) AS moving_average, CAST(printf('%.0f', ma * 30) AS DOUBLE) AS total_predicted FROM m""",
         "detect_anomalies": anomalies("qty_sold"),
         "detect_anomalies_summary": anomaly_count("qty_sold"),
-        "detect_anomalies_revenue": anomalies("CAST(total_revenue AS DOUBLE)"),
-        "detect_anomalies_revenue_summary": anomaly_count("CAST(total_revenue AS DOUBLE)"),
+        "detect_anomalies_revenue": anomalies("CAST(total_revenue AS DOUBLE)", 1.5),
+        "detect_anomalies_revenue_summary": anomaly_count("CAST(total_revenue AS DOUBLE)", 1.5),
         "revenue_trends": _trend("CAST(date_trunc('month', transaction_date) AS DATE)"),
         "revenue_trends_weekly": _trend("CAST(date_trunc('week', transaction_date) AS DATE)"),
         "revenue_trends_daily": _trend("transaction_date"),
@@ -474,22 +474,22 @@ def oracle_queries(scenarios: list[tuple], as_of: str, free_sql: str, sales_type
             FROM top LEFT JOIN customers c ON top.customer_id = c.customer_id""",
         "customer_concentration_summary": f"""{top_customers}
             SELECT round(sum(revenue_pct), 6) AS top_pct, {_level('sum(revenue_pct)', 80, 50)} AS concentration_risk FROM top""",
-        "seasonality": f"{months} SELECT month, qty, revenue, round_even(qty / avg(qty) OVER (), 2) AS index_vs_avg FROM m",
+        "seasonality": f"{months} SELECT month, qty, revenue, CAST(printf('%.2f', qty / avg(qty) OVER ()) AS DOUBLE) AS index_vs_avg FROM m",
         "seasonality_summary": f"""{months}
             SELECT (SELECT month FROM m ORDER BY qty DESC, month LIMIT 1) AS peak_month,
                    (SELECT month FROM m ORDER BY qty, month LIMIT 1) AS low_month""",
         # suppliers
         "supplier_risk_scores": f"""
-            WITH x AS (SELECT *, round_even(least(100.0::DOUBLE, greatest(0.0::DOUBLE, (CAST(avg_lead_time_days AS DOUBLE) - 5) * 3)) * 0.3::DOUBLE
+            WITH x AS (SELECT *, CAST(printf('%.1f', least(100.0::DOUBLE, greatest(0.0::DOUBLE, (CAST(avg_lead_time_days AS DOUBLE) - 5) * 3)) * 0.3::DOUBLE
                 + greatest(0.0::DOUBLE, (1 - on_time_delivery_rate) * 200) * 0.4::DOUBLE
-                + quality_rejection_rate * 1000 * 0.3::DOUBLE, 1) AS score FROM suppliers)
+                + quality_rejection_rate * 1000 * 0.3::DOUBLE) AS DOUBLE) AS score FROM suppliers)
             SELECT supplier_id, supplier_name, score AS risk_score, {_level('score', 60, 30)} AS risk_level,
                    avg_lead_time_days AS lead_time, on_time_delivery_rate AS otd_rate, quality_rejection_rate AS qrr FROM x""",
         "supplier_performance": "SELECT * FROM suppliers",
         "supplier_concentration": f"{spend} SELECT supplier_id, orders, {_double('v')} AS total_value, value_pct FROM s",
         "supplier_concentration_summary": f"""{spend},
             t AS (SELECT sum(value_pct) AS pct FROM (SELECT * FROM s ORDER BY v DESC, supplier_id LIMIT 3))
-            SELECT round_even(pct, 1) AS top3_value_pct, {_level('pct', 80, 50)} AS concentration_risk FROM t""",
+            SELECT CAST(printf('%.1f', pct) AS DOUBLE) AS top3_value_pct, {_level('pct', 80, 50)} AS concentration_risk FROM t""",
         "supplier_network": """
             SELECT supplier_id, supplier_name, lead_time, product_id FROM edges JOIN vertices USING (supplier_id)""",
         "supplier_network_named": """
@@ -517,8 +517,8 @@ def oracle_queries(scenarios: list[tuple], as_of: str, free_sql: str, sales_type
         "lead_time_listing": "SELECT supplier_id, supplier_name, lead_time, rating FROM vertices",
         "lead_time_variability": """
             SELECT supplier_id, supplier_name, count(*) AS product_count,
-                   round_even(coalesce(avg(lead_time_days), 0), 1) AS avg_lead_time, min(lead_time_days) AS min_lead_time,
-                   max(lead_time_days) AS max_lead_time, round_even(coalesce(stddev_samp(lead_time_days), 0), 2) AS variability
+                   CAST(printf('%.1f', coalesce(avg(lead_time_days), 0)) AS DOUBLE) AS avg_lead_time, min(lead_time_days) AS min_lead_time,
+                   max(lead_time_days) AS max_lead_time, CAST(printf('%.2f', coalesce(stddev_samp(lead_time_days), 0)) AS DOUBLE) AS variability
             FROM edges e JOIN vertices USING (supplier_id) LEFT JOIN products p ON e.product_id = p.product_id
             GROUP BY supplier_id, supplier_name""",
         "alternative_suppliers": _alternatives(
