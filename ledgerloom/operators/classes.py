@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import as_double, half_up, money, quotient
 from ledgerloom.plans.lineage import materialize
 from ledgerloom.plans.order import running_groups
-from ledgerloom.plans.totals import total
+from ledgerloom.plans.totals import bounded, total
 
 
 def running_share(base: DataFrame, value: str, limit: int | None) -> DataFrame:
@@ -23,9 +23,8 @@ def running_share(base: DataFrame, value: str, limit: int | None) -> DataFrame:
     if limit is None:
         rows = base
     else:
-        rows = F.broadcast(
-            base.orderBy(F.col(value).desc_nulls_last(), F.col("product_id").asc_nulls_last()).limit(limit)
-        )
+        order = [F.col(value).desc_nulls_last(), F.col("product_id").asc_nulls_last()]
+        rows = bounded(base.orderBy(*order).limit(limit), limit)
     joined = groups.join(rows, F.col("_value").eqNullSafe(F.col(value))).withColumn("_whole", whole)
     return joined.select(
         *base.columns,

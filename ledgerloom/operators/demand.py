@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import as_double, half_even, half_up, level, money, quotient, zero_if_null
-from ledgerloom.plans.totals import total
+from ledgerloom.plans.totals import bounded, total
 from ledgerloom.tables import Tables
 
 
@@ -186,8 +186,7 @@ def customer_concentration(t: Tables, limit: int = 10) -> DataFrame:
         return _top_customers(known, limit).withColumn("revenue", money(F.col("revenue")))
     whole = as_double(total(sales, F.sum("total_revenue")))
     top = _top_customers(sales, limit)
-    # `limit` rows: a bounded broadcast.
-    listed = F.broadcast(top.select(F.col("customer_id").alias("_listed")))
+    listed = bounded(top.select(F.col("customer_id").alias("_listed")), limit)
     bought = (
         sales.join(listed, F.col("customer_id").eqNullSafe(F.col("_listed")), "left_semi")
         .groupBy("customer_id")

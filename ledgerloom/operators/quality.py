@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import zero_if_null
+from ledgerloom.plans.lineage import materialize
+from ledgerloom.plans.totals import bounded
 from ledgerloom.tables import MissingTable, Tables
 
 
@@ -23,13 +25,24 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
     A 64-bit hash per row goes through the first shuffle instead of the row.
     Only rows whose hash occurs twice can be repeats; those alone are grouped
-    by all their columns, so a hash collision cannot distort the count.
+    by all their columns, so a hash collision cannot distort the count. The
+    repeated hashes are materialised first: if they are few, the second scan
+    filters by a broadcast and shuffles no other row.
     """
     columns = [F.col(f"`{c}`") for c in df.columns]
     hashed = df.withColumn("_hash", F.xxhash64(*columns))
-    repeated = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("_hash")
-    groups = hashed.join(repeated, "_hash", "left_semi").groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
-    return groups.agg(zero_if_null(F.sum(F.col("_n") - 1)).cast("bigint").alias("duplicate_rows"))
+    repeated = materialize(
+        hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("_hash")
+    )
+    hashes = repeated.count()
+    if hashes == 0:
+        return df.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("duplicate_rows"))
+    groups = (
+        hashed.join(bounded(repeated, hashes), "_hash", "left_semi")
+        .groupBy(*columns)
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    return groups.agg(F.sum(F.col("_n") - 1).alias("duplicate_rows"))
 
 
 def _profile(name: str, df: DataFrame) -> DataFrame:

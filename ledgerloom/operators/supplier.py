@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import half_even, level, money, quotient, zero_if_null
 from ledgerloom.plans.absent import best_absent
 from ledgerloom.plans.totals import total
-from ledgerloom.sources.graph import product_vertices, supplier_vertices, supply_edges
+from ledgerloom.sources.graph import supplier_vertices, supply_edges
 from ledgerloom.tables import Tables
 
 
@@ -290,7 +290,6 @@ def alternative_suppliers(t: Tables, sku: str | None = None, k: int = 5, shortli
     return best_absent(
         holdings.select("product_id", "supplier_id"),
         pool,
-        product_vertices(t),
         order,
         item="product_id",
         member="supplier_id",
@@ -323,10 +322,10 @@ def alternative_suppliers_same_category(
     return best_absent(
         holdings,
         pool,
-        items,
         order,
         item="product_id",
         member="supplier_id",
+        items=items,
         group="category",
         k=k,
         shortlist=shortlist,

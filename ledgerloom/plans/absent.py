@@ -3,8 +3,7 @@
 Comparing every item with the whole pool is avoided: an item lacks at least
 ``k`` of the first ``shortlist`` members unless it has nearly all of them, so
 its bounded set of held positions decides. Items that do hold nearly all of
-the shortlist are answered exactly from the gaps between the positions they
-hold in the whole pool.
+the shortlist are answered exactly from their positions in the whole pool.
 """
 
 from __future__ import annotations
@@ -14,15 +13,16 @@ from pyspark.sql import functions as F
 
 from ledgerloom.plans.lineage import materialize
 from ledgerloom.plans.order import global_rank
+from ledgerloom.plans.totals import bounded
 
 
 def best_absent(
     holdings: DataFrame,
     pool: DataFrame,
-    items: DataFrame,
     order: list[Column],
     item: str,
     member: str,
+    items: DataFrame | None = None,
     group: str | None = None,
     k: int = 5,
     shortlist: int = 512,
@@ -31,7 +31,8 @@ def best_absent(
 
     ``holdings``: (item, member[, group]) pairs, repeats allowed.
     ``pool``: members with their attributes, unique per (group, member).
-    ``items``: (item[, group]), unique by item. ``order`` must be total per group.
+    ``items``: (item[, group]), unique by item; default: the items that hold something.
+    ``order`` must be total per group.
     """
     by = [group] if group else []
     if shortlist < k:
@@ -40,21 +41,23 @@ def best_absent(
     if group:
         first = Window.partitionBy(group).orderBy(*order)
         short = pool.withColumn("position", F.row_number().over(first)).where(F.col("position") <= shortlist)
-        lookup = short
+        lookup, marks = short, short.select(group, member, "position")
     else:
-        # limit() keeps at most `shortlist` rows, so this window and broadcast are bounded.
+        # At most `shortlist` rows, so one task may number them.
         short = pool.orderBy(*order).limit(shortlist)
         short = short.withColumn("position", F.row_number().over(Window.orderBy(*order)))
-        lookup = F.broadcast(short)
+        lookup, marks = bounded(short, shortlist), bounded(short.select(member, "position"), shortlist)
 
-    marks = lookup.select(*by, member, "position") if group else F.broadcast(short.select(member, "position"))
+    # A set holds at most `shortlist` numbers, however many holdings an item has.
     held = (
-        holdings.join(marks, [*by, member])
+        holdings.join(marks, [*by, member], "left")
         .groupBy(*by, item)
-        .agg(F.array_sort(F.collect_set("position")).alias("held"))
+        .agg(F.collect_set("position").alias("held"))
     )
-    state = items.join(held, [*by, item], "left").withColumn("held", F.coalesce("held", F.array().cast("array<int>")))
-    state = materialize(state)
+    if items is not None:
+        none = F.array().cast("array<int>")
+        held = items.join(held, [*by, item], "left").withColumn("held", F.coalesce("held", none))
+    state = materialize(held)
 
     if group:
         sizes = short.groupBy(group).agg(F.max("position").cast("int").alias("listed"))
@@ -76,54 +79,63 @@ def best_absent(
     rest = state_sized.where(nearly_all).select(*by, item)
     if rest.isEmpty():
         return simple
-    return simple.unionByName(_from_gaps(holdings, pool, rest, order, item, member, by, k).select(*columns))
+    exact = _from_whole_pool(holdings, pool, rest, order, item, member, by, k, shortlist)
+    return simple.unionByName(exact.select(*columns))
 
 
-def _from_gaps(holdings, pool, items, order, item, member, by, k) -> DataFrame:
-    """The exact way for items holding almost the whole shortlist."""
+def _from_whole_pool(holdings, pool, items, order, item, member, by, k, block_size) -> DataFrame:
+    """The exact way for items holding almost the whole shortlist.
+
+    Positions are grouped into blocks of ``block_size``. Per item and block the
+    free positions are known from a bounded set; blocks the item holds nothing
+    of are free as a whole. The window per item sees blocks, not holdings.
+    """
     ranked = global_rank(pool, [*(F.col(g).asc() for g in by), *order])
     if by:
         starts = ranked.groupBy(*by).agg(F.min("position").alias("_start"), F.count(F.lit(1)).alias("_size"))
-        ranked = ranked.join(starts, by).withColumn("position", F.col("position") - F.col("_start") + 1)
+        ranked = ranked.join(starts, by).withColumn("position", F.col("position") - F.col("_start") + 1).drop("_start")
     else:
         ranked = ranked.withColumn("_size", pool.agg(F.count(F.lit(1))).scalar())
-    positions = ranked.select(*by, member, F.col("position").alias("_position"), "_size")
 
-    key = Window.partitionBy(*by, item).orderBy("_position")
+    block = F.floor((F.col("position") - 1) / block_size)
     held = (
         holdings.join(items, [*by, item], "left_semi")
-        .select(*by, item, member)
-        .distinct()
-        .join(positions, [*by, member])
+        .join(ranked.select(*by, member, "position", "_size"), [*by, member])
+        .groupBy(*by, item, "_size", block.alias("_block"))
+        .agg(F.collect_set("position").alias("_held"))
+    )
+
+    def positions(number: Column) -> Column:
+        return F.sequence(number * block_size + 1, F.least((number + 1) * block_size, F.col("_size")))
+
+    none = F.array().cast("array<bigint>")
+    in_order = Window.partitionBy(*by, item).orderBy("_block")
+    current, previous = F.col("_block"), F.col("_previous")
+    free = (
+        held.withColumn("_free", F.array_except(positions(current), "_held"))
         .select(
             *by,
             item,
-            "_position",
             "_size",
-            F.row_number().over(key).alias("_nth"),
-            F.lag("_position", 1, 0).over(key).alias("_previous"),
-            F.lead("_position").over(key).alias("_next"),
+            "_block",
+            "_free",
+            F.lag("_block", 1, -1).over(in_order).alias("_previous"),
+            F.lead("_block").over(in_order).alias("_next"),
+            F.sum(F.size("_free")).over(in_order.rowsBetween(Window.unboundedPreceding, -1)).alias("_found"),
         )
+        .where(F.coalesce("_found", F.lit(0)) < k)
     )
-    # Missing positions directly before a held one, and after the last one; the
-    # first k of them are the answer, so longer gaps are cut at k.
-    missed = F.col("_previous") - (F.col("_nth") - 1)
-    before = F.when(
-        (missed < k) & (F.col("_position") > F.col("_previous") + 1),
-        F.sequence(F.col("_previous") + 1, F.least(F.col("_position") - 1, F.col("_previous") + k - missed)),
-    )
-    missed_to_last = F.col("_position") - F.col("_nth")
-    after = F.when(
-        F.col("_next").isNull() & (missed_to_last < k) & (F.col("_position") < F.col("_size")),
-        F.sequence(F.col("_position") + 1, F.least(F.col("_size"), F.col("_position") + k - missed_to_last)),
+    untouched_before = F.when(current > previous + 1, positions(previous + 1))
+    untouched_after = F.when(
+        F.col("_next").isNull() & ((current + 1) * block_size < F.col("_size")), positions(current + 1)
     )
-    empty = F.array().cast("array<bigint>")
-    gaps = held.select(
-        *by,
-        item,
-        F.explode(F.concat(F.coalesce(before, empty), F.coalesce(after, empty))).alias("position"),
+    candidates = F.concat(
+        *(F.slice(F.coalesce(part, none), 1, k) for part in (untouched_before, F.col("_free"), untouched_after))
     )
-    chosen = gaps.withColumn(
-        "choice", F.row_number().over(Window.partitionBy(*by, item).orderBy("position")).cast("int")
+    best_first = Window.partitionBy(*by, item).orderBy("position")
+    chosen = (
+        free.select(*by, item, F.explode(candidates).alias("position"))
+        .withColumn("choice", F.row_number().over(best_first))
+        .where(F.col("choice") <= k)
     )
-    return chosen.join(ranked.drop("_size", "_start"), [*by, "position"])
+    return chosen.join(ranked.drop("_size"), [*by, "position"])

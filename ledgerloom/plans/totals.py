@@ -15,6 +15,15 @@ def total(df: DataFrame, aggregate: Column) -> Column:
     return df.agg(aggregate.alias("total")).scalar()
 
 
+# A frame limited to this many rows may be broadcast whatever the size of its source.
+BROADCAST_ROWS = 100_000
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """Marks a frame of at most ``rows`` rows for broadcast if that bound is small enough."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def side_by_side(spark: SparkSession, sections: list[DataFrame]) -> DataFrame:
     """One row holding the columns of several one-row frames.
 
