@@ -168,23 +168,26 @@ def _by_revenue() -> list[Column]:
     return [F.col("revenue").desc_nulls_last(), F.col("customer_id").asc_nulls_last()]
 
 
+def _customer_revenue(sales: DataFrame) -> DataFrame:
+    return sales.groupBy("customer_id").agg(F.sum("total_revenue").alias("revenue"))
+
+
 def _top_customers(sales: DataFrame, limit: int) -> DataFrame:
-    return (
-        sales.groupBy("customer_id").agg(F.sum("total_revenue").alias("revenue")).orderBy(*_by_revenue()).limit(limit)
-    )
+    return _customer_revenue(sales).orderBy(*_by_revenue()).limit(limit)
 
 
 def customer_concentration(t: Tables, limit: int = 10) -> DataFrame:
     """Customers by revenue with their share of all revenue; rows without a customer form one group.
 
     Distinct products are counted for the listed customers only: doing it for
-    everybody would shuffle every (customer, product) pair.
+    everybody would shuffle every (customer, product) pair. The total is taken
+    over the same per-customer sums the ranking uses, so their shuffle is reused.
     """
     sales = t["sales_transactions"]
     if not t.has("customers"):
         known = sales.where(F.col("customer_id").isNotNull())
         return _top_customers(known, limit).withColumn("revenue", money(F.col("revenue")))
-    whole = as_double(total(sales, F.sum("total_revenue")))
+    whole = as_double(total(_customer_revenue(sales), F.sum("revenue")))
     top = _top_customers(sales, limit)
     listed = bounded(top.select(F.col("customer_id").alias("_listed")), limit)
     bought = (
@@ -212,7 +215,7 @@ def customer_concentration_summary(t: Tables, limit: int = 10) -> DataFrame:
     sales = t["sales_transactions"]
     if not t.has("customers"):
         return sales.agg(F.lit(0.0).alias("top_pct"), F.lit("low").alias("concentration_risk"))
-    whole = total(sales, F.sum("total_revenue"))
+    whole = total(_customer_revenue(sales), F.sum("revenue"))
     top = _top_customers(sales, limit).agg(F.sum("revenue").alias("listed"))
     share = zero_if_null(quotient(F.col("listed"), whole) * 100)
     return top.select(share.alias("pct")).select(

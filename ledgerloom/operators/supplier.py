@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import half_even, level, money, quotient, zero_if_null
 from ledgerloom.plans.absent import best_absent
+from ledgerloom.plans.lineage import materialize
 from ledgerloom.plans.totals import total
-from ledgerloom.sources.graph import supplier_vertices, supply_edges
+from ledgerloom.sources.graph import supplier_vertices, supply_edges, with_supplier
 from ledgerloom.tables import Tables
 
 
@@ -58,19 +59,21 @@ def supplier_performance(t: Tables) -> DataFrame:
     )
 
 
-def _spend(t: Tables) -> DataFrame:
-    orders = t["purchase_orders"]
-    return (
-        orders.groupBy("supplier_id")
-        .agg(F.count(F.lit(1)).alias("orders"), F.sum("total_po_value").alias("value"))
-        .orderBy(F.col("value").desc_nulls_last(), F.col("supplier_id").asc_nulls_last())
+def _spend(t: Tables) -> tuple[DataFrame, Column]:
+    """Orders and value per supplier, and the value of all. The total reads both
+    sums, so that it needs the very same shuffle as the rows and reuses it."""
+    per_supplier = t["purchase_orders"].groupBy("supplier_id").agg(
+        F.count(F.lit(1)).alias("orders"), F.sum("total_po_value").alias("value")
     )
+    whole = total(per_supplier, F.struct(F.sum("value").alias("value"), F.sum("orders").alias("orders")))
+    ordered = per_supplier.orderBy(F.col("value").desc_nulls_last(), F.col("supplier_id").asc_nulls_last())
+    return ordered, whole["value"]
 
 
 def supplier_concentration(t: Tables) -> DataFrame:
     """Orders and their value per supplier, with the share of all value."""
-    whole = total(t["purchase_orders"], F.sum("total_po_value"))
-    return _spend(t).select(
+    spend, whole = _spend(t)
+    return spend.select(
         "supplier_id",
         "orders",
         money(F.col("value")).alias("total_value"),
@@ -80,30 +83,26 @@ def supplier_concentration(t: Tables) -> DataFrame:
 
 def supplier_concentration_summary(t: Tables) -> DataFrame:
     """Share of the three largest suppliers."""
-    whole = total(t["purchase_orders"], F.sum("total_po_value"))
-    top = _spend(t).limit(3).agg(F.sum("value").alias("top"))
+    spend, whole = _spend(t)
+    top = spend.limit(3).agg(F.sum("value").alias("top"))
     return top.select(zero_if_null(quotient(F.col("top"), whole) * 100).alias("pct")).select(
         half_even(F.col("pct"), 1).alias("top3_value_pct"), level(F.col("pct"), 80, 50).alias("concentration_risk")
     )
 
 
-def _supplied(t: Tables, *properties: str) -> DataFrame:
-    """Edges with supplier properties; a supplier known from orders only has none."""
-    return supply_edges(t).join(supplier_vertices(t).select("supplier_id", *properties), "supplier_id")
-
-
 def supplier_network(t: Tables) -> DataFrame:
     """Who supplies what."""
-    return _supplied(t, "supplier_name", "lead_time").select(
-        "supplier_id", "supplier_name", "lead_time", "product_id"
-    ).orderBy(F.col("supplier_name").asc_nulls_last(), "supplier_id", "product_id")
+    edges = with_supplier(t, supply_edges(t), "supplier_name", "lead_time")
+    return edges.select("supplier_id", "supplier_name", "lead_time", "product_id").orderBy(
+        F.col("supplier_name").asc_nulls_last(), "supplier_id", "product_id"
+    )
 
 
 def supplier_network_named(t: Tables) -> DataFrame:
     """Who supplies what, with product names."""
     names = t["products"].select("product_id", "product_name")
     return (
-        _supplied(t, "supplier_name", "lead_time")
+        with_supplier(t, supply_edges(t), "supplier_name", "lead_time")
         .join(names, "product_id", "left")
         .select("supplier_id", "supplier_name", "lead_time", "product_id", "product_name")
         .orderBy(F.col("supplier_name").asc_nulls_last(), "supplier_id", "product_id")
@@ -125,8 +124,7 @@ def _single_source(t: Tables) -> DataFrame:
 
 
 def _named(t: Tables, rows: DataFrame) -> DataFrame:
-    names = supplier_vertices(t).select("supplier_id", F.col("supplier_name").alias("sole_supplier"))
-    return rows.join(names, "supplier_id", "left")
+    return with_supplier(t, rows, "supplier_name").withColumnRenamed("supplier_name", "sole_supplier")
 
 
 def single_source_risks(t: Tables, limit: int | None = 50) -> DataFrame:
@@ -161,8 +159,7 @@ def ripple_effect(t: Tables, supplier_id: str | None = None) -> DataFrame:
     counts = ripple_effect_products(t, supplier_id).groupBy("supplier_id").agg(
         F.count(F.lit(1)).alias("impacted_count")
     )
-    names = supplier_vertices(t).select("supplier_id", "supplier_name")
-    return counts.join(names, "supplier_id").select(
+    return with_supplier(t, counts, "supplier_name").select(
         "supplier_id", "supplier_name", "impacted_count", level(F.col("impacted_count"), 10, 3).alias("severity")
     )
 
@@ -197,10 +194,8 @@ def ripple_with_finished_goods(
         .groupBy("supplier_id")
         .agg(F.sum("revenue").alias("revenue"))
     )
-    names = supplier_vertices(t).select("supplier_id", "supplier_name")
     return (
-        impacted.join(at_risk, "supplier_id", "left")
-        .join(names, "supplier_id")
+        with_supplier(t, impacted.join(at_risk, "supplier_id", "left"), "supplier_name")
         .select(
             "supplier_id",
             "supplier_name",
@@ -249,9 +244,8 @@ def lead_time_variability(t: Tables) -> DataFrame:
             half_even(zero_if_null(F.stddev_samp("lead_time_days")), 2).alias("variability"),
         )
     )
-    names = supplier_vertices(t).select("supplier_id", "supplier_name")
     return (
-        per_supplier.join(names, "supplier_id")
+        with_supplier(t, per_supplier, "supplier_name")
         .select(
             "supplier_id",
             "supplier_name",
@@ -271,8 +265,7 @@ def current_supplier(t: Tables, sku: str | None = None) -> DataFrame:
     if sku is not None:
         orders = orders.where(F.col("product_id") == sku)
     first = orders.groupBy("product_id").agg(F.min("supplier_id").alias("supplier_id"))
-    vertices = supplier_vertices(t).select("supplier_id", "supplier_name", "lead_time", "rating")
-    return first.join(vertices, "supplier_id").select(
+    return with_supplier(t, first, "supplier_name", "lead_time", "rating").select(
         "product_id", "supplier_id", "supplier_name", "lead_time", "rating"
     )
 
@@ -311,6 +304,9 @@ def alternative_suppliers_same_category(
     items = t["products"].where(F.col("category").isNotNull()).select("product_id", "category")
     vertices = supplier_vertices(t).select("supplier_id", "supplier_name", "lead_time", "rating", "country")
     holdings = supply_edges(t).join(items, "product_id")
+    if sku is None:
+        # Read for the pool and again for the holdings.
+        holdings = materialize(holdings)
     pool = holdings.select("category", "supplier_id").distinct().join(vertices, "supplier_id")
     if sku is not None:
         category = items.where(F.col("product_id") == sku).select("category").distinct()

@@ -41,11 +41,12 @@ def best_absent(
     if group:
         first = Window.partitionBy(group).orderBy(*order)
         short = pool.withColumn("position", F.row_number().over(first)).where(F.col("position") <= shortlist)
+        short = materialize(short)
         lookup, marks = short, short.select(group, member, "position")
     else:
         # At most `shortlist` rows, so one task may number them.
         short = pool.orderBy(*order).limit(shortlist)
-        short = short.withColumn("position", F.row_number().over(Window.orderBy(*order)))
+        short = materialize(short.withColumn("position", F.row_number().over(Window.orderBy(*order))))
         lookup, marks = bounded(short, shortlist), bounded(short.select(member, "position"), shortlist)
 
     # A set holds at most `shortlist` numbers, however many holdings an item has.

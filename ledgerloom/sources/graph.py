@@ -41,20 +41,33 @@ def known_suppliers(t: Tables) -> DataFrame:
     )
 
 
+# Vertex properties and their types.
+PROPERTIES = {
+    "supplier_name": "string",
+    "lead_time": "int",
+    "rating": "double",
+    "otd_rate": "double",
+    "country": "string",
+}
+
+
+def with_supplier(t: Tables, rows: DataFrame, *properties: str) -> DataFrame:
+    """Adds supplier properties to rows that carry the id of an ordered-from supplier.
+
+    Such a supplier has a vertex anyway; one without a description gets nulls.
+    """
+    if t.has("suppliers"):
+        return rows.join(known_suppliers(t).select("supplier_id", *properties), "supplier_id", "left")
+    return rows.withColumns({p: F.lit(None).cast(PROPERTIES[p]) for p in properties})
+
+
 def supplier_vertices(t: Tables) -> DataFrame:
     """All suppliers; one that only appears in orders has an id and nothing else."""
     if not t.has("purchase_orders"):
         return known_suppliers(t)
     ordered = t["purchase_orders"].where(_filled("supplier_id") & _filled("product_id")).select("supplier_id").distinct()
     if not t.has("suppliers"):
-        return ordered.selectExpr(
-            "supplier_id",
-            "cast(null as string) supplier_name",
-            "cast(null as int) lead_time",
-            "cast(null as double) rating",
-            "cast(null as double) otd_rate",
-            "cast(null as string) country",
-        )
+        return with_supplier(t, ordered, *PROPERTIES)
     known = known_suppliers(t)
     bare = ordered.join(known.select("supplier_id"), "supplier_id", "left_anti")
     return known.unionByName(bare, allowMissingColumns=True)
