@@ -2,6 +2,7 @@
 
 from ledgerloom.functions.numeric import (
     as_double,
+    distinct,
     half_even,
     half_up,
     level,
@@ -11,4 +12,4 @@ from ledgerloom.functions.numeric import (
     zero_if_null,
 )
 
-__all__ = ["as_double", "half_even", "half_up", "level", "money", "quotient", "weighted_mean", "zero_if_null"]
+__all__ = ["as_double", "distinct", "half_even", "half_up", "level", "money", "quotient", "weighted_mean", "zero_if_null"]

@@ -34,6 +34,11 @@ def weighted_mean(value: Column, weight: Column) -> Column:
     return quotient(F.sum(value * weight), F.sum(weight))
 
 
+def distinct(column: str, approximate: bool = False) -> Column:
+    """Aggregate: number of different values; approximately, it needs no shuffle of the values."""
+    return F.approx_count_distinct(column) if approximate else F.count_distinct(column)
+
+
 def half_even(c: Column, places: int = 0) -> Column:
     """A DOUBLE rounded to the nearest decimal, judged on its exact binary value, ties to even.
 

@@ -70,6 +70,29 @@ def ccc_scenarios_breakdown(t: Tables, scenarios: DataFrame | Iterable[tuple]) -
     return _scenarios(t, scenarios).select("scenario_id", F.inline(items))
 
 
+def ccc_improvement(
+    t: Tables,
+    dio_reduction: int = 0,
+    dso_reduction: int = 0,
+    dpo_increase: int = 0,
+    annual_revenue: float | None = None,
+) -> DataFrame:
+    """A single scenario."""
+    scenario = ("scenario", dio_reduction, dso_reduction, dpo_increase, annual_revenue and float(annual_revenue))
+    return ccc_scenarios(t, [scenario])
+
+
+def ccc_improvement_breakdown(
+    t: Tables,
+    dio_reduction: int = 0,
+    dso_reduction: int = 0,
+    dpo_increase: int = 0,
+    annual_revenue: float | None = None,
+) -> DataFrame:
+    scenario = ("scenario", dio_reduction, dso_reduction, dpo_increase, annual_revenue and float(annual_revenue))
+    return ccc_scenarios_breakdown(t, [scenario])
+
+
 def _most_valuable(t: Tables, limit: int) -> DataFrame:
     return (
         latest_snapshot(t["inventory_snapshot"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import as_double, half_even, half_up, level, money, quotient, zero_if_null
+from ledgerloom.functions import as_double, distinct, half_even, half_up, level, money, quotient, zero_if_null
 from ledgerloom.plans.totals import bounded, total
 from ledgerloom.tables import Tables
 
@@ -90,7 +90,7 @@ def detect_anomalies_summary(
     )
 
 
-def revenue_trends(t: Tables, granularity: str = "monthly") -> DataFrame:
+def revenue_trends(t: Tables, granularity: str = "monthly", approximate: bool = False) -> DataFrame:
     """Revenue, units and products per period, and growth over the previous period that has sales."""
     unit = {"daily": None, "weekly": "week"}.get(granularity, "month")
     date = F.col("transaction_date")
@@ -100,7 +100,7 @@ def revenue_trends(t: Tables, granularity: str = "monthly") -> DataFrame:
         .agg(
             money(F.sum("total_revenue")).alias("revenue"),
             F.sum("qty_sold").alias("units"),
-            F.count_distinct("product_id").alias("skus"),
+            distinct("product_id", approximate).alias("skus"),
         )
     )
     # One row per calendar period is left here, so one task is enough.

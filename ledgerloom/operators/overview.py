@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import as_double, half_even, half_up, money, weighted_mean, zero_if_null
+from ledgerloom.functions import as_double, distinct, half_even, half_up, money, weighted_mean, zero_if_null
 from ledgerloom.plans.snapshot import latest_snapshot
 from ledgerloom.plans.totals import side_by_side
 from ledgerloom.tables import MissingTable, Tables
@@ -20,7 +20,7 @@ def _mean(column: str, places: int) -> Column:
     return zero_if_null(half_up(as_double(F.sum(column)) / F.nullif(F.count(column), F.lit(0)), places))
 
 
-def full_dashboard(t: Tables) -> DataFrame:
+def full_dashboard(t: Tables, approximate: bool = False) -> DataFrame:
     """One row of totals; the columns of tables that are not loaded are left out."""
     rows = F.count(F.lit(1))
     sections = []
@@ -31,13 +31,13 @@ def full_dashboard(t: Tables) -> DataFrame:
                 _or_zero(F.sum("total_cost")).alias("total_cost"),
                 _or_zero(F.sum("gross_profit")).alias("gross_profit"),
                 rows.alias("transactions"),
-                F.count_distinct("product_id").alias("unique_products"),
+                distinct("product_id", approximate).alias("unique_products"),
             )
         )
     if t.has("inventory_snapshot"):
         sections.append(
             latest_snapshot(t["inventory_snapshot"]).agg(
-                F.count_distinct("product_id").alias("unique_skus"),
+                distinct("product_id", approximate).alias("unique_skus"),
                 zero_if_null(F.sum("qty_on_hand")).alias("total_units"),
                 _or_zero(F.sum("inventory_value")).alias("inventory_value"),
                 F.count_if(F.col("stock_status") == "stockout").alias("stockouts"),

@@ -91,7 +91,9 @@ def supplier_concentration_summary(t: Tables) -> DataFrame:
 
 
 def supplier_network(t: Tables) -> DataFrame:
-    """Who supplies what."""
+    """Who supplies what; the supplier table when there are no orders to tell."""
+    if not t.has("purchase_orders"):
+        return t["suppliers"]
     edges = with_supplier(t, supply_edges(t), "supplier_name", "lead_time")
     return edges.select("supplier_id", "supplier_name", "lead_time", "product_id").orderBy(
         F.col("supplier_name").asc_nulls_last(), "supplier_id", "product_id"

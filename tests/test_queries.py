@@ -5,7 +5,7 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from conftest import SMALL
-from ledgerloom.registry import QUESTIONS, ask
+from ledgerloom.registry import QUESTIONS, TOOLS, ask, call_tool
 from ledgerloom.sources.derived import derived_tables
 
 SOURCES = "region nation customer supplier part orders lineitem".split()
@@ -52,6 +52,45 @@ def test_questions_by_name(spark):
     assert all(not n.startswith("_") for n in QUESTIONS)
 
 
+ARGUMENTS = {
+    "forecast_demand": dict(sku="P1", horizon_days=10, window=5),
+    "simulate_ccc_improvement": dict(dio_reduction=5, annual_revenue=3650),
+    "calculate_safety_stock": dict(skus=["P1", "P2"], service_level=0.9),
+    "calculate_eoq": dict(skus=["P1"], order_cost=10, holding_cost_pct=0.1),
+    "ripple_effect_analysis": dict(supplier_id="S1"),
+    "find_alternative_suppliers": dict(sku="P1"),
+    "run_sql_query": dict(sql="SELECT count(*) AS n FROM customers"),
+    "get_shipment_tracking": dict(status="Delayed"),
+    "get_dead_stock": dict(days=140),
+}
+
+
+@pytest.mark.parametrize("tool", sorted(TOOLS))
+def test_every_tool_answers(spark, tool):
+    t = derived_tables(spark, SMALL)
+    parts = call_tool(t, tool, **ARGUMENTS.get(tool, {}))
+    assert set(parts) <= set(TOOLS[tool])
+    for df in parts.values():
+        assert df.columns and df.limit(1).count() <= 1
+
+
+def test_tool_arguments_are_checked(spark):
+    t = derived_tables(spark, SMALL)
+    assert len(TOOLS) == 42
+    with pytest.raises(TypeError):
+        call_tool(t, "get_top_skus", rows=3)
+    assert call_tool(t, "get_top_skus", limit=3)["top_skus"].count() == 3
+    assert list(call_tool(t, "get_shipment_tracking", status="Delayed")) == ["shipment_tracking"]
+    freed = call_tool(t, "simulate_ccc_improvement", dio_reduction=5, annual_revenue=3650)["ccc_improvement"].first()
+    assert (freed.total_days_saved, freed.total_cash_freed) == (5, 50.0)
+
+
+def test_approximate_counts_are_close(spark):
+    t = derived_tables(spark, SMALL)
+    exact, close = (ask(t, "full_dashboard", approximate=a).first().unique_products for a in (False, True))
+    assert close == pytest.approx(exact, rel=0.15)
+
+
 def test_invariants(spark):
     run = lambda name: queries()[name](spark, SMALL).collect()
     shares = [r.cum_pct for r in run("pareto_all")]

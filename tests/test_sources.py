@@ -5,7 +5,7 @@ from decimal import Decimal
 
 import pytest
 
-from ledgerloom.operators import catalog, overview
+from ledgerloom.operators import catalog, inventory, overview
 from ledgerloom.sources.files import (
     BAD_CELLS,
     CORRUPT,
@@ -139,6 +139,14 @@ def test_store_file_and_json(spark, csv, tmp_path):
     assert '"unit_cost":null' in text
 
 
+def test_stored_classification(spark, make, tmp_path):
+    sales = [dict(transaction_date=date(2024, 1, 1), product_id=f"P{i}", qty_sold=i, total_revenue=i) for i in range(1, 5)]
+    path = str(tmp_path / "classes")
+    inventory.abc_xyz_classification(make(sales_transactions=sales)).write.parquet(path)
+    top = inventory.abc_xyz_lookup(spark.read.parquet(path), limit=2).collect()
+    assert [(r.product_id, r.revenue_pct, r.abc) for r in top] == [("P4", 40.0, "A"), ("P3", 30.0, "A")]
+
+
 def test_catalog_tables(spark, make):
     spark.sql("CREATE DATABASE IF NOT EXISTS shop")
     create_tables(spark, "shop")
