@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -71,8 +72,13 @@ def _stacked(frames: list[DataFrame]) -> DataFrame:
 
 
 def data_quality_report(t: Tables) -> DataFrame:
-    """Size, columns with nulls, repeated rows and a score, one row per loaded table."""
-    return _stacked([_profile(name, t[name]) for name in t.names])
+    """Size, columns with nulls, repeated rows and a score, one row per loaded table.
+
+    Looking for repeats runs a job per table; they are submitted together, so
+    that small tables do not wait for large ones.
+    """
+    with ThreadPoolExecutor(max_workers=len(t.names) or 1) as pool:
+        return _stacked(list(pool.map(lambda name: _profile(name, t[name]), t.names)))
 
 
 def null_counts(t: Tables) -> DataFrame:
