@@ -112,16 +112,14 @@ def supplier_network_named(t: Tables) -> DataFrame:
 
 
 def _single_source(t: Tables) -> DataFrame:
-    """Products with one supplier. Smallest and largest supplier id agree exactly
-    then, so the edges need not be made distinct first."""
-    orders = t["purchase_orders"].where(
-        (F.col("supplier_id") != "") & (F.col("product_id") != "")
-    )
+    """Products with one supplier. Pairs are made distinct by hashing first; the
+    text minimum, which Spark takes by sorting, then sees few rows."""
     return (
-        orders.groupBy("product_id")
-        .agg(F.min("supplier_id").alias("supplier_id"), F.max("supplier_id").alias("_other"))
-        .where(F.col("supplier_id") == F.col("_other"))
-        .drop("_other")
+        supply_edges(t)
+        .groupBy("product_id")
+        .agg(F.min("supplier_id").alias("supplier_id"), F.count(F.lit(1)).alias("_suppliers"))
+        .where(F.col("_suppliers") == 1)
+        .drop("_suppliers")
     )
 
 
@@ -263,10 +261,10 @@ def lead_time_variability(t: Tables) -> DataFrame:
 
 def current_supplier(t: Tables, sku: str | None = None) -> DataFrame:
     """The first supplier (by id) of each product, or of one."""
-    orders = t["purchase_orders"].where((F.col("supplier_id") != "") & (F.col("product_id") != ""))
+    edges = supply_edges(t)
     if sku is not None:
-        orders = orders.where(F.col("product_id") == sku)
-    first = orders.groupBy("product_id").agg(F.min("supplier_id").alias("supplier_id"))
+        edges = edges.where(F.col("product_id") == sku)
+    first = edges.groupBy("product_id").agg(F.min("supplier_id").alias("supplier_id"))
     return with_supplier(t, first, "supplier_name", "lead_time", "rating").select(
         "product_id", "supplier_id", "supplier_name", "lead_time", "rating"
     )

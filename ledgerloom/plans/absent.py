@@ -49,11 +49,14 @@ def best_absent(
         short = materialize(short.withColumn("position", F.row_number().over(Window.orderBy(*order))))
         lookup, marks = bounded(short, shortlist), bounded(short.select(member, "position"), shortlist)
 
-    # A set holds at most `shortlist` numbers, however many holdings an item has.
+    # Hashing removes repeats first, so an item gathers at most `shortlist`
+    # numbers, however many holdings it has.
     held = (
         holdings.join(marks, [*by, member], "left")
+        .select(*by, item, "position")
+        .distinct()
         .groupBy(*by, item)
-        .agg(F.collect_set("position").alias("held"))
+        .agg(F.collect_list("position").alias("held"))
     )
     if items is not None:
         none = F.array().cast("array<int>")
@@ -101,9 +104,11 @@ def _from_whole_pool(holdings, pool, items, order, item, member, by, k, block_si
     block = F.floor((F.col("position") - 1) / block_size)
     held = (
         holdings.join(items, [*by, item], "left_semi")
+        .select(*by, item, member)
+        .distinct()
         .join(ranked.select(*by, member, "position", "_size"), [*by, member])
         .groupBy(*by, item, "_size", block.alias("_block"))
-        .agg(F.collect_set("position").alias("_held"))
+        .agg(F.collect_list("position").alias("_held"))
     )
 
     def positions(number: Column) -> Column:
