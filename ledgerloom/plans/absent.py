@@ -71,7 +71,9 @@ def best_absent(
     state_sized = state_sized.where(F.col("listed") >= 1)
 
     nearly_all = (F.col("listed") == shortlist) & (F.size("held") > shortlist - k)
-    free = F.slice(F.array_except(F.sequence(F.lit(1), F.col("listed")), "held"), 1, k)
+    # Of the first (number held + k) positions at least k are free: no need to look further.
+    reach = F.least(F.col("listed"), F.size("held") + k)
+    free = F.slice(F.array_except(F.sequence(F.lit(1), reach), "held"), 1, k)
     simple = (
         state_sized.where(~nearly_all)
         .select(*by, item, F.posexplode(free).alias("choice", "position"))
