@@ -3,11 +3,22 @@
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+import __spark_entry__ as registered
+from __spark_entry__ import entry
 from conftest import SMALL
 from ledgerloom.registry import QUESTIONS, TOOLS, ask, call_tool
 from ledgerloom.sources.derived import derived_tables
 
+
+
+def queries():
+    return {k: v for k, v in registered.queries().items() if k not in registered.training_data()[0]}
+
+
+def oracle_sql():
+    return {k: v for k, v in registered.oracle_sql().items() if k not in registered.training_data()[1]}
+
+
 SOURCES = "region nation customer supplier part orders lineitem".split()
 TYPES = {"VARCHAR": "string", "BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "DATE": "date", "BOOLEAN": "boolean"}
 
