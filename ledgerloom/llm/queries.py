@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.order_minhash import fingerprints
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.sharding import balanced_tree, grown, shard_rows
 from ledgerloom.llm.shared import documents, new_path
@@ -34,12 +35,17 @@ def op5_differencing_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path(WORD_TOKENIZER), end_id=2)
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_hash_tree_sharding,
         op2_simple8b_ids,
         op5_differencing_packing,
+        op7_order_minhash,
     )
 }
 ORACLE_SQL: dict[str, str] = {}
