@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.byte_bpe import encode_texts
+from ledgerloom.llm.jaccard import jaccard_components
 from ledgerloom.llm.order_minhash import fingerprints
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.sharding import balanced_tree, grown, shard_rows
@@ -35,6 +37,15 @@ def op5_differencing_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path(WORD_TOKENIZER), end_id=2)
 
 
+def op3_adaptive_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir), words=3, percent=90)
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return encode_texts(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
+
+
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(documents(spark, sf_dir))
 
@@ -44,8 +55,10 @@ QUERIES = {
     for f in (
         op1_hash_tree_sharding,
         op2_simple8b_ids,
+        op3_adaptive_jaccard,
         op5_differencing_packing,
         op7_order_minhash,
+        op9_byte_bpe,
     )
 }
 ORACLE_SQL: dict[str, str] = {}
