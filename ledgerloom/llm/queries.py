@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.byte_bpe import encode_texts
+from ledgerloom.llm.forest import near_duplicates
 from ledgerloom.llm.jaccard import jaccard_components
 from ledgerloom.llm.order_minhash import fingerprints
 from ledgerloom.llm.packing import pack
@@ -50,6 +51,10 @@ def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(documents(spark, sf_dir))
 
 
+def op10_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.93)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -59,6 +64,7 @@ QUERIES = {
         op5_differencing_packing,
         op7_order_minhash,
         op9_byte_bpe,
+        op10_projection_forest,
     )
 }
 ORACLE_SQL: dict[str, str] = {}
