@@ -8,10 +8,40 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ledgerloom.llm import language, toxicity
+from ledgerloom.llm.jaccard import jaccard_components
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.queries import WORD_TOKENIZER
-from ledgerloom.llm.shared import documents, stored
+from ledgerloom.llm.shared import documents, remainder, stored
+
+SURE = 0.5  # a language with a smaller share is no decision
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is not among ``rejected``; rows without an id stay."""
+    return docs.join(rejected.where("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in a language the labelled ones have; text without letters, or null, goes."""
+    model = language.train(docs.where(remainder(F.col("doc_id").cast("long"), 4) != 2))
+    found = language.predict(docs, model)
+    return _without(docs, found.where((F.col("lang_pred") == language.UNKNOWN) | (F.col("score") < SURE)))
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that are not predicted toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = toxicity.score_texts(docs, toxicity.train(toxicity.labelled(docs, labels)))
+    return _without(docs, found.where("predicted = 1"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, that with the smallest id, of each group linked by 0.8 of their five-word shingles."""
+    found = jaccard_components(docs, words=5, percent=80)
+    return _without(docs, found.where("doc_id != component_id"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +49,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, public_tokenizers.path(WORD_TOKENIZER), end_id=2)
 
 
-STAGES = [("packing", packing)]
+STAGES = [("languages", languages), ("toxic", toxic), ("near_duplicates", near_duplicates), ("packing", packing)]
 
 # Tokens, kernels and windows are beyond SQL; the tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None

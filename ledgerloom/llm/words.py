@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
+# Letters with punctuation behind them, which tokenizers' patterns split; an apostrophe may begin a suffix.
+SPLIT = r"^(?P<core>\p{L}+)(?P<tail>[.,;:!?]*)$"
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -77,10 +78,11 @@ def gather(starts: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> np.ndar
 class WordTokenizer:
     """Ids of whole texts from a vocabulary file of the ``tokenizers`` library, with a bounded cache of words.
 
-    For tokenizers that drop white space, as the word vocabulary does, the ids of a text are those of its words.
+    For tokenizers that drop white space, as the word vocabulary does, the ids of a text are those of its words, and the
+    ids of a run of letters with punctuation behind it are those of the two parts.
     """
 
-    CACHED = 600_000
+    CACHED = 450_000
     _open: dict[str, "WordTokenizer"] = {}
 
     def __init__(self, path: str):
@@ -92,7 +94,9 @@ class WordTokenizer:
         vocabulary = self.coder.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.clear()
+        self.known: dict[str, int] = {}
+        self.starts, self.lengths, self.used = (np.zeros(0, np.int64) for _ in range(3))
+        self.flat = np.zeros(0, np.uint32)
 
     @classmethod
     def open(cls, path: str) -> "WordTokenizer":
@@ -100,38 +104,90 @@ class WordTokenizer:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.starts, self.lengths, self.flat = array("q"), array("q"), array("I")
-
-    def _add(self, words: list[str], coded: list[np.ndarray] | list[list[int]]) -> None:
-        for word, ids in zip(words, coded, strict=True):
-            self.known[word] = len(self.starts)
-            self.starts.append(len(self.flat))
-            self.lengths.append(len(ids))
-            self.flat.extend(ids)
+    def _shrink(self) -> None:
+        """Keeps the half of the cache that has been used most."""
+        kept = np.sort(np.argsort(-self.used, kind="stable")[: self.CACHED // 2])
+        words = list(self.known)
+        self.known = {words[i]: n for n, i in enumerate(kept.tolist())}
+        self.flat = gather(self.starts[kept], self.lengths[kept], self.flat)
+        self.lengths, self.used = self.lengths[kept], self.used[kept] // 2
+        self.starts = np.cumsum(self.lengths) - self.lengths
 
     def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if w.isalpha() and len(w) < 100]
-        for i in range(0, len(plain), 256):
-            some = plain[i : i + 256]
-            ids = self.coder.encode(" ".join(some), add_special_tokens=False).ids
+        """Codes new words: runs of letters many at a time, others one by one."""
+        letters = [w for w in words if w.isalpha() and len(w) < 100]
+        flat, lengths, done = [], [], []
+        for i in range(0, len(letters), 256):
+            some = letters[i : i + 256]
+            ids = np.array(self.coder.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some) and cuts[-1] == len(ids):
-                self._add(some, [ids[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)])
-        rest = [w for w in words if w not in self.known]
+                flat.append(ids)
+                lengths.append(np.diff(cuts, prepend=0))
+                done += some
+        seen = set(done)
+        rest = [w for w in words if w not in seen]
         for i in range(0, len(rest), 1024):
-            some = rest[i : i + 1024]
-            self._add(some, [x.ids for x in self.coder.encode_batch(some, add_special_tokens=False)])
+            coded = [x.ids for x in self.coder.encode_batch(rest[i : i + 1024], add_special_tokens=False)]
+            lengths.append(np.array(list(map(len, coded)), np.int64))
+            flat.append(np.array([x for ids in coded for x in ids], np.uint32))
+        done += rest
+        n = len(self.known)
+        self.known.update(zip(done, range(n, n + len(done)), strict=True))
+        self.lengths = np.concatenate([self.lengths, *lengths])
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.concatenate([self.flat, *flat])
+        self.used = np.concatenate([self.used, np.zeros(len(done), np.int64)])
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """The place of each word in the cache, after learning the new ones."""
+        coded = words.dictionary_encode()
+        unique = coded.dictionary.to_pylist()
+        self._learn([w for w in unique if w not in self.known])
+        place = np.fromiter(map(self.known.__getitem__, unique), np.int64, len(unique))
+        self.used[place] += 1
+        return place[coded.indices.to_numpy(zero_copy_only=False)]
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(bounds, ids): row i has ``ids[bounds[i]:bounds[i + 1]]``; a null text has none."""
         words = Words(text, lower=False)
-        unique = words.unique.to_pylist()
-        if len(self.known) + len(unique) > self.CACHED:
-            self.clear()
-        self._learn([w for w in unique if w not in self.known])
-        place = np.fromiter((self.known[w] for w in unique), np.int64, len(unique))[words.index]
-        starts, lengths = np.array(self.starts, np.int64)[place], np.array(self.lengths, np.int64)[place]
-        ids = gather(starts, lengths, np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.zeros(0, np.uint32))
+        if len(self.known) > self.CACHED:
+            self._shrink()
+        parts = pc.extract_regex(words.unique, SPLIT)
+        core = pc.coalesce(pc.struct_field(parts, "core"), words.unique)
+        # Only ASCII is lower-cased here: elsewhere the order of lower-casing and composition matters.
+        core = pc.if_else(pc.string_is_ascii(core), pc.ascii_lower(core), core)
+        tail = pc.fill_null(pc.struct_field(parts, "tail"), "")
+        n = len(words.unique)
+        both = self._places(pa.concat_arrays([core, tail]))
+        both = np.stack([both[:n], both[n:]], axis=1).ravel()
+        lengths = self.lengths[both]
+        flat = gather(self.starts[both], lengths, self.flat)
+        lengths = lengths.reshape(-1, 2).sum(axis=1)
+        starts = np.cumsum(lengths) - lengths
+        lengths = lengths[words.index]
+        ids = gather(starts[words.index], lengths, flat)
         return np.concatenate([[0], np.cumsum(lengths)])[words.bounds], ids
+
+
+def letters(words: pa.Array) -> pa.Array:
+    """Words in lower case without anything but letters."""
+    return pc.replace_substring_regex(pc.utf8_lower(words), r"[^\p{L}]+", "")
+
+
+class Cached:
+    """Rows of numbers for words, computed once for a word as long as the bounded cache holds it."""
+
+    def __init__(self, compute, columns: int, most: int = 500_000):
+        self.compute, self.columns, self.most = compute, columns, most
+        self.known: dict[str, int] = {}
+        self.rows = np.zeros((0, columns))
+
+    def get(self, words: list[str]) -> np.ndarray:
+        if len(self.known) > self.most:
+            self.known, self.rows = {}, np.zeros((0, self.columns))
+        new = list(dict.fromkeys(w for w in words if w not in self.known))
+        n = len(self.known)
+        self.known.update(zip(new, range(n, n + len(new)), strict=True))
+        self.rows = np.concatenate([self.rows, self.compute(new)]) if new else self.rows
+        return self.rows[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
