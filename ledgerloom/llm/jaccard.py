@@ -133,8 +133,10 @@ def _prefix(tokens: np.ndarray, values: np.ndarray, dfs: np.ndarray, percent: in
         return 1, n - least + 1, tokens[df == 0][: n - least + 1]
     order = np.argsort(df, kind="stable")[:longest]
     costs = np.cumsum(np.maximum(df[order], 1.0))
+    # A set of about this size that links shares its m-th shingle within the first n - T + m: only those lists are met.
     matches = np.arange(1, most + 1)
-    m = int(np.argmin(costs[n - least + matches - 1] * (1.0 + VERIFY_COST / matches))) + 1
+    met = np.minimum(n - -(-2 * percent * n // (100 + percent)) + matches, longest)
+    m = int(np.argmin(costs[met - 1] * (1.0 + VERIFY_COST / matches))) + 1
     return m, min(light, n - least + m), tokens[order[: n - least + m]]
 
 
