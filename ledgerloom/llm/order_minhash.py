@@ -109,8 +109,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     )
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("tie", F.xxhash64("text"))
     keyed = keyed.select("text", bucket.alias("bucket"), F.struct(F.col("doc_id").isNotNull(), "doc_id", "tie").alias("place"))
+    # As many rows as there are ranges, at most 4 * width + 1.
     heads = keyed.groupBy("bucket").agg(F.max("place").alias("head"))
-    firsts = keyed.join(heads.withColumnRenamed("bucket", "_b"), (F.col("bucket") == F.col("_b")) & F.col("place").eqNullSafe(F.col("head")))
+    firsts = keyed.join(F.broadcast(heads.withColumnRenamed("bucket", "_b")), (F.col("bucket") == F.col("_b")) & F.col("place").eqNullSafe(F.col("head")))
     firsts = firsts.groupBy("bucket").agg(F.any_value("text").alias("border_text"))
     # One row per range.
     borders = firsts.selectExpr(
