@@ -91,7 +91,7 @@ class EliasFano:
         return (high << np.uint64(self.low_bits)) | self._lows(i)
 
     def find(self, values: np.ndarray) -> np.ndarray:
-        """The place of each value, or -1: the values that share its upper part stand together, and few do."""
+        """The place of each value, or -1: the values that share its upper part stand together, their lower parts sorted."""
         out = np.full(len(values), -1, np.int64)
         if not self.n:
             return out
@@ -101,12 +101,13 @@ class EliasFano:
         high, low = high[live], values[live] & np.uint64((1 << self.low_bits) - 1)
         first = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) - high + 1, 0)
         last = np.minimum(self._select(high, False) - high, self.n)
-        while len(live):
-            some = first < last
-            live, first, last, low = live[some], first[some], last[some], low[some]
-            found = self._lows(first) == low
-            out[live[found]] = first[found]
-            live, first, last, low = live[~found], first[~found] + 1, last[~found], low[~found]
+        end = last
+        while (some := first < last).any():
+            middle = (first + last) // 2
+            less = some & (self._lows(np.minimum(middle, self.n - 1)) < low)
+            first, last = np.where(less, middle + 1, first), np.where(some & ~less, middle, last)
+        found = (first < end) & (self._lows(np.minimum(first, self.n - 1)) == low)
+        out[live[found]] = first[found]
         return out
 
 
@@ -352,10 +353,12 @@ def _scored(z: float, step: float, smoothing: float):
         successor = np.concatenate(parts[4]).astype(np.uint64) | (np.concatenate(parts[5]).astype(np.uint64) << np.uint64(32))
         code = np.concatenate(parts[6])
         doc_train = np.concatenate([p.astype(np.uint32) for p in parts[7]])
+        del parts
         # Distinct pairs, in the order of the trie.
         key = (of.astype(np.uint64) << np.uint64(BITS)) | successor
         order = np.argsort(key, kind="stable")
         key = key[order]
+        blocks = [(chunk, b"") for chunk, _ in blocks]
         firsts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         run_of = np.empty(len(order), np.int64)
         run_of[order] = np.repeat(np.arange(len(firsts)), np.diff(np.append(firsts, len(key))))
@@ -407,7 +410,7 @@ def _scored(z: float, step: float, smoothing: float):
                 else:
                     held[kind].append(blob if kind == 3 else (chunk, blob))
         if held[0]:
-            yield from map(out, pairs(held[0]))
+            yield from map(out, pairs(held.pop(0)))
         yield from map(out, rest(held[1], held[3]))
 
     return run
