@@ -26,6 +26,7 @@ from ledgerloom.llm.words import gather, slices
 
 # White space as Unicode lists it, and the separators that Python adds.
 _SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+CHUNK = 12 << 20  # bytes of text; the larger, the fewer lists a frequent word is in
 _RUN = rf"{_SPACE} (?:{_SPACE}|\z)"
 
 
@@ -44,6 +45,7 @@ class Ranks:
         for token, rank in ranks.items():
             table[rank] = token
         self.table = pa.array(table, pa.large_binary())
+        self.kind = np.uint16 if len(table) <= 1 << 16 else np.uint32
 
     @classmethod
     def open(cls, path: str, pattern: str) -> "Ranks":
@@ -114,7 +116,7 @@ def _chunks(part: pa.RecordBatch, owners: int):
 def _asked(owners: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=CHUNK):
                 key, _, _, words, order, ends = _chunks(part, owners)
                 some = [p for p in range(owners) if ends[p] < ends[p + 1]]
                 blobs = []
@@ -152,7 +154,7 @@ def _answered(path: str, pattern: str):
             own = index[at : at + n]
             at += n
             sizes = _small(lengths[own])
-            blob = len(sizes).to_bytes(4, "little") + sizes + _small(gather(starts[own], lengths[own], flat))
+            blob = len(sizes).to_bytes(4, "little") + sizes + gather(starts[own], lengths[own], flat).astype(ranks.kind).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([owner], pa.int32()), pa.array([blob], pa.binary())], ["chunk", "owner", "blob"])
 
     return run
@@ -163,7 +165,7 @@ def _positions(owners: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=CHUNK):
                 key, bounds, index, words, order, _ = _chunks(part, owners)
                 often = np.argsort(-np.bincount(index, minlength=len(words)), kind="stable")
                 rank = np.empty(len(words), np.int64)
@@ -191,7 +193,7 @@ def _assembled(path: str, pattern: str, with_ids: bool):
         doc, null, counts, often, positions = (blob[e - s : e] for e, s in zip(ends.tolist(), sizes.tolist(), strict=True))
         cuts = [int.from_bytes(a[:4], "little") for a in answers]
         lengths = np.concatenate([np.zeros(0, np.int64), *(_large(a[4 : 4 + c]) for a, c in zip(answers, cuts, strict=True))])
-        flat = np.concatenate([np.zeros(0, np.int64), *(_large(a[4 + c :]) for a, c in zip(answers, cuts, strict=True))])
+        flat = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(a[4 + c :], ranks.kind) for a, c in zip(answers, cuts, strict=True))])
         word = _large(often)[_large(positions)]
         if len(word) and word.max() >= len(lengths):
             raise RuntimeError("words of a chunk were not answered: its texts changed between two reads")
