@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import components
-from ledgerloom.llm.shared import stored, width
+from ledgerloom.llm.shared import drop, stored, width
 from ledgerloom.llm.words import Words, mix, slices
 
 FREQUENT = 16  # shingles in fewer documents are ordered by hash alone
@@ -140,7 +140,33 @@ def _prefix(tokens: np.ndarray, values: np.ndarray, dfs: np.ndarray, percent: in
     return m, min(light, n - least + m), tokens[order[: n - least + m]]
 
 
-_PROFILE = "doc_id long, node long, n int, m int, light int, prefix binary"
+# Shingles per range of hashes: the sum of the smaller counts bounds the intersection of two sets.
+RANGES = 128
+_PROFILE = "doc_id long, node long, n int, m int, light int, prefix binary, spread binary"
+
+
+def _spread(tokens: np.ndarray) -> bytes:
+    counts = np.bincount((tokens >> np.uint64(57)).astype(np.int64), minlength=RANGES)
+    return counts.astype(np.uint16 if len(tokens) < 1 << 16 else np.uint32).tobytes()
+
+
+def _possible(percent: int):
+    """Pairs whose counts by range allow a link."""
+
+    def counts(column: pa.Array) -> np.ndarray:
+        rows = column.to_pylist()
+        if not rows:
+            return np.zeros((0, RANGES), np.int64)
+        return np.stack([np.frombuffer(r, np.uint16 if len(r) == 2 * RANGES else np.uint32) for r in rows]).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = counts(batch.column("x")), counts(batch.column("y"))
+            common = np.minimum(x, y).sum(axis=1)
+            kept = 100 * common >= percent * (x.sum(axis=1) + y.sum(axis=1) - common)
+            yield batch.select(["a", "b"]).filter(pa.array(kept))
+
+    return run
 
 
 def _profiled(words: int, percent: int, values: np.ndarray, dfs: np.ndarray):
@@ -158,8 +184,9 @@ def _profiled(words: int, percent: int, values: np.ndarray, dfs: np.ndarray):
                         pa.array(np.array([f[0] for f in found], np.int32)),
                         pa.array(np.array([f[1] for f in found], np.int32)),
                         pa.array([f[2].tobytes() for f in found], pa.binary()),
+                        pa.array([_spread(s) for s in sets], pa.binary()),
                     ],
-                    ["doc_id", "node", "n", "m", "light", "prefix"],
+                    ["doc_id", "node", "n", "m", "light", "prefix", "spread"],
                 )
 
     return run
@@ -257,11 +284,21 @@ def _linked(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes whose whole sets link."""
+def _verified(pairs: DataFrame, single: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes whose whole sets link. Only texts of pairs that the counts by range allow are shingled again.
+
+    The nodes wanted are a written table, so Spark knows their size when it joins them to the texts: few are broadcast.
+    """
+    spread = single.select("node", "spread")
+    both = pairs.join(spread.selectExpr("node AS a", "spread AS x"), "a").join(spread.selectExpr("node AS b", "spread AS y"), "b")
+    pairs = stored(both.select("a", "b", "x", "y").mapInArrow(_possible(percent), "a long, b long").distinct(), "possible")
+    nodes = pairs.selectExpr("explode(array(a, b)) AS node").distinct()
+    wanted = stored(single.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("first")), "wanted")
+    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["first"])).select("node", "text")
+    sets = stored(texts.mapInArrow(_sets(words), "node long, tokens binary").dropDuplicates(["node"]), "sets")
     first = pairs.join(sets.selectExpr("node AS a", "tokens AS x"), "a")
     both = first.join(sets.selectExpr("node AS b", "tokens AS y"), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(_linked(percent), "a long, b long")
+    return stored(both.mapInArrow(_linked(percent), "a long, b long"), "linked")
 
 
 def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
@@ -278,13 +315,14 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
     profiles = stored(docs.mapInArrow(_profiled(words, percent, values, dfs), _PROFILE), "profiles")
     classes = profiles.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     # One row per node; rows repeated under one id may leave a few more, which later steps tolerate.
-    single = profiles.where("n > 0").join(classes.withColumnRenamed("doc_id", "first"), "node").where("doc_id <=> first")
+    single = profiles.where("n > 0").join(classes.withColumnRenamed("doc_id", "first"), "node").where("doc_id <=> first").drop("first")
 
     n = width(spark)
     posted = single.select("node", "n", "m", "light", "prefix").mapInArrow(_posted(n), f"range int, block binary, {_POSTING}")
     posted = stored(posted, "posted")
     light = posted.where("block IS NOT NULL").select("range", "block").repartition(n, "range").mapInArrow(_shared, _POSTING)
     lists = stored(light.unionByName(posted.where("block IS NULL").select("token", "node", "n", "m", "pos")).distinct(), "lists")
+    drop(posted)
 
     # Stars: every entry of a list against the one with the fewest rarer shingles.
     heads = lists.groupBy("token").agg(F.count("*").alias("entries"), F.min(F.struct("pos", "n", "node")).alias("head")).where("entries > 1")
@@ -292,12 +330,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
         f"node != head.node AND 100 * least(n, head.n) >= {percent} * greatest(n, head.n)"
     )
     stars = stored(stars.selectExpr("least(node, head.node) AS a", "greatest(node, head.node) AS b").distinct(), "stars")
-    # Larger sets of pairs follow below; their nodes are in lists of two entries or more as well.
-    active = lists.join(heads.select("token"), "token", "left_semi").select("node").distinct()
-    wanted = single.join(active, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "text")
-    sets = stored(texts.mapInArrow(_sets(words), "node long, tokens binary"), "sets")
-    linked = stored(_verified(stars, sets, percent), "linked")
+    linked = _verified(stars, single, docs, words, percent)
     united = components(linked, "united")
 
     # Pairs between different components. T is the least intersection of a linked pair; the m-th shared shingle of the
@@ -319,7 +352,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
     )
     pairs = pairs.groupBy("node", "node2").agg(F.count("*").alias("shared"), F.min(F.least("m", "m2")).alias("needed")).where("shared >= needed")
     pairs = pairs.selectExpr("least(node, node2) AS a", "greatest(node, node2) AS b").join(stars, ["a", "b"], "left_anti")
-    bridges = _verified(pairs, sets, percent)
+    bridges = _verified(pairs, single, docs, words, percent)
     links = united.selectExpr("node AS a", "component AS b").unionByName(bridges)
     final = components(links, "final")
 
