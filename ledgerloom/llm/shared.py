@@ -51,7 +51,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def remainder(doc_id: Column | str, divisor: int) -> Column:
     """crc32 of the id as text, modulo ``divisor``: the fold of a document. A null id counts as empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string")) % divisor
+    column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % divisor
 
 
 def quantiles(df: DataFrame, column: str, n: int) -> list:
