@@ -181,6 +181,7 @@ def _counted(shards: int):
         value, count = value[order], count[order]
         starts = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
         value, count = value[starts], np.add.reduceat(count, starts)
+        value, count = value[count > 0], count[count > 0]
         owner = (value % np.uint64(shards)).astype(np.int32)
         order = np.argsort(owner, kind="stable")
         value, count, owner = value[order], count[order], owner[order]
