@@ -30,6 +30,8 @@ _REVENUE = _dec(f"{_EXTENDED} * ({_dec('1', 3, 2)} - {_dec('l_discount', 3, 2)})
 _SALE_COST = _dec(f"CAST(l_quantity AS INT) * {_PRICE} * {_dec('0.6', 2, 1)}", 18, 4)
 _ORDER_DATE = "CAST(o_orderdate AS DATE)"
 _PO_VALUE = _dec(f"{_EXTENDED} * 6", 18, 2)
+# Every fifth part is bought from one supplier only.
+_SUPPLIER = "CASE WHEN l_partkey % 5 = 0 THEN l_partkey % 7 + 1 ELSE l_suppkey END"
 _EXPECTED = f"{_ORDER_DATE} + CAST(5 + l_suppkey % 41 AS INT)"
 _DELAY = "CAST(l_orderkey % 15 - 5 AS INT)"
 _OPEN = "l_linestatus = 'O'"
@@ -105,9 +107,9 @@ COLUMNS: dict[str, list[tuple[str, str]]] = {
         ("days_since_last_movement", "CAST((p_partkey * 13 + loc * 7 + k) % 150 AS INT)"),
     ],
     "purchase_orders": [
-        ("po_id", f"'PO' || {_text('l_orderkey')}"),
+        ("po_id", f"'PO' || {_text('l_orderkey')} || '-' || {_text('l_linenumber')}"),
         ("po_date", _ORDER_DATE),
-        ("supplier_id", f"'S' || {_text('l_suppkey')}"),
+        ("supplier_id", f"'S' || {_text(_SUPPLIER)}"),
         ("product_id", f"'P' || {_text('l_partkey')}"),
         ("qty_ordered", "CAST(l_quantity * 10 AS INT)"),
         ("total_po_value", _PO_VALUE),
@@ -134,18 +136,18 @@ COLUMNS: dict[str, list[tuple[str, str]]] = {
         ("write_off_flag", "o_orderkey % 97 = 0"),
     ],
     "ap_ledger": [
-        ("invoice_id", f"'API' || {_text('l_orderkey')}"),
-        ("supplier_id", f"'S' || {_text('l_suppkey')}"),
-        ("po_id", f"'PO' || {_text('l_orderkey')}"),
+        ("invoice_id", f"'API' || {_text('l_orderkey')} || '-' || {_text('l_linenumber')}"),
+        ("supplier_id", f"'S' || {_text(_SUPPLIER)}"),
+        ("po_id", f"'PO' || {_text('l_orderkey')} || '-' || {_text('l_linenumber')}"),
         ("invoice_amount", _PO_VALUE),
         ("actual_days_to_pay", f"CASE WHEN {_OPEN} THEN NULL ELSE CAST(15 + l_orderkey % 60 AS INT) END"),
         ("early_payment_discount", _dec("CASE WHEN l_orderkey % 7 = 0 THEN 25 ELSE 0 END", 12, 2)),
         ("payment_status", f"CASE WHEN {_OPEN} THEN 'pending' ELSE 'paid' END"),
     ],
     "shipments": [
-        ("shipment_id", f"'SH' || {_text('l_orderkey')}"),
-        ("po_id", f"'PO' || {_text('l_orderkey')}"),
-        ("supplier_id", f"'S' || {_text('l_suppkey')}"),
+        ("shipment_id", f"'SH' || {_text('l_orderkey')} || '-' || {_text('l_linenumber')}"),
+        ("po_id", f"'PO' || {_text('l_orderkey')} || '-' || {_text('l_linenumber')}"),
+        ("supplier_id", f"'S' || {_text(_SUPPLIER)}"),
         ("product_id", f"'P' || {_text('l_partkey')}"),
         ("ship_date", f"{_ORDER_DATE} + 2"),
         ("expected_arrival_date", _EXPECTED),
@@ -161,7 +163,6 @@ COLUMNS: dict[str, list[tuple[str, str]]] = {
 }
 
 STOCK_QTY = "CAST((p_partkey * 37 + loc * 53 + k * 29) % 200 AS INT)"
-PURCHASE_FILTER = "l_linenumber = 1 AND l_orderkey % 4 = 0"
 
 
 def derived_tables(spark: SparkSession, sf_dir: str) -> Tables:
@@ -178,7 +179,7 @@ def derived_tables(spark: SparkSession, sf_dir: str) -> Tables:
         return lines.join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
 
     def purchases() -> DataFrame:
-        return orders_with_lines(read("lineitem").where(PURCHASE_FILTER))
+        return orders_with_lines(read("lineitem"))
 
     def positions() -> DataFrame:
         cells = [

@@ -9,10 +9,10 @@ from __future__ import annotations
 import re
 
 from ledgerloom.schema import TABLES, TABLE_NAMES
-from ledgerloom.sources.derived import COLUMNS, LOCATIONS, PURCHASE_FILTER, SNAPSHOTS, STOCK_QTY
+from ledgerloom.sources.derived import COLUMNS, LOCATIONS, SNAPSHOTS, STOCK_QTY
 
 _LINES = "lineitem JOIN orders ON l_orderkey = o_orderkey"
-_PURCHASES = f"{_LINES} WHERE {PURCHASE_FILTER}"
+_PURCHASES = _LINES
 _CELLS = ", ".join(f"({loc}, {k}, DATE '{day}')" for loc in LOCATIONS for k, day in enumerate(SNAPSHOTS))
 
 _FROM = {
@@ -229,7 +229,7 @@ def oracle_queries(scenarios: list[tuple], as_of: str, free_sql: str, sales_type
         WITH one AS (SELECT product_id, min(supplier_id) AS supplier_id FROM edges GROUP BY product_id HAVING count(*) = 1)"""
     bom = """
         bom AS (SELECT DISTINCT 'P' || CAST(p_partkey AS STRING) AS component_id,
-                       'P' || CAST(p_partkey % 40 + 1 AS STRING) AS finished_id FROM part WHERE p_size <= 10),
+                       'P' || CAST(p_partkey // 4 + 1 AS STRING) AS finished_id FROM part),
         lines AS (SELECT * FROM edges LEFT JOIN bom ON product_id = component_id),
         touched AS (SELECT supplier_id, product_id FROM edges
                     UNION SELECT supplier_id, finished_id FROM lines WHERE finished_id IS NOT NULL)"""
