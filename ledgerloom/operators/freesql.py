@@ -15,6 +15,8 @@ _FORBIDDEN_NODES = (
     f"{_CATALYST}.plans.logical.ParsedStatement",
     f"{_CATALYST}.plans.logical.ScriptTransformation",
     f"{_CATALYST}.analysis.UnresolvedExecuteImmediate",
+    # IDENTIFIER(...): what it stands for is only built during analysis.
+    f"{_CATALYST}.analysis.PlanWithUnresolvedIdentifier",
 )
 # Statements that only describe.
 _ALLOWED_ROOTS = (
@@ -23,6 +25,7 @@ _ALLOWED_ROOTS = (
     "org.apache.spark.sql.execution.command.ExplainCommand",
 )
 _SUBQUERY = f"{_CATALYST}.expressions.PlanExpression"
+_IDENTIFIER = f"{_CATALYST}.analysis.ExpressionWithUnresolvedIdentifier"
 _FUNCTION = f"{_CATALYST}.analysis.UnresolvedFunction"
 _FORBIDDEN_FUNCTIONS = {"reflect", "java_method", "try_reflect"}
 
@@ -62,6 +65,8 @@ def check_read_only(spark: SparkSession, sql: str) -> None:
             expression = expressions.pop()
             if is_instance_of(gateway, expression, _SUBQUERY):
                 plans.append(expression.plan())
+            if is_instance_of(gateway, expression, _IDENTIFIER):
+                raise ReadOnlyViolation("not a read-only statement: IDENTIFIER")
             if is_instance_of(gateway, expression, _FUNCTION):
                 parts = _items(spark, expression.nameParts())
                 if parts[-1].lower() in _FORBIDDEN_FUNCTIONS:

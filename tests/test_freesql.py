@@ -29,6 +29,11 @@ REFUSED = [
     "ADD JAR '/tmp/x.jar'",
     "BEGIN DROP TABLE products; END",
     "SELECT * FROM products WHERE EXISTS (SELECT reflect('a', 'b') FROM products)",
+    "CREATE TABLE IDENTIFIER('t' || 'u') USING parquet AS SELECT 1",
+    "INSERT INTO IDENTIFIER('t' || 'u') SELECT 2",
+    "SELECT IDENTIFIER('reflect')('java.lang.System', 'getProperty', 'user.name')",
+    "CACHE TABLE IDENTIFIER('prod' || 'ucts')",
+    "CREATE TEMPORARY VIEW IDENTIFIER('v' || 'w') AS SELECT 1",
 ]
 ACCEPTED = [
     "SELECT product_id AS last_updated FROM products",
