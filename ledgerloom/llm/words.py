@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,11 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         start = end
 
 
+def strings(array: pa.Array) -> list[str]:
+    """The values as Python strings; several times as fast as ``to_pylist``."""
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
 class Words:
     """The words of a piece of text column: ``index[bounds[i]:bounds[i + 1]]`` are those of row i, in ``unique``."""
 
@@ -58,7 +64,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """64-bit hashes of the unique words."""
-        return np.fromiter(map(xxhash.xxh3_64_intdigest, self.unique.to_pylist()), np.uint64, len(self.unique))
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, strings(self.unique)), np.uint64, len(self.unique))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -142,9 +148,13 @@ class WordTokenizer:
     def _places(self, words: pa.Array) -> np.ndarray:
         """The place of each word in the cache, after learning the new ones."""
         coded = words.dictionary_encode()
-        unique = coded.dictionary.to_pylist()
-        self._learn([w for w in unique if w not in self.known])
-        place = np.fromiter(map(self.known.__getitem__, unique), np.int64, len(unique))
+        unique = strings(coded.dictionary)
+        place = np.fromiter(map(self.known.get, unique, repeat(-1)), np.int64, len(unique))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            words = [unique[i] for i in new.tolist()]
+            self._learn(words)
+            place[new] = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         self.used[place] += 1
         return place[coded.indices.to_numpy(zero_copy_only=False)]
 
