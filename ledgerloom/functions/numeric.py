@@ -43,9 +43,10 @@ def half_even(c: Column, places: int = 0) -> Column:
     """A DOUBLE rounded to the nearest decimal, judged on its exact binary value, ties to even.
 
     ``bround`` would judge the printed digits instead: 0.15 is a little less
-    than it prints and belongs to 0.1.
+    than it prints and belongs to 0.1. Infinities, whose text is no number, stay as they are.
     """
-    return F.replace(F.format_number(as_double(c), places), F.lit(","), F.lit("")).cast("double")
+    printed = F.replace(F.format_number(as_double(c), places), F.lit(","), F.lit(""))
+    return F.coalesce(printed.try_cast("double"), as_double(c))
 
 
 def half_up(c: Column, places: int) -> Column:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import as_double, half_even, half_up, money, weighted_mean, zero_if_null
 from ledgerloom.operators.classes import running_share
-from ledgerloom.plans.lineage import materialize
 from ledgerloom.plans.order import running_groups
 from ledgerloom.plans.snapshot import latest_snapshot
 from ledgerloom.plans.totals import total
@@ -93,17 +92,21 @@ def ccc_improvement_breakdown(
     return ccc_scenarios_breakdown(t, [scenario])
 
 
-def _most_valuable(t: Tables, limit: int) -> DataFrame:
-    return (
+def _first(ordered: DataFrame, limit: int | None) -> DataFrame:
+    return ordered if limit is None else ordered.limit(limit)
+
+
+def _most_valuable(t: Tables, limit: int | None) -> DataFrame:
+    rows = (
         latest_snapshot(t["inventory_snapshot"])
         .groupBy("product_id")
         .agg(F.sum("qty_on_hand").alias("total_units"), F.sum("inventory_value").alias("value"))
         .orderBy(F.col("value").desc_nulls_last(), F.col("product_id").asc_nulls_last())
-        .limit(limit)
     )
+    return _first(rows, limit)
 
 
-def working_capital_summary(t: Tables, limit: int = 50) -> DataFrame:
+def working_capital_summary(t: Tables, limit: int | None = 50) -> DataFrame:
     """The products that tie up most cash."""
     return _most_valuable(t, limit).select(
         F.coalesce("product_id", F.lit("unknown")).alias("product_id"),
@@ -112,8 +115,8 @@ def working_capital_summary(t: Tables, limit: int = 50) -> DataFrame:
     )
 
 
-def working_capital_summary_summary(t: Tables, limit: int = 50) -> DataFrame:
-    """Cash tied up in the listed products only."""
+def working_capital_summary_summary(t: Tables, limit: int | None = 50) -> DataFrame:
+    """Cash tied up in the listed products only; with ``limit=None`` in all."""
     return _most_valuable(t, limit).agg(zero_if_null(money(F.sum("value"), 2)).alias("total_cash_trapped"))
 
 
@@ -141,7 +144,7 @@ def _product_values(t: Tables, dimension: str) -> DataFrame:
 def pareto(t: Tables, dimension: str = "revenue", limit: int | None = 50) -> DataFrame:
     """Products by revenue (any other dimension: by stock value) with the running share."""
     return (
-        running_share(materialize(_product_values(t, dimension)), "v", limit)
+        running_share(_product_values(t, dimension), "v", limit)
         .orderBy(F.col("v").desc_nulls_last(), F.col("product_id").asc_nulls_last())
         .select("product_id", money(F.col("v")).alias("val"), "cum_pct")
     )
@@ -149,7 +152,7 @@ def pareto(t: Tables, dimension: str = "revenue", limit: int | None = 50) -> Dat
 
 def pareto_summary(t: Tables, dimension: str = "revenue") -> DataFrame:
     """How many products make up 80 %; counted per distinct value, without going back to products."""
-    values = materialize(_product_values(t, dimension))
+    values = _product_values(t, dimension)
     whole = as_double(total(values, F.sum("v")))
     groups = running_groups(values, "v").withColumn("_whole", whole)
     cum_pct = as_double(F.col("running")) / F.nullif(F.col("_whole"), F.lit(0.0)) * 100
@@ -207,28 +210,28 @@ def _mean_days(df: DataFrame, key: str, days: str, name: str) -> DataFrame:
     )
 
 
-def dso_by_customer(t: Tables, limit: int = 20) -> DataFrame:
+def dso_by_customer(t: Tables, limit: int | None = 20) -> DataFrame:
     """Customers that pay latest, weighted by amount. Names are joined to the listed customers only."""
     paid = t["ar_ledger"].where(F.col("days_to_pay").isNotNull())
     if not t.has("customers"):
-        return _mean_days(paid, "customer_id", "days_to_pay", "weighted_dso").limit(limit)
+        return _first(_mean_days(paid, "customer_id", "days_to_pay", "weighted_dso"), limit)
     order = [F.col("weighted_dso").desc_nulls_last(), F.col("customer_id").asc_nulls_last()]
-    slowest = (
+    slowest = _first(
         paid.groupBy("customer_id")
         .agg(
             half_up(weighted_mean(F.col("days_to_pay"), F.col("invoice_amount")), 1).alias("weighted_dso"),
             F.count(F.lit(1)).alias("invoices"),
             money(F.sum("invoice_amount")).alias("total_billed"),
         )
-        .orderBy(*order)
-        .limit(limit)
+        .orderBy(*order),
+        limit,
     )
     names = t["customers"].select("customer_id", "customer_name", "segment")
-    return (
+    return _first(
         slowest.join(names, "customer_id", "left")
         .select("customer_id", "customer_name", "segment", "weighted_dso", "invoices", "total_billed")
-        .orderBy(*order)
-        .limit(limit)
+        .orderBy(*order),
+        limit,
     )
 
 

@@ -6,27 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import as_double, half_up, money, quotient
-from ledgerloom.plans.lineage import materialize
-from ledgerloom.plans.order import running_groups
-from ledgerloom.plans.totals import bounded, total
+from ledgerloom.plans.order import running_groups, running_top
+from ledgerloom.plans.totals import BROADCAST_ROWS, total
 
 
 def running_share(base: DataFrame, value: str, limit: int | None) -> DataFrame:
-    """``base`` (one row per product, materialised) with ``pct`` and ``cum_pct``.
+    """``base`` (one row per product; ``value`` is an exact number) with ``pct`` and ``cum_pct``.
 
-    The running total is kept per distinct value and joined back. Only the
-    ``limit`` largest rows are needed for a top list; they are then the small,
-    bounded side of that join.
+    A top list takes its running totals from the listed rows. Otherwise they
+    are kept per distinct value and joined back.
     """
-    groups = running_groups(base, value).select(F.col(value).alias("_value"), "running")
     whole = as_double(total(base, F.sum(value)))
-    if limit is None:
-        rows = base
+    if limit is not None and limit <= BROADCAST_ROWS:
+        rows = running_top(base, value, "product_id", limit)
     else:
-        order = [F.col(value).desc_nulls_last(), F.col("product_id").asc_nulls_last()]
-        rows = bounded(base.orderBy(*order).limit(limit), limit)
-    joined = groups.join(rows, F.col("_value").eqNullSafe(F.col(value))).withColumn("_whole", whole)
-    return joined.select(
+        groups = running_groups(base, value).select(F.col(value).alias("_value"), "running")
+        rows = base
+        if limit is not None:
+            rows = base.orderBy(F.col(value).desc_nulls_last(), F.col("product_id").asc_nulls_last()).limit(limit)
+        rows = groups.join(rows, F.col("_value").eqNullSafe(F.col(value)))
+    return rows.withColumn("_whole", whole).select(
         *base.columns,
         (quotient(F.col(value), F.col("_whole")) * 100).alias("pct"),
         (quotient(F.col("running"), F.col("_whole")) * 100).alias("cum_pct"),
@@ -51,7 +50,7 @@ def revenue_classes(sales: DataFrame, limit: int | None) -> DataFrame:
     )
     variation = F.when(F.col("mean") > 0, F.col("deviation") / F.col("mean")).otherwise(0.0)
     return (
-        running_share(materialize(base), "rev", limit)
+        running_share(base, "rev", limit)
         .select(
             "product_id",
             "rev",

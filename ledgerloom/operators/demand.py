@@ -78,7 +78,9 @@ def detect_anomalies(
         .where(F.abs("z_score") > z_threshold)
         .withColumn("z_score", F.round("z_score", 6))
     )
-    return rows if limit is None else rows.orderBy(F.abs("z_score").desc()).limit(limit)
+    # Ordering by every column makes the listed rows definite.
+    ties = [F.col(f"`{c}`").asc_nulls_last() for c in t[table].columns]
+    return rows if limit is None else rows.orderBy(F.abs("z_score").desc(), *ties).limit(limit)
 
 
 def detect_anomalies_summary(
@@ -172,11 +174,12 @@ def _customer_revenue(sales: DataFrame) -> DataFrame:
     return sales.groupBy("customer_id").agg(F.sum("total_revenue").alias("revenue"))
 
 
-def _top_customers(sales: DataFrame, limit: int) -> DataFrame:
-    return _customer_revenue(sales).orderBy(*_by_revenue()).limit(limit)
+def _top_customers(sales: DataFrame, limit: int | None) -> DataFrame:
+    rows = _customer_revenue(sales).orderBy(*_by_revenue())
+    return rows if limit is None else rows.limit(limit)
 
 
-def customer_concentration(t: Tables, limit: int = 10) -> DataFrame:
+def customer_concentration(t: Tables, limit: int | None = 10) -> DataFrame:
     """Customers by revenue with their share of all revenue; rows without a customer form one group.
 
     Distinct products are counted for the listed customers only: doing it for
@@ -188,15 +191,15 @@ def customer_concentration(t: Tables, limit: int = 10) -> DataFrame:
         known = sales.where(F.col("customer_id").isNotNull())
         return _top_customers(known, limit).withColumn("revenue", money(F.col("revenue")))
     whole = as_double(total(_customer_revenue(sales), F.sum("revenue")))
-    top = _top_customers(sales, limit)
-    listed = bounded(top.select(F.col("customer_id").alias("_listed")), limit)
-    bought = (
-        sales.join(listed, F.col("customer_id").eqNullSafe(F.col("_listed")), "left_semi")
-        .groupBy("customer_id")
-        .agg(F.sum("total_revenue").alias("revenue"), F.count_distinct("product_id").alias("unique_products"))
+    if limit is not None:
+        top = _top_customers(sales, limit)
+        listed = bounded(top.select(F.col("customer_id").alias("_listed")), limit)
+        sales = sales.join(listed, F.col("customer_id").eqNullSafe(F.col("_listed")), "left_semi")
+    bought = sales.groupBy("customer_id").agg(
+        F.sum("total_revenue").alias("revenue"), F.count_distinct("product_id").alias("unique_products")
     )
     names = t["customers"].select("customer_id", "customer_name")
-    return (
+    rows = (
         bought.join(names, "customer_id", "left")
         .select(
             "customer_id",
@@ -206,11 +209,11 @@ def customer_concentration(t: Tables, limit: int = 10) -> DataFrame:
             "unique_products",
         )
         .orderBy(*_by_revenue())
-        .limit(limit)
     )
+    return rows if limit is None else rows.limit(limit)
 
 
-def customer_concentration_summary(t: Tables, limit: int = 10) -> DataFrame:
+def customer_concentration_summary(t: Tables, limit: int | None = 10) -> DataFrame:
     """Share of the listed customers together. Without a customer table no share is known and the risk is low."""
     sales = t["sales_transactions"]
     if not t.has("customers"):

@@ -78,13 +78,18 @@ def smart_reorder(t: Tables, limit: int | None = 20) -> DataFrame:
 
 
 def _per_product(t: Tables, skus: Iterable[str] | None, sales: DataFrame, columns: list[str]) -> DataFrame:
-    """Product attributes and per-product sales figures for all products or a given list."""
-    attributes = t["products"].select("product_id", *columns) if t.has("products") else None
+    """Product attributes and per-product sales figures, one row per listed or sold product or per given id.
+
+    Of a product listed twice the smallest known attribute counts.
+    """
+    attributes = None
+    if t.has("products"):
+        attributes = t["products"].groupBy("product_id").agg(*(F.min(c).alias(c) for c in columns))
     if skus is not None:
         wanted = t.spark.createDataFrame([(s,) for s in dict.fromkeys(skus)], "product_id string")
         spine = wanted if attributes is None else wanted.join(attributes, "product_id", "left")
     elif attributes is not None:
-        spine = attributes
+        return attributes.join(sales.where(F.col("product_id").isNotNull()), "product_id", "full")
     else:
         spine = sales.select("product_id")
     for c in columns:
@@ -186,7 +191,10 @@ def _stock_per_product(t: Tables, value_name: str) -> DataFrame:
     )
 
 
-def _age_bucket(bounds: Iterable[int] = (30, 60, 90)) -> tuple[Column, list[str]]:
+def _age_bucket(bounds: Iterable[int] | str = (30, 60, 90)) -> tuple[Column, list[str]]:
+    """``bounds``: the last day of each bucket but the open one, or a text such as ``0-30,31-60,61-90,90+``."""
+    if isinstance(bounds, str):
+        bounds = [int(part.split("-")[1].strip(" d")) for part in bounds.split(",") if "-" in part]
     bounds = list(bounds)
     labels = list(AGE_BUCKETS)
     if bounds != [30, 60, 90]:

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import zero_if_null
-from ledgerloom.plans.lineage import materialize
-from ledgerloom.plans.totals import bounded
 from ledgerloom.tables import MissingTable, Tables
 
 
@@ -21,41 +18,46 @@ def _missing(df: DataFrame, column: str) -> Column:
     return c.isNull()
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
-    """One row: how many rows repeat an earlier one in every column.
+_BITS = 62  # columns per mask
+
 
-    A 64-bit hash per row goes through the first shuffle instead of the row.
-    Only rows whose hash occurs twice can be repeats; those alone are grouped
-    by all their columns, so a hash collision cannot distort the count. The
-    repeated hashes are materialised first: if they are few, the second scan
-    filters by a broadcast and shuffles no other row.
+def _distinct_rows(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """One row per distinct row of ``df``: how often it occurs (``n``), and masks of the columns it has no value in.
+
+    Two independent 64-bit hashes, which cover the masks, stand for a row: one
+    scan, and a few numbers per row in the shuffle. Among 10^12 different rows
+    the chance that any two agree in both is about 10^-15.
     """
-    columns = [F.col(f"`{c}`") for c in df.columns]
-    hashed = df.withColumn("_hash", F.xxhash64(*columns))
-    repeated = materialize(
-        hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("_hash")
-    )
-    hashes = repeated.count()
-    if hashes == 0:
-        return df.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("duplicate_rows"))
-    groups = (
-        hashed.join(bounded(repeated, hashes), "_hash", "left_semi")
-        .groupBy(*columns)
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    return groups.agg(F.sum(F.col("_n") - 1).alias("duplicate_rows"))
+    masks = {}
+    for start in range(0, len(df.columns), _BITS):
+        bits = [F.when(_missing(df, c), 1 << i).otherwise(0) for i, c in enumerate(df.columns[start : start + _BITS])]
+        masks[f"m{start}"] = reduce(lambda a, b: a + b, bits).cast("bigint")
+    columns = [*masks.values(), *(F.col(f"`{c}`") for c in df.columns)]
+    hashes = {"h1": F.xxhash64(*columns), "h2": F.xxhash64(F.lit("second"), *reversed(columns))}
+    rows = df.select(*(c.alias(n) for n, c in {**hashes, **masks}.items()))
+    found = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), *(F.bit_or(m).alias(m) for m in masks))
+    return found, list(masks)
+
+
+def _repeats() -> Column:
+    return zero_if_null(F.sum(F.col("n") - 1)).alias("duplicate_rows")
+
+
+def duplicate_rows(df: DataFrame) -> DataFrame:
+    """One row: how many rows repeat an earlier one in every column."""
+    return _distinct_rows(df)[0].agg(_repeats())
 
 
 def _profile(name: str, df: DataFrame) -> DataFrame:
-    holes = [F.max(_missing(df, c)).cast("int") for c in df.columns]
-    row = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        zero_if_null(reduce(lambda a, b: a + b, holes)).alias("columns_with_nulls"),
+    found, masks = _distinct_rows(df)
+    holes = reduce(lambda a, b: a + b, [F.bit_count(F.bit_or(m)) for m in masks])
+    row = found.agg(
+        zero_if_null(F.sum("n")).alias("rows"), zero_if_null(holes).alias("columns_with_nulls"), _repeats()
     )
     score = F.greatest(
         F.lit(0), 100 - F.col("columns_with_nulls") * 5 - F.least("duplicate_rows", F.lit(10)) * 2
     )
-    return row.withColumn("duplicate_rows", duplicate_rows(df).scalar()).select(
+    return row.select(
         F.lit(name).alias("table_name"),
         "rows",
         F.lit(len(df.columns)).alias("columns"),
@@ -72,13 +74,8 @@ def _stacked(frames: list[DataFrame]) -> DataFrame:
 
 
 def data_quality_report(t: Tables) -> DataFrame:
-    """Size, columns with nulls, repeated rows and a score, one row per loaded table.
-
-    Looking for repeats runs a job per table; they are submitted together, so
-    that small tables do not wait for large ones.
-    """
-    with ThreadPoolExecutor(max_workers=len(t.names) or 1) as pool:
-        return _stacked(list(pool.map(lambda name: _profile(name, t[name]), t.names)))
+    """Size, columns with nulls, repeated rows and a score, one row per loaded table; one scan per table."""
+    return _stacked([_profile(name, t[name]) for name in t.names])
 
 
 def null_counts(t: Tables) -> DataFrame:

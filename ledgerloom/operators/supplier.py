@@ -271,7 +271,7 @@ def current_supplier(t: Tables, sku: str | None = None) -> DataFrame:
 
 
 def alternative_suppliers(t: Tables, sku: str | None = None, k: int = 5, shortlist: int = 512) -> DataFrame:
-    """The ``k`` best-rated suppliers that do not deliver a product, for one product or all ordered ones."""
+    """The ``k`` best-rated suppliers that do not deliver a product, for one product or all listed or ordered ones."""
     order = [F.col("rating").desc_nulls_last(), F.col("supplier_id").asc()]
     pool = supplier_vertices(t).select("supplier_id", "supplier_name", "lead_time", "rating")
     columns = ["product_id", "supplier_id", "supplier_name", "lead_time", "rating"]
@@ -280,12 +280,16 @@ def alternative_suppliers(t: Tables, sku: str | None = None, k: int = 5, shortli
         chosen = pool.join(own, "supplier_id", "left_anti").orderBy(*order).limit(k)
         return chosen.withColumn("product_id", F.lit(sku)).select(*columns)
     holdings = t["purchase_orders"].where((F.col("supplier_id") != "") & (F.col("product_id") != ""))
+    items = holdings.select("product_id")
+    if t.has("products"):
+        items = items.union(t["products"].where(F.col("product_id") != "").select("product_id"))
     return best_absent(
         holdings.select("product_id", "supplier_id"),
         pool,
         order,
         item="product_id",
         member="supplier_id",
+        items=items.distinct(),
         k=k,
         shortlist=shortlist,
     ).select(*columns)

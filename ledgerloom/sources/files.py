@@ -28,6 +28,10 @@ class MissingColumns(ValueError):
     """A file lacks required columns."""
 
 
+class RejectedFile(ValueError):
+    """A file holds values or lines that do not fit its table."""
+
+
 def table_spec(category: str) -> TableSpec:
     if category not in TABLES:
         raise UnknownCategory(f"unknown category {category!r}; expected one of {list(TABLE_NAMES)}")
@@ -109,11 +113,24 @@ def validate_file(spark: SparkSession, path: str, category: str) -> DataFrame:
     )
 
 
-def store_file(spark: SparkSession, path: str, category: str, folder: str) -> str:
-    """Keeps a CSV file as parquet under a name with its category and the time; returns that path."""
+def bad_row() -> Column:
+    """Whether a row of ``read_csv`` has a cell or line that does not fit."""
+    return (F.size(BAD_CELLS) > 0) | F.col(CORRUPT).isNotNull()
+
+
+def store_file(spark: SparkSession, path: str, category: str, folder: str, on_error: str = "fail") -> str:
+    """Keeps a CSV file as parquet under a name with its category and the time; returns that path.
+
+    ``on_error``: 'fail' writes nothing and raises if any cell or line does not fit, 'null' leaves those cells empty.
+    """
+    if on_error not in ("fail", "null"):
+        raise ValueError("on_error must be 'fail' or 'null'")
+    df = read_csv(spark, path, category)
+    if on_error == "fail" and (wrong := df.where(bad_row()).count()):
+        raise RejectedFile(f"{category}: {wrong} rows do not fit the declared types")
     stamp = datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S_%f")
     target = f"{folder.rstrip('/')}/{category}_{stamp}.parquet"
-    read_csv(spark, path, category).drop(BAD_CELLS, CORRUPT).write.parquet(target)
+    df.drop(BAD_CELLS, CORRUPT).write.parquet(target)
     return target
 
 

@@ -15,14 +15,10 @@ from pyspark.sql import types as T
 
 from ledgerloom.operators.overview import kpi_record
 from ledgerloom.schema import KPI_HISTORY, LEGACY_TABLES, TABLES, UPLOAD_LOG
-from ledgerloom.sources.files import BAD_CELLS, CORRUPT, check_required, file_size, read_csv, table_spec
+from ledgerloom.sources.files import BAD_CELLS, CORRUPT, RejectedFile, bad_row, check_required, file_size, read_csv, table_spec
 from ledgerloom.tables import Tables
 
 
-class RejectedFile(ValueError):
-    """A file holds values or lines that do not fit its table."""
-
-
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -69,8 +65,7 @@ class Store:
             raise ValueError("on_error must be 'fail' or 'null'")
         table_spec(category)
         df = read_csv(self.spark, path, category, multi_line)
-        bad = (F.size(BAD_CELLS) > 0) | F.col(CORRUPT).isNotNull()
-        return self._write(df, category, filename or path.rsplit("/", 1)[-1], bad, on_error)
+        return self._write(df, category, filename or path.rsplit("/", 1)[-1], bad_row(), on_error)
 
     def _write(self, df: DataFrame, category: str, filename: str, bad, on_error: str) -> int:
         spec = table_spec(category)

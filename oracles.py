@@ -297,17 +297,17 @@ def oracle_queries(scenarios: list[tuple], as_of: str, free_sql: str, sales_type
             ORDER BY priority, i.days_of_supply, i.product_id, i.location_id LIMIT 20""",
         "safety_stock": """
             WITH s AS (SELECT product_id, stddev_samp(qty_sold) AS sd FROM sales_transactions GROUP BY product_id),
-            x AS (SELECT p.product_id, coalesce(nullif(sd, 0), 50.0) AS sigma,
+            x AS (SELECT product_id, coalesce(nullif(sd, 0), 50.0) AS sigma,
                          coalesce(nullif(lead_time_days, 0), 14) AS lead_time
-                  FROM products p LEFT JOIN s ON p.product_id = s.product_id)
+                  FROM products FULL JOIN s USING (product_id))
             SELECT product_id, CAST(CAST(printf('%.0f', 1.65::DOUBLE * sigma * sqrt(lead_time)) AS DOUBLE) AS BIGINT) AS safety_stock,
                    CAST(printf('%.2f', sigma) AS DOUBLE) AS demand_std, lead_time, 1.65::DOUBLE AS z_score FROM x""",
         "eoq": """
             WITH s AS (SELECT product_id, sum(qty_sold) AS q, count(DISTINCT transaction_date) AS days
                        FROM sales_transactions GROUP BY product_id),
-            x AS (SELECT p.product_id, CAST(coalesce(q, 0) AS DOUBLE) / greatest(coalesce(days, 1), 1) * 365 AS annual,
+            x AS (SELECT product_id, CAST(coalesce(q, 0) AS DOUBLE) / greatest(coalesce(days, 1), 1) * 365 AS annual,
                          coalesce(nullif(CAST(unit_cost AS DOUBLE), 0), 10.0) AS unit_cost
-                  FROM products p LEFT JOIN s ON p.product_id = s.product_id),
+                  FROM products FULL JOIN s USING (product_id)),
             y AS (SELECT *, CAST(CAST(printf('%.0f', sqrt(2 * annual * 50 / (unit_cost * 0.25::DOUBLE))) AS DOUBLE) AS BIGINT) AS eoq FROM x)
             SELECT product_id, eoq, CAST(CAST(printf('%.0f', annual) AS DOUBLE) AS BIGINT) AS annual_demand, unit_cost,
                    CASE WHEN eoq > 0 THEN CAST(printf('%.1f', annual / eoq) AS DOUBLE) ELSE 0 END AS orders_per_year FROM y""",
@@ -522,7 +522,7 @@ def oracle_queries(scenarios: list[tuple], as_of: str, free_sql: str, sales_type
             FROM edges e JOIN vertices USING (supplier_id) LEFT JOIN products p ON e.product_id = p.product_id
             GROUP BY supplier_id, supplier_name""",
         "alternative_suppliers": _alternatives(
-            "SELECT * FROM (SELECT DISTINCT product_id FROM edges) CROSS JOIN (SELECT * FROM vertices)",
+            "SELECT * FROM (SELECT product_id FROM edges UNION SELECT product_id FROM products) CROSS JOIN (SELECT * FROM vertices)",
             "",
             "rating DESC NULLS LAST, supplier_id",
         ),
@@ -564,4 +564,24 @@ def oracle_queries(scenarios: list[tuple], as_of: str, free_sql: str, sales_type
             FROM ({_counts('SELECT count(*) AS n FROM {name}')})""",
         "run_sql_query": free_sql,
     }
+
+    def only(key: str, condition: str) -> str:
+        return f"SELECT * FROM ({texts[key]}) WHERE {condition}"
+
+    listed = "product_id IN ('P1', 'P2')"
+    texts |= {
+        "single_source_risks_all": texts["single_source_risks"].replace(" LIMIT 50", ""),
+        "shipments_in_transit_all": texts["shipments_in_transit"].replace(" LIMIT 20", ""),
+        "working_capital_total": f"SELECT {_double('sum(v)')} AS total_cash_trapped FROM stock",
+        "dso_by_customer_all": texts["dso_by_customer"].replace(" LIMIT 20", ""),
+        "abc_xyz_computed_all": texts["abc_xyz_computed"].replace(" LIMIT 100", ""),
+        "forecast_demand_one": only("forecast_demand", "product_id = 'P1'"),
+        "seasonality_one": texts["seasonality"].replace("GROUP BY 1", "WHERE product_id = 'P1' GROUP BY 1"),
+        "safety_stock_some": only("safety_stock", listed),
+        "eoq_some": only("eoq", listed),
+        "ripple_effect_one": only("ripple_effect", "supplier_id = 'S1'"),
+        "alternative_suppliers_one": only("alternative_suppliers", "product_id = 'P1'"),
+        "alternative_suppliers_same_category_one": only("alternative_suppliers_same_category", "product_id = 'P1'"),
+        "shipment_tracking_delayed": only("shipment_tracking", "status = 'Delayed'"),
+    }
     return {key: _complete(sql) for key, sql in texts.items()}

@@ -5,6 +5,9 @@ from decimal import Decimal
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from ledgerloom.functions import half_even
 from ledgerloom.operators import cash, catalog, demand, inventory, overview, quality, supplier
 from ledgerloom.sources.graph import product_vertices, supplier_vertices, supply_edges
 from ledgerloom.tables import MissingTable
@@ -41,6 +44,38 @@ def test_single_sale(make, rows):
     }
 
 
+def test_sold_products_missing_from_products_and_listed_twice(make, rows):
+    t = make(
+        sales_transactions=[sale("P9", 3, 10), sale("P1", 1, 5)],
+        products=[dict(product_id="P1", lead_time_days=4, unit_cost=2), dict(product_id="P1", lead_time_days=9, unit_cost=3)],
+    )
+    assert {p: r["lead_time"] for p, r in by(rows(inventory.safety_stock(t)), "product_id").items()} == {"P1": 4, "P9": 14}
+    assert len(rows(inventory.safety_stock(t))) == 2
+    assert {p: r["unit_cost"] for p, r in by(rows(inventory.eoq(t)), "product_id").items()} == {"P1": 2.0, "P9": 10.0}
+
+
+def test_alternatives_for_products_without_orders(make, rows):
+    t = make(
+        products=[dict(product_id="P1"), dict(product_id="P2")],
+        suppliers=[dict(supplier_id="S1"), dict(supplier_id="S2")],
+        purchase_orders=[dict(supplier_id="S1", product_id="P1")],
+    )
+    found = {(r["product_id"], r["supplier_id"]) for r in rows(supplier.alternative_suppliers(t))}
+    assert found == {("P1", "S2"), ("P2", "S1"), ("P2", "S2")}
+
+
+def test_age_buckets_as_text(make, rows):
+    t = make(inventory_snapshot=[stock("P1", 1, days_since_last_movement=50, inventory_value=1)])
+    as_text = rows(inventory.inventory_aging_buckets(t, "0-30,31-60,61-90,90+"))
+    assert as_text == rows(inventory.inventory_aging_buckets(t)) and [r["sku_count"] for r in as_text] == [0, 1, 0, 0]
+
+
+def test_half_even_keeps_infinities(make, spark):
+    values = spark.createDataFrame([(float("inf"),), (float("-inf"),), (2.5,), (None,)], "x double")
+    got = [r[0] for r in values.select(half_even(F.col("x"))).collect()]
+    assert got == [float("inf"), float("-inf"), 2.0, None]
+
+
 def test_one_product_with_most_revenue_is_never_class_a(make, rows):
     t = make(sales_transactions=[sale("P1", 1, 90), sale("P2", 1, 6), sale("P3", 1, 4)])
     assert [r["abc"] for r in rows(inventory.abc_xyz_computed(t))] == ["B", "C", "C"]

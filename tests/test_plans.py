@@ -5,11 +5,15 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from __spark_entry__ import queries
+from __spark_entry__ import _PLAIN, _WITH_PARAMETERS, queries
 from conftest import SMALL
 from ledgerloom.plans.absent import best_absent
-from ledgerloom.plans.order import global_rank, running_groups
+from ledgerloom.plans.order import global_rank, running_groups, running_top
 from ledgerloom.plans.snapshot import latest_snapshot
+from ledgerloom.sources.derived import derived_tables
+from ledgerloom.tables import Tables
+
+ASKED = {**_PLAIN, **_WITH_PARAMETERS}
 
 
 def executed(df):
@@ -147,10 +151,46 @@ def test_plan_has_no_cartesian_or_python(spark, name):
 
 def test_filters_and_columns_reach_the_scan(spark):
     plan = executed(queries()["supply_edges"](spark, SMALL))
-    assert "EqualTo(l_linenumber,1)" in plan.split("PushedFilters: ")[1]
+    assert "IsNotNull(l_orderkey)" in plan.split("PushedFilters: ")[1]
+    assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_suppkey:bigint>" in plan
     assert "l_extendedprice" not in plan
 
 
+TOP_LISTS = ["pareto", "pareto_inventory", "abc_xyz_computed", "abc_xyz_with_pct"]
+
+
+@pytest.mark.parametrize("name", TOP_LISTS)
+def test_top_lists_sort_no_whole_table(spark, name):
+    """Apart from the order of the listed rows, which has few rows left to sort."""
+    assert "rangepartitioning" not in executed(queries()[name](spark, SMALL).limit(1000))
+
+
+@pytest.mark.parametrize("name", [*TOP_LISTS, "pareto_all", "pareto_summary", "abc_xyz_classification", "data_quality_report", "check_quality"])
+def test_building_starts_no_job(spark, name):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(f"build-{name}", "building only")
+    derived = derived_tables(spark, SMALL)
+    # Opening a file makes Spark read its footer in a job; no question is asked yet.
+    t = Tables(spark, {n: derived[n] for n in derived.names})
+    before = len(tracker.getJobIdsForGroup(f"build-{name}"))
+    ASKED[name](t)
+    try:
+        assert len(tracker.getJobIdsForGroup(f"build-{name}")) == before
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("limit", [1, 3, 7, 12, 50])
+def test_running_top_matches_brute_force(spark, limit):
+    values = [5, 5, 5, 9, 9, 2, 2, 2, 2, -1, None, None, 0]
+    df = spark.createDataFrame([(f"k{i:02d}", v) for i, v in enumerate(values)], "k string, v int")
+    df = df.withColumn("v", F.col("v").cast("decimal(12,2)")).repartition(3)
+    known = [v for v in values if v is not None]
+    ordered = sorted(enumerate(values), key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))[:limit]
+    wanted = {f"k{i:02d}": sum(x for x in known if v is None or x >= v) for i, v in ordered}
+    assert {r.k: r.running for r in running_top(df, "v", "k", limit).collect()} == wanted
+
+
 @pytest.mark.parametrize("name", ["kpi_summary", "pareto_all", "abc_xyz_with_pct", "forecast_demand", "customer_concentration"])
 def test_same_result_for_any_partitioning(spark, name):
     before = spark.conf.get("spark.sql.shuffle.partitions")

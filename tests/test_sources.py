@@ -132,6 +132,10 @@ def test_snapshots_are_partitioned_and_kpis_recorded(spark, make, tmp_path):
 def test_store_file_and_json(spark, csv, tmp_path):
     kept = store_file(spark, csv("p.csv", PRODUCTS), "products", str(tmp_path / "kept"))
     assert kept.split("/")[-1].startswith("products_") and spark.read.parquet(kept).count() == 2
+    broken = csv("bad.csv", PRODUCTS + "x,P3,c,2,1,\n")
+    with pytest.raises(RejectedFile, match="1 rows"):
+        store_file(spark, broken, "products", str(tmp_path / "kept"))
+    assert spark.read.parquet(store_file(spark, broken, "products", str(tmp_path / "kept"), on_error="null")).count() == 3
     out = str(tmp_path / "json")
     write_json(spark.read.parquet(kept).select("product_id", "unit_cost"), out)
     assert spark.read.json(out).count() == 2
