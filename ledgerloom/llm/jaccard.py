@@ -28,7 +28,7 @@ FREQUENT = 16  # shingles in fewer documents are ordered by hash alone
 LISTED = 1 << 20  # frequent shingles whose counts every task knows, most frequent first; bounds the broadcast to 16 MB
 MOST_MATCHES = 8
 VERIFY_COST = 20.0  # of verifying a candidate, in list entries
-BUFFER = 1 << 22
+BUFFER = 1 << 21  # shingles a task holds before it combines them
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -62,7 +62,13 @@ def _counted(words: int, ranges: int):
     """Map side of the shingle counts: sorted distinct hashes (40 bits, byte by byte, so they compress) and counts above 1."""
 
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-        values, counts = np.unique(np.concatenate(held) >> np.uint64(24), return_counts=True)
+        values = np.concatenate(held)
+        held.clear()
+        values >>= np.uint64(24)
+        values.sort()
+        starts = np.flatnonzero(np.diff(values, prepend=np.uint64(1 << 41)))
+        counts = np.diff(starts, append=len(values))
+        values = values[starts]
         owner, bounds = _pieces(values, ranges)
         planes, more = [], []
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
@@ -79,7 +85,7 @@ def _counted(words: int, ranges: int):
                 size += sum(map(len, held[-part.num_rows :]))
                 if size > BUFFER:
                     yield flush(held)
-                    held, size = [], 0
+                    size = 0
         if size:
             yield flush(held)
 
@@ -272,14 +278,15 @@ def _sets(words: int):
 def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = []
-            for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate([a, b]))
-                common = int((both[1:] == both[:-1]).sum())
-                if 100 * common >= percent * (len(both) - common):
-                    kept.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
+            for part in slices(batch, "x"):
+                kept = []
+                for i, (x, y) in enumerate(zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True)):
+                    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    both = np.sort(np.concatenate([a, b]))
+                    common = int((both[1:] == both[:-1]).sum())
+                    if 100 * common >= percent * (len(both) - common):
+                        kept.append(i)
+                yield part.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
     return run
 
