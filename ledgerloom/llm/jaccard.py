@@ -28,7 +28,8 @@ FREQUENT = 16  # shingles in fewer documents are ordered by hash alone
 LISTED = 1 << 20  # frequent shingles whose counts every task knows, most frequent first; bounds the broadcast to 16 MB
 MOST_MATCHES = 8
 VERIFY_COST = 20.0  # of verifying a candidate, in list entries
-BUFFER = 1 << 21  # shingles a task holds before it combines them
+BUFFER = 1 << 20  # shingles a task holds before it combines them
+SLICE = 1 << 20  # bytes of text shingled at a time
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -80,12 +81,13 @@ def _counted(words: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE):
                 held += shingle_sets(part.column("text"), words)
                 size += sum(map(len, held[-part.num_rows :]))
                 if size > BUFFER:
                     yield flush(held)
                     size = 0
+                    pa.default_memory_pool().release_unused()
         if size:
             yield flush(held)
 
@@ -100,17 +102,18 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             value = np.zeros(bytes_.shape[1], np.uint64)
             for plane in bytes_:
                 value = (value << np.uint64(8)) | plane
-            count = np.ones(len(value), np.int64)
+            count = np.ones(len(value), np.uint32)
             often = np.frombuffer(more, np.uint32).reshape(2, -1)
             count[often[0]] = often[1]
             values.append(value)
             counts.append(count)
     if values:
         value, count = np.concatenate(values), np.concatenate(counts)
+        values.clear(), counts.clear()
         order = np.argsort(value, kind="stable")
         value, count = value[order], count[order]
         starts = np.flatnonzero(np.diff(value, prepend=np.uint64(1 << 41)))
-        sums = np.add.reduceat(count, starts)
+        sums = np.add.reduceat(count, starts, dtype=np.int64)
         kept = sums >= FREQUENT
         yield pa.RecordBatch.from_arrays([pa.array(value[starts][kept].astype(np.int64)), pa.array(sums[kept])], ["value", "df"])
 
@@ -178,7 +181,7 @@ def _possible(percent: int):
 def _profiled(words: int, percent: int, values: np.ndarray, dfs: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE):
                 sets = shingle_sets(part.column("text"), words)
                 found = [_prefix(s, values, dfs, percent) if len(s) else (0, 0, s) for s in sets]
                 nodes = [xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else 0 for s in sets]
@@ -234,7 +237,7 @@ def _posted(ranges: int):
                 light.append(tuple(c[:few] for c in columns))
                 heavy.append(tuple(c[few:] for c in columns))
                 size += k
-                if size > BUFFER // 4:
+                if size > BUFFER // 2:
                     yield flush(light, heavy)
                     light, heavy, size = [], [], 0
         if size:
@@ -265,7 +268,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE):
                 nodes = part.column("node").to_pylist()
                 sets = [s.tobytes() for s in shingle_sets(part.column("text"), words)]
                 # Rows of one id may have different texts: only the one whose set is the node's counts.
@@ -278,7 +281,7 @@ def _sets(words: int):
 def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "x"):
+            for part in slices(batch, "x", SLICE):
                 kept = []
                 for i, (x, y) in enumerate(zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True)):
                     a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
