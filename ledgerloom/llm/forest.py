@@ -7,7 +7,11 @@ counted in the first of them only, so links are counted without writing pairs do
 
 Dense groups need no comparisons. Nodes within half the linking angle of a sampled pivot all link with each other; such
 balls are kept when they are large. A node links with all of a ball, or none, when its angle to the pivot says so for
-every member; only the nodes in between are compared with members. The forest holds the nodes outside balls.
+every member; only the nodes in between are compared with members.
+
+Groups of near copies that spread further have wide balls of up to the linking angle, around pivots chosen until none has
+many other nodes left within that angle. Members are compared with each other and with the nodes in between, slice by
+slice in tasks of their own, so all links of a node in a ball are found. The forest holds the nodes outside balls.
 """
 
 from __future__ import annotations
@@ -29,8 +33,8 @@ SPILL = 0.12  # share of a node's sample, on either side of a cut, that goes to
 LEAF = 384  # nodes of the most frequent label in a leaf
 SAMPLE = 30_000  # nodes that the trees are fitted on
 PIVOTS = 2048  # sampled nodes that balls form around
-LEAST_BALL = 64  # nodes in a ball
-BLOCK = 1024
+LEAST_BALL = 64  # nodes in a ball, or left within the linking angle of a pivot that becomes the centre of a wide one
+BLOCK = 1024  # least nodes in a slice of a ball; slices grow from 64 of them on
 
 
 def _unit(rows: list[bytes], dim: int) -> np.ndarray:
@@ -106,25 +110,77 @@ def _against_balls(balls: pd.DataFrame, pivots: dict, whole: float):
     return run
 
 
+def _left(pivots: dict, leaders: set[int], cosine: float):
+    """Per pivot, the nodes that link with it and with none of ``leaders``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            for key, rows in frame.groupby(["label", "dim"]).indices.items():
+                if key in pivots:
+                    numbers, p = pivots[key]
+                    near = _unit(frame["v"].iloc[rows].tolist(), key[1]) @ p.T >= cosine
+                    near = near[~near[:, [n in leaders for n in numbers.tolist()]].any(axis=1)]
+                    yield pd.DataFrame({"ball": numbers, "n": near.sum(axis=0)})
+
+    return run
+
+
+def _spread_out(pivots: dict, counts: dict[int, int], cosine: float) -> set[int]:
+    """Pivots with many nodes left, those with most first, none of which links with another."""
+    chosen: set[int] = set()
+    for numbers, p in pivots.values():
+        taken: list[int] = []
+        for i in sorted(range(len(numbers)), key=lambda i: -counts.get(int(numbers[i]), 0)):
+            if counts.get(int(numbers[i]), 0) < LEAST_BALL:
+                break
+            if not taken or (p[taken] @ p[i]).max() < cosine:
+                taken.append(i)
+        chosen |= set(numbers[taken].tolist())
+    return chosen
+
+
+def _united(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The first place of each place's component, when ``i`` and ``j`` are linked as well."""
+    while True:
+        a, b = root[i], root[j]
+        if (a == b).all():
+            return root
+        low = np.minimum(a, b)
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        while ((up := root[root]) != root).any():
+            root = up
+
+
 def _met(least: float):
-    """Members of one slice of a ball (kind 0) against the nodes that may link with some of them (kind 1)."""
+    """One slice of a ball's members (kind 0) against another, or against nodes that may link with some of them (kind 1), or itself."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        itself = frame["one"].iloc[0] == frame["other"].iloc[0]
         members, others = frame[frame["kind"] == 0], frame[frame["kind"] == 1]
-        if not len(members) or not len(others):
+        n, more = len(members), 0 if itself else len(others)
+        if not n or not (itself or more):
             return pd.DataFrame({"a": [], "links": [], "b": []}).astype("int64")
+        if itself:
+            others = members
         dim = len(members["v"].iloc[0]) // 8
-        x, out = _unit(members["v"].tolist(), dim), []
-        gain = np.zeros(len(members), np.int64)
+        x, m = _unit(members["v"].tolist(), dim), members["m"].to_numpy()
+        root, gain, place = np.arange(n + more), np.zeros(n + more, np.int64), 0 if itself else n
         for at in range(0, len(others), BLOCK):
             some = others.iloc[at : at + BLOCK]
             near = _unit(some["v"].tolist(), dim) @ x.T >= least
-            gain += some["m"].to_numpy() @ near
+            own = place + at + np.arange(len(some))
+            if itself:
+                near[np.arange(len(some)), own] = False
+            else:
+                gain[:n] += some["m"].to_numpy() @ near
+            gain[own] += near @ m
             found = near.any(axis=1)
-            first = members["node"].to_numpy()[near.argmax(axis=1)]
-            out.append(pd.DataFrame({"a": some["node"].to_numpy(), "links": near @ members["m"].to_numpy(), "b": first})[found])
-        nodes = members["node"].to_numpy()
-        return pd.concat([*out, pd.DataFrame({"a": nodes, "links": gain, "b": nodes})[gain > 0]])
+            root = _united(root, own[found], near.argmax(axis=1)[found])
+            i, j = np.nonzero(near & (root[own][:, None] != root[:n]))
+            root = _united(root, own[i], j)
+        nodes = members["node"].to_numpy() if itself else np.concatenate([members["node"], others["node"]])
+        return pd.DataFrame({"a": nodes, "links": gain, "b": nodes[root]})[gain > 0]
 
     return run
 
@@ -247,30 +303,62 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, trees: int = TREES
         centres[key[0], int(key[1])] = (at.astype(np.int32), _unit(drawn["v"].iloc[at].tolist(), int(key[1])))
     schema = "node long, label string, dim int, v binary, m long, ball int, angle double"
     near = stored(nodes.select("node", "label", "dim", "v", "m").mapInPandas(_near_pivots(centres, whole / 2), schema), "near")
-    # At most as many balls as pivots.
-    balls = near.where("ball >= 0").groupBy("ball").agg(
-        F.count("*").alias("nodes"), F.sum("m").alias("m"), F.max("angle").alias("radius"), F.min("node").alias("head")
-    )
-    kept = balls.where(F.col("nodes") >= LEAST_BALL).toPandas().sort_values("ball", ignore_index=True)
-    frame = spark.createDataFrame(kept, "ball int, nodes long, m long, radius double, head long")
-    placed = near.join(F.broadcast(frame.selectExpr("ball", "nodes AS ball_nodes", "m AS ball_m", "head")), "ball", "left")
-    inside = placed.where("ball_m IS NOT NULL")
-    parts = [inside.selectExpr("node AS a", "ball_m - m AS links", "head AS b")]
+    # At most as many balls as pivots, and as many wide ones.
+    ends = [F.count("*").alias("nodes"), F.sum("m").alias("m"), F.max("angle").alias("radius"), F.min("node").alias("head")]
+    kept = near.where("ball >= 0").groupBy("ball").agg(*ends).where(F.col("nodes") >= LEAST_BALL).toPandas()
+    tight = F.broadcast(spark.createDataFrame(kept[["ball"]], "ball int"))
+    inside = near.join(tight, "ball", "left_semi").select("node", "label", "dim", "v", "m", "ball")
+    sparse = near.join(tight, "ball", "left_anti").select("node", "label", "dim", "v", "m")
+
+    leaders: set[int] = set()
+    while True:
+        counts = sparse.mapInPandas(_left(centres, leaders, cosine), "ball int, n long").groupBy("ball").agg(F.sum("n").alias("n"))
+        counts = {r.ball: r.n for r in counts.where(F.col("n") >= LEAST_BALL).collect() if r.ball not in leaders}
+        if not counts:
+            break
+        leaders |= _spread_out(centres, counts, cosine)
+    if leaders:
+        wide: dict = {}
+        for key, (numbers, p) in centres.items():
+            own = np.isin(numbers, list(leaders))
+            if own.any():
+                wide[key] = (numbers[own] + np.int32(pivots), p[own])
+                centres[key] = (np.concatenate([numbers, wide[key][0]]), np.concatenate([p, p[own]]))
+        # A pivot links with what is at the angle, whichever way that is rounded.
+        around = stored(sparse.mapInPandas(_near_pivots(wide, whole + 1e-9), schema), "wide")
+        kept = pd.concat([kept, around.where("ball >= 0").groupBy("ball").agg(*ends).toPandas()])
+        inside = inside.unionByName(around.where("ball >= 0").select("node", "label", "dim", "v", "m", "ball"))
+        sparse = around.where("ball < 0").select("node", "label", "dim", "v", "m")
+
+    parts = []
     if len(kept):
-        own = placed.selectExpr("node", "label", "dim", "v", "m", "IF(ball_m IS NULL, -1, ball) AS ball")
+        kept = kept.sort_values("ball", ignore_index=True)
+        frame = spark.createDataFrame(kept, "ball int, nodes long, m long, radius double, head long")
+        alike = inside.join(F.broadcast(frame.where(F.col("radius") <= whole / 2).selectExpr("ball", "m AS ball_m", "head")), "ball")
+        parts.append(alike.selectExpr("node AS a", "ball_m - m AS links", "head AS b"))
+        own = inside.unionByName(sparse.withColumn("ball", F.lit(-1)))
         asked = stored(own.mapInPandas(_against_balls(kept, centres, whole), "node long, m long, v binary, ball int, surely boolean"), "asked")
         sure = asked.where("surely").select("node", "m", "ball")
-        parts.append(sure.join(F.broadcast(frame.selectExpr("ball", "m AS ball_m", "head")), "ball").selectExpr("node AS a", "ball_m AS links", "head AS b"))
+        heads = F.broadcast(frame.selectExpr("ball", "m AS ball_m", "head"))
+        parts.append(sure.join(heads, "ball").selectExpr("node AS a", "ball_m AS links", "head AS b"))
         to_all = sure.groupBy("ball").agg(F.sum("m").alias("links"))
-        parts.append(inside.join(to_all, "ball").selectExpr("node AS a", "links", "node AS b"))
-        # Members in slices of about BLOCK, each against all nodes in between.
-        slices = F.ceil(F.col("ball_nodes") / BLOCK).cast("int")
-        members = inside.select("ball", F.pmod(F.xxhash64("node"), slices).cast("int").alias("slice"), "node", "m", "v", F.lit(0).alias("kind"))
-        between = asked.where("NOT surely").join(F.broadcast(frame.selectExpr("ball", "nodes AS ball_nodes")), "ball")
-        between = between.select("ball", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), "node", "m", "v", F.lit(1).alias("kind"))
-        parts.append(members.unionByName(between).groupBy("ball", "slice").applyInPandas(_met(cosine), result))
-
-    sparse = placed.where("ball_m IS NULL").select("node", "label", "dim", "v", "m")
+        parts.append(inside.join(to_all, "ball").join(heads, "ball").selectExpr("node AS a", "links", "head AS b"))
+        # Slices of members, each against itself and later ones where the ball is wide, and against all nodes in between.
+        met = kept.merge(asked.where("NOT surely").groupBy("ball").count().toPandas(), "left", "ball").fillna({"count": 0})
+        cut = lambda n: np.ceil(n / np.clip(n / 64, BLOCK, 16 * BLOCK)).astype(int)
+        met = pd.DataFrame({"ball": met["ball"], "slices": cut(met["nodes"]), "beyond": cut(met["count"]), "wide": met["radius"] > whole / 2})
+        met = F.broadcast(spark.createDataFrame(met, "ball int, slices int, beyond int, wide boolean"))
+        dealt = lambda df, n: df.join(met, "ball").withColumn("at", F.pmod(F.xxhash64("node"), F.expr(n)).cast("int"))
+        pair = lambda df, one, other, kind: df.selectExpr("ball", one, other, "node", "m", "v", f"{kind} AS kind")
+        members = dealt(inside, "slices")
+        first = members.withColumn("first", F.expr("IF(wide, at, slices)")).where("first < slices + beyond")
+        second = members.where("wide AND at > 0")
+        between = dealt(asked.where("NOT surely"), "beyond")
+        pairs = pair(first, "at AS one", "explode(sequence(first, slices + beyond - 1)) AS other", 0)
+        pairs = pairs.unionByName(pair(second, "explode(sequence(0, at - 1)) AS one", "at AS other", 1))
+        pairs = pairs.unionByName(pair(between, "explode(sequence(0, slices - 1)) AS one", "slices + at AS other", 1))
+        parts.append(pairs.groupBy("ball", "one", "other").applyInPandas(_met(cosine), result))
+
     most = sparse.groupBy("label", "dim").count().agg(F.max("count").alias("n")).first().n or 0
     depth = max(0, int(np.ceil(np.log2(max(1, most) / LEAF) / np.log2(2 / (1 + 2 * SPILL)))))
     drawn = sparse.orderBy(F.xxhash64("node", F.lit(1)), "node").limit(sample).select("dim", "v").toPandas()

@@ -322,6 +322,23 @@ def test_near_vectors(spark):
     assert all(found[i].n_links == 0 and found[i].component_id == i and found[i].kept for i in (10_000, 10_001, 10_002, 10_003, 10_004, 20_000))
 
 
+@pytest.mark.parametrize("cosines", [[0.95], [0.99, 0.95, 0.94]])
+def test_large_groups_of_near_vectors_keep_all_links(spark, cosines):
+    rng = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    centre, parts = unit(rng.standard_normal(64)), [unit(rng.standard_normal((2000, 64)))]
+    for cosine in cosines:
+        parts.append(unit(math.sqrt(cosine) * centre + math.sqrt(1 - cosine) * unit(rng.standard_normal((5000 // len(cosines), 64)))))
+    x = np.concatenate(parts)
+    found = near_duplicates(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()
+    got = np.array([r.n_links for r in sorted(found, key=lambda r: r.vec_id)])
+    dots = x @ x.T
+    low, high = (dots >= 0.93 + 1e-9).sum(axis=1) - 1, (dots >= 0.93 - 1e-9).sum(axis=1) - 1
+    assert (low <= high).all() and (got <= high).all() and got.sum() >= 0.9999 * low.sum()
+    if len(cosines) == 1:
+        assert (got >= low).all() and {r.component_id for r in found if r.vec_id >= 2000} == {2000}
+
+
 def test_pipeline(spark, docs):
     rows = corpus_pipeline.run(spark, SMALL).collect()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["languages", "toxic", "near_duplicates", "packing"]
