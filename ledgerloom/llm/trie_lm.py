@@ -2,9 +2,9 @@
 
 The model is a bigram model with Witten-Bell smoothing over a unigram model: p(w|u) = (c(u,w) + k t(u) p(w)) / (c(u) + k t(u)),
 where t(u) is the number of distinct successors of u and k weights the smoothing. Texts become (context, successor)
-pairs, dealt out by context; the pairs of a very frequent context are spread by successor. Whoever owns a context
-builds its part of the trie from the pairs of training documents, and scores the pairs of all documents with it, so every
-pair is shuffled once. Scores go back as sums per document.
+pairs, dealt out by context; the pairs of a very frequent context are spread by successor, after its distinct successors
+have been counted. Whoever owns a context builds its part of the trie from the pairs of training documents, and scores
+the pairs of all documents with it, so every pair is shuffled once. Scores go back as sums per document.
 
 A shard of the trie is one memory-mapped file. Its levels are Elias-Fano sequences: the sorted hashes of contexts,
 pointers to their first successors, and the successors, relative to their context and made monotone by its number. Next
@@ -239,11 +239,11 @@ def _at_least(times: int):
     return run
 
 
-def _paired(shards: int, listed: np.ndarray, counts: np.ndarray, z: float, step: float, rare: float):
+def _paired(shards: int, listed: np.ndarray, counts: np.ndarray, z: float, step: float, rare: float, spread: int):
     """Texts to (context, successor) pairs by shard (kind 0), words that are not listed by shard (kind 1), and documents (kind 2)."""
     codes = np.round(-np.log10((counts + 0.5) / z) / step).astype(np.uint8)
     rare_code = np.uint8(min(255, round(-np.log10(rare) / step)))
-    starts = int(counts[np.searchsorted(listed, END)]) if END in listed else 0
+    starts = int(counts[np.searchsorted(listed, END)]) if END in listed else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,7 +278,7 @@ def _paired(shards: int, listed: np.ndarray, counts: np.ndarray, z: float, step:
             key.update(x.tobytes())
         key = np.uint64(key.intdigest()).astype(np.int64)
 
-        salts = np.where(times > SPREAD, -(-times // SPREAD), 1).astype(np.uint64)
+        salts = np.where(times > spread, -(-times // spread), 1).astype(np.uint64)
         successor = hashes[token] >> np.uint64(64 - BITS)
         salt = mix(successor) % salts[before]
         shard = (mix(hashes[before] + salt) % np.uint64(shards)).astype(np.int64)
@@ -296,7 +296,6 @@ def _paired(shards: int, listed: np.ndarray, counts: np.ndarray, z: float, step:
             columns = [
                 hashes[context],
                 times[context].astype(np.int64),
-                salts[context].astype(np.uint32),
                 np.diff(np.append(firsts, b - a)).astype(np.uint32),
                 (successor[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32),
                 (successor[a:b] >> np.uint64(32)).astype(np.uint8),
@@ -331,29 +330,87 @@ def _sums(docs: int, doc: np.ndarray, values: list[np.ndarray]) -> bytes:
     return np.int64(len(found)).tobytes() + found.astype(np.uint32).tobytes() + b"".join(np.bincount(doc, v, docs)[found].tobytes() for v in values)
 
 
-def _scored(z: float, step: float, smoothing: float):
-    """One task's shards: builds the trie from training pairs, and answers each chunk with sums per document."""
+def _columns(blob: bytes) -> tuple[int, list[np.ndarray]]:
+    """(documents, columns) of pairs: contexts, their occurrences and pairs; successors in two parts, codes, documents."""
+    k, n, docs, width_ = np.frombuffer(blob, np.int64, 4).tolist()
+    at, columns = 32, []
+    kinds = (np.uint64, np.int64, np.uint32, np.uint32, np.uint8, np.uint8, np.uint16 if width_ == 2 else np.uint32)
+    for kind, m in zip(kinds, (k, k, k, n, n, n, n), strict=True):
+        columns.append(np.frombuffer(blob, kind, m, at))
+        at += columns[-1].nbytes
+    return docs, columns
+
+
+def _successors(shards: int, hot: np.ndarray):
+    """Distinct training pairs of the contexts ``hot`` (sorted hashes), by shard; each is its context's number and its successor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [np.zeros(0, np.uint64)], 0
+        for batch in batches:
+            for blob in batch.column("blob").to_pylist():
+                _, (context, _, pairs, low, high, _, doc_train) = _columns(blob)
+                at = np.minimum(np.searchsorted(hot, context), len(hot) - 1)
+                of = np.repeat(np.where(hot[at] == context, at, -1), pairs)
+                some = (of >= 0) & (doc_train & 1 > 0)
+                follower = low[some].astype(np.uint64) | (high[some].astype(np.uint64) << np.uint64(32))
+                held.append(np.unique((of[some].astype(np.uint64) << np.uint64(BITS)) | follower))
+                size += len(held[-1])
+                if size > 2_000_000:
+                    held = [np.unique(np.concatenate(held))]
+                    size = 0 if len(held[0]) < 1_000_000 else size
+                if size > 2_000_000:
+                    yield flush(held)
+                    held, size = [np.zeros(0, np.uint64)], 0
+        yield flush(held)
+
+    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
+        pair = np.unique(np.concatenate(held))
+        owner = (mix(pair) % np.uint64(shards)).astype(np.int32)
+        order = np.argsort(owner, kind="stable")
+        cuts = np.searchsorted(owner[order], np.arange(shards + 1))
+        some = np.flatnonzero(np.diff(cuts))
+        blobs = [pair[order[cuts[s] : cuts[s + 1]]].tobytes() for s in some]
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "blob"])
+
+    return run
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many distinct pairs each context's number has in this task."""
+    held, size = [np.zeros(0, np.uint64)], 0
+    for batch in batches:
+        for blob in batch.column("blob").to_pylist():
+            held.append(np.frombuffer(blob, np.uint64))
+            size += len(held[-1])
+            if size > 4_000_000:
+                held, size = [np.unique(np.concatenate(held))], 0
+    number, kinds = np.unique(np.unique(np.concatenate(held)) >> np.uint64(BITS), return_counts=True)
+    yield pa.RecordBatch.from_arrays([pa.array(number.astype(np.int64)), pa.array(kinds.astype(np.int64))], ["number", "kinds"])
+
+
+def _scored(z: float, step: float, smoothing: float, hot: np.ndarray, kinds_of_hot: np.ndarray):
+    """One task's shards: builds the trie from training pairs, and answers each chunk with sums per document.
+
+    Contexts ``hot`` (sorted hashes) have as many distinct successors over all tasks as ``kinds_of_hot`` says.
+    """
 
     def pairs(blocks: list[tuple[int, bytes]]) -> Iterator[tuple[int, int, bytes]]:
-        parts: list[list[np.ndarray]] = [[] for _ in range(8)]
+        parts: list[list[np.ndarray]] = [[] for _ in range(7)]
         sizes, shape = [], []
         for _, blob in blocks:
-            k, n, docs, width_ = np.frombuffer(blob, np.int64, 4).tolist()
-            at = 32
-            kinds = (np.uint64, np.int64, np.uint32, np.uint32, np.uint32, np.uint8, np.uint8, np.uint16 if width_ == 2 else np.uint32)
-            for column, (kind, m) in zip(parts, zip(kinds, (k, k, k, k, n, n, n, n), strict=True), strict=True):
-                column.append(np.frombuffer(blob, kind, m, at))
-                at += column[-1].nbytes
-            sizes.append(n)
+            docs, columns = _columns(blob)
+            for part, column in zip(parts, columns, strict=True):
+                part.append(column)
+            sizes.append(len(columns[-1]))
             shape.append(docs)
         context, number = np.unique(np.concatenate(parts[0]), return_inverse=True)
         number = number.astype(np.int64)
-        times, salts = np.full(len(context), -1, np.int64), np.ones(len(context), np.int64)
-        times[number], salts[number] = np.concatenate(parts[1]), np.concatenate(parts[2])
-        of = np.repeat(number, np.concatenate(parts[3]))
-        successor = np.concatenate(parts[4]).astype(np.uint64) | (np.concatenate(parts[5]).astype(np.uint64) << np.uint64(32))
-        code = np.concatenate(parts[6])
-        doc_train = np.concatenate([p.astype(np.uint32) for p in parts[7]])
+        times = np.full(len(context), -1, np.int64)
+        times[number] = np.concatenate(parts[1])
+        of = np.repeat(number, np.concatenate(parts[2]))
+        successor = np.concatenate(parts[3]).astype(np.uint64) | (np.concatenate(parts[4]).astype(np.uint64) << np.uint64(32))
+        code = np.concatenate(parts[5])
+        doc_train = np.concatenate([p.astype(np.uint32) for p in parts[6]])
         del parts
         # Distinct pairs, in the order of the trie.
         key = (of.astype(np.uint64) << np.uint64(BITS)) | successor
@@ -368,7 +425,11 @@ def _scored(z: float, step: float, smoothing: float):
         seen = count > 0
         total = np.bincount(owner, count, len(context))
         total = np.where(times >= 0, times, total)
-        distinct = smoothing * salts * np.bincount(owner[seen], minlength=len(context))
+        distinct = np.bincount(owner[seen], minlength=len(context))
+        if len(hot):
+            place = np.minimum(np.searchsorted(hot, context), len(hot) - 1)
+            distinct = np.where(hot[place] == context, kinds_of_hot[place], distinct)
+        distinct = smoothing * distinct
         trained = np.flatnonzero(distinct > 0)
         new = np.full(len(context), -1)
         new[trained] = np.arange(len(trained))
@@ -494,9 +555,17 @@ def score_texts(docs: DataFrame, divisor: int = 5, held_out: int = 1, smoothing:
     rare = ((total - int(counts.sum())) + 0.5 * (unlisted + 1)) / z / (unlisted + 1)
 
     schema = "shard int, chunk long, kind int, blob binary"
-    paired = docs.mapInArrow(_paired(n, words, counts, z, step, rare), schema)
+    paired = docs.mapInArrow(_paired(n, words, counts, z, step, rare, SPREAD), schema)
+    hot = words[counts > SPREAD]
+    hot = np.sort(np.append(hot, START)) if END in hot else hot
+    kinds_of_hot = np.zeros(len(hot), np.int64)
+    if len(hot):
+        paired = stored(paired, "pairs")
+        found = paired.where("kind = 0").select("blob").mapInArrow(_successors(n, hot), "shard int, blob binary").repartition(n, "shard")
+        found = found.select("blob").mapInArrow(_distinct, "number long, kinds long").groupBy("number").agg(F.sum("kinds").alias("kinds")).toPandas()
+        kinds_of_hot[found["number"].to_numpy(np.int64)] = found["kinds"].to_numpy(np.int64)
     known = vocabulary.selectExpr("shard", "0L AS chunk", "3 AS kind", "blob")
-    sums = paired.unionByName(known).repartition(n, "shard").select("chunk", "kind", "blob").mapInArrow(_scored(z, step, smoothing), "chunk long, kind int, blob binary")
+    sums = paired.unionByName(known).repartition(n, "shard").select("chunk", "kind", "blob").mapInArrow(_scored(z, step, smoothing, hot, kinds_of_hot), "chunk long, kind int, blob binary")
     met = sums.repartition(n, "chunk").sortWithinPartitions("chunk", F.desc("kind"))
     result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return met.mapInArrow(_gathered(total), result)

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerloom.llm import queries, simple8b
+from ledgerloom.llm import queries, simple8b, trie_lm
 from ledgerloom.llm.byte_bpe import encode_texts
 from ledgerloom.llm.forest import near_duplicates
 from ledgerloom.llm.jaccard import jaccard_components
@@ -278,6 +278,12 @@ def test_language_model(spark, odd, empty, which):
     assert lm_scores(empty).count() == 0
 
 
+@pytest.mark.parametrize("which", ["docs", "odd"])
+def test_language_model_with_spread_contexts(spark, odd, empty, which, monkeypatch):
+    monkeypatch.setattr(trie_lm, "SPREAD", 3)
+    test_language_model(spark, odd, empty, which)
+
+
 @pytest.mark.parametrize("which", ["docs", "odd", "empty"])
 def test_byte_bpe(spark, odd, empty, which):
     import tiktoken
