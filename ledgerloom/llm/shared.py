@@ -25,10 +25,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again: computed once, and safe when executors are lost."""
+def stored(df: DataFrame, name: str, group_bytes: int = 128 << 20) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again: computed once, and safe when executors are lost.
+
+    A task holds ``group_bytes`` of rows before it writes them.
+    """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", group_bytes).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -4,7 +4,8 @@ The model is a bigram model with Witten-Bell smoothing over a unigram model: p(w
 where t(u) is the number of distinct successors of u and k weights the smoothing. Texts become (context, successor)
 pairs, dealt out by context; the pairs of a very frequent context are spread by successor, after its distinct successors
 have been counted. Whoever owns a context builds its part of the trie from the pairs of training documents, and scores
-the pairs of all documents with it, so every pair is shuffled once. Scores go back as sums per document.
+the pairs of all documents with it, so every pair is shuffled once; only pairs whose successor is not among the words
+that every task knows first go to the owner of that word for its count. Scores go back as sums per document.
 
 A shard of the trie is one memory-mapped file. Its levels are Elias-Fano sequences: the sorted hashes of contexts,
 pointers to their first successors, and the successors, relative to their context and made monotone by its number. Next
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.shared import remainder, stored, width
 from ledgerloom.llm.words import Words, mix, slices
 
-LISTED = 1 << 19  # most frequent words whose counts every task knows; bounds the broadcast to 8 MB
+LISTED = 1 << 19  # most frequent words whose counts every task knows, the others' owners are asked; bounds the broadcast to 8 MB
 SPREAD = 200_000  # pairs of one context in a shard, about
 SMOOTHING = 8.0
 BITS = 40  # of a successor's hash within its context
@@ -239,11 +240,25 @@ def _at_least(times: int):
     return run
 
 
-def _paired(shards: int, listed: np.ndarray, counts: np.ndarray, z: float, step: float, rare: float, spread: int):
-    """Texts to (context, successor) pairs by shard (kind 0), words that are not listed by shard (kind 1), and documents (kind 2)."""
-    codes = np.round(-np.log10((counts + 0.5) / z) / step).astype(np.uint8)
-    rare_code = np.uint8(min(255, round(-np.log10(rare) / step)))
-    starts = int(counts[np.searchsorted(listed, END)]) if END in listed else -1
+def _codes(counts: np.ndarray, z: float, step: float) -> np.ndarray:
+    """Quantised unigram log-probabilities of words that occur so often."""
+    return np.round(-np.log10((counts + 0.5) / z) / step).astype(np.uint8)
+
+
+def _shard(context: np.ndarray, times: np.ndarray, successor: np.ndarray, shards: int, spread: int) -> np.ndarray:
+    """Where pairs belong: with their context, and where that occurs very often with their successor."""
+    salt = mix(successor) % np.where(times > spread, -(-times // spread), 1).astype(np.uint64)
+    return (mix(context + salt) % np.uint64(shards)).astype(np.int64)
+
+
+def _paired(shards: int, listed: np.ndarray, counts: np.ndarray, complete: bool, z: float, step: float, spread: int):
+    """Texts to (context, successor) pairs by shard (kind 0), or by the successor's shard if its count is not known (kind 1), and documents (kind 2).
+
+    ``complete``: words that are not listed have not been seen in training.
+    """
+    codes = _codes(counts, z, step)
+    other = 0 if complete else -1
+    starts = int(counts[np.searchsorted(listed, END)]) if END in listed else other
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,8 +272,8 @@ def _paired(shards: int, listed: np.ndarray, counts: np.ndarray, z: float, step:
         n = len(hashes)
         at = np.minimum(np.searchsorted(listed, hashes), max(0, len(listed) - 1))
         known = listed[at] == hashes if len(listed) else np.zeros(n, bool)
-        times = np.where(known, counts[at] if len(listed) else 0, -1)
-        code = np.where(known, codes[at] if len(listed) else 0, rare_code).astype(np.uint8)
+        times = np.where(known, counts[at] if len(listed) else 0, other)
+        code = np.where(known, codes[at] if len(listed) else 0, _codes(np.zeros(1), z, step)).astype(np.uint8)
         times[-1] = starts
         # Every text is followed by an end; a pair begins with the word before, or with a start.
         token = np.insert(words.index, words.bounds[1:], n - 2)
@@ -268,23 +283,25 @@ def _paired(shards: int, listed: np.ndarray, counts: np.ndarray, z: float, step:
         doc = np.repeat(np.arange(docs), np.diff(bounds))
         trained = np.asarray(part.column("train")).astype(np.int64)
 
-        listed_token = known[token]
+        listed_token = times[token] >= 0
         logs = np.where(listed_token, np.log10((np.maximum(times[token], 0) + 0.5) / z), 0.0)
         base = np.bincount(doc, logs, docs)
-        known_tokens = np.bincount(doc, listed_token, docs).astype(np.int64)
+        known_tokens = np.bincount(doc, times[token] > 0, docs).astype(np.int64)
         ids = part.column("doc_id")
         key = xxhash.xxh3_64(bounds.tobytes())
         for x in (hashes, token, ids.fill_null(-1).to_numpy(zero_copy_only=False)):
             key.update(x.tobytes())
         key = np.uint64(key.intdigest()).astype(np.int64)
 
-        salts = np.where(times > spread, -(-times // spread), 1).astype(np.uint64)
+        rest = np.flatnonzero(~listed_token)
+        asked = [hashes[token[rest]], hashes[before[rest]], times[before[rest]].astype(np.int64), (doc * 2 + trained[doc])[rest].astype(np.uint32)]
+        doc_train = (doc * 2 + trained[doc])[listed_token]
+        before, token = before[listed_token], token[listed_token]
         successor = hashes[token] >> np.uint64(64 - BITS)
-        salt = mix(successor) % salts[before]
-        shard = (mix(hashes[before] + salt) % np.uint64(shards)).astype(np.int64)
+        shard = _shard(hashes[before], times[before], successor, shards, spread)
         order = np.lexsort((before, shard))
         shard, before, token = shard[order], before[order], token[order]
-        successor, doc_train = successor[order], (doc * 2 + trained[doc])[order]
+        successor, doc_train = successor[order], doc_train[order]
         small = np.uint16 if docs < 1 << 15 else np.uint32
         rows: list[tuple] = []
         cuts = np.searchsorted(shard, np.arange(shards + 1))
@@ -304,17 +321,12 @@ def _paired(shards: int, listed: np.ndarray, counts: np.ndarray, z: float, step:
             ]
             head = np.array([len(context), b - a, docs, np.dtype(small).itemsize], np.int64).tobytes()
             rows.append((s, key, 0, head + b"".join(c.tobytes() for c in columns)))
-        rest = np.flatnonzero(~listed_token)
-        if len(rest):
-            hashed = hashes[np.insert(words.index, words.bounds[1:], n - 2)[rest]]
-            of = doc[rest]
-            owner = (hashed % np.uint64(shards)).astype(np.int64)
-            by = np.argsort(owner, kind="stable")
-            hashed, of, owner = hashed[by], of[by], owner[by]
-            cuts = np.searchsorted(owner, np.arange(shards + 1))
-            for s in np.flatnonzero(np.diff(cuts)).tolist():
-                own = slice(cuts[s], cuts[s + 1])
-                rows.append((s, key, 1, np.int64(docs).tobytes() + hashed[own].tobytes() + of[own].astype(np.uint32).tobytes()))
+        owner = (asked[0] % np.uint64(shards)).astype(np.int64)
+        by = np.argsort(owner, kind="stable")
+        cuts = np.searchsorted(owner[by], np.arange(shards + 1))
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
+            own = by[cuts[s] : cuts[s + 1]]
+            rows.append((s, key, 1, np.int64(docs).tobytes() + b"".join(c[own].tobytes() for c in asked)))
         null = np.asarray(ids.is_null()).astype(np.uint8)
         columns = [ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), null, trained.astype(np.uint8), np.diff(bounds), known_tokens, base]
         rows.append((int(np.uint64(key) % np.uint64(shards)) if key >= 0 else 0, key, 2, np.int64(docs).tobytes() + b"".join(c.tobytes() for c in columns)))
@@ -341,18 +353,81 @@ def _columns(blob: bytes) -> tuple[int, list[np.ndarray]]:
     return docs, columns
 
 
+def _flat(blob: bytes, kinds: tuple, front: int = 0) -> list[np.ndarray]:
+    """Columns of equal length that stand behind one another, after ``front`` bytes."""
+    n, at, columns = (len(blob) - front) // sum(np.dtype(k).itemsize for k in kinds), front, []
+    for kind in kinds:
+        columns.append(np.frombuffer(blob, kind, n, at))
+        at += columns[-1].nbytes
+    return columns
+
+
+ASKED = (np.uint64, np.uint64, np.int64, np.uint32)  # successor, context, its occurrences, document
+TOLD = (np.uint64, np.int64, np.uint64, np.int64, np.int64, np.uint32, np.uint8)  # context, its occurrences, successor, chunk, documents, document, code
+
+
+def _told(shards: int, z: float, step: float, spread: int):
+    """Pairs of kind 1, after the vocabulary of their successors (kind 3): the pairs by shard with codes (kind 4), and the base score (kind 1)."""
+
+    def dealt(held: list[list[np.ndarray]]) -> Iterator[tuple[int, int, int, bytes]]:
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        shard = _shard(columns[0], columns[1], columns[2], shards, spread)
+        order = np.argsort(shard, kind="stable")
+        cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
+            own = order[cuts[s] : cuts[s + 1]]
+            yield s, 0, 4, b"".join(c[own].astype(k).tobytes() for c, k in zip(columns, TOLD, strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
+        out = lambda row: pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], ["shard", "chunk", "kind", "blob"])
+        vocabulary: list[tuple[np.ndarray, np.ndarray]] = []
+        value, count, ready, held, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), False, [], 0
+        for batch in batches:
+            for chunk, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("chunk", "kind", "blob")), strict=True):
+                if kind == 3:
+                    n = len(blob) // 16
+                    vocabulary.append((np.frombuffer(blob, np.uint64, n), np.frombuffer(blob, np.int64, n, 8 * n)))
+                    continue
+                if not ready and vocabulary:
+                    value, count = (np.concatenate(x) for x in zip(*vocabulary, strict=True))
+                    order = np.argsort(value)
+                    value, count = value[order], count[order]
+                ready, docs = True, int(np.frombuffer(blob, np.int64, 1)[0])
+                word, context, times, doc_train = _flat(blob, ASKED, 8)
+                at = np.minimum(np.searchsorted(value, word), max(0, len(value) - 1))
+                c = np.where(value[at] == word, count[at], 0) if len(value) else np.zeros(len(word), np.int64)
+                sums = _sums(docs, (doc_train >> 1).astype(np.int64), [np.log10((c + 0.5) / z), (c > 0).astype(np.float64)])
+                yield out((chunk % shards, chunk, 1, sums))
+                full = np.full(len(word), 1, np.int64)
+                held.append([context, times, word >> np.uint64(64 - BITS), full * chunk, full * docs, doc_train, _codes(c, z, step)])
+                size += len(word)
+                if size > 500_000:
+                    yield from map(out, dealt(held))
+                    held, size = [], 0
+        if held:
+            yield from map(out, dealt(held))
+
+    return run
+
+
 def _successors(shards: int, hot: np.ndarray):
     """Distinct training pairs of the contexts ``hot`` (sorted hashes), by shard; each is its context's number and its successor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [np.zeros(0, np.uint64)], 0
         for batch in batches:
-            for blob in batch.column("blob").to_pylist():
-                _, (context, _, pairs, low, high, _, doc_train) = _columns(blob)
+            for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                if kind == 1:
+                    word, context, _, doc_train = _flat(blob, ASKED, 8)
+                    pairs, follower = 1, word >> np.uint64(64 - BITS)
+                else:
+                    _, (context, _, pairs, low, high, _, doc_train) = _columns(blob)
+                    follower = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
                 at = np.minimum(np.searchsorted(hot, context), len(hot) - 1)
                 of = np.repeat(np.where(hot[at] == context, at, -1), pairs)
                 some = (of >= 0) & (doc_train & 1 > 0)
-                follower = low[some].astype(np.uint64) | (high[some].astype(np.uint64) << np.uint64(32))
+                follower = follower[some]
                 held.append(np.unique((of[some].astype(np.uint64) << np.uint64(BITS)) | follower))
                 size += len(held[-1])
                 if size > 2_000_000:
@@ -394,15 +469,27 @@ def _scored(z: float, step: float, smoothing: float, hot: np.ndarray, kinds_of_h
     Contexts ``hot`` (sorted hashes) have as many distinct successors over all tasks as ``kinds_of_hot`` says.
     """
 
-    def pairs(blocks: list[tuple[int, bytes]]) -> Iterator[tuple[int, int, bytes]]:
+    def told(blobs: list[bytes]) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+        """(chunk, documents, columns) of pairs of kind 4, by chunk."""
+        context, times, successor, chunk, docs, doc_train, code = (np.concatenate(c) for c in zip(*(_flat(b, TOLD) for b in blobs), strict=True))
+        order = np.argsort(chunk, kind="stable")
+        low, high = (successor & np.uint64(0xFFFFFFFF)).astype(np.uint32), (successor >> np.uint64(32)).astype(np.uint8)
+        cuts = np.flatnonzero(np.append(True, np.diff(chunk[order]) != 0))
+        for own in np.split(order, cuts[1:]):
+            one = np.ones(len(own), np.uint32)
+            yield int(chunk[own[0]]), int(docs[own[0]]), [context[own], times[own], one, low[own], high[own], code[own], doc_train[own]]
+
+    def pairs(direct: list[tuple[int, bytes]], asked: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
         parts: list[list[np.ndarray]] = [[] for _ in range(7)]
-        sizes, shape = [], []
-        for _, blob in blocks:
-            docs, columns = _columns(blob)
+        blocks, sizes, shape = [], [], []
+        for chunk, docs, columns in [*((chunk, *_columns(blob)) for chunk, blob in direct), *(told(asked) if asked else ())]:
             for part, column in zip(parts, columns, strict=True):
                 part.append(column)
+            blocks.append(chunk)
             sizes.append(len(columns[-1]))
             shape.append(docs)
+        direct.clear()
+        asked.clear()
         context, number = np.unique(np.concatenate(parts[0]), return_inverse=True)
         number = number.astype(np.int64)
         times = np.full(len(context), -1, np.int64)
@@ -411,17 +498,19 @@ def _scored(z: float, step: float, smoothing: float, hot: np.ndarray, kinds_of_h
         successor = np.concatenate(parts[3]).astype(np.uint64) | (np.concatenate(parts[4]).astype(np.uint64) << np.uint64(32))
         code = np.concatenate(parts[5])
         doc_train = np.concatenate([p.astype(np.uint32) for p in parts[6]])
-        del parts
+        del parts, part, column, columns, number
         # Distinct pairs, in the order of the trie.
         key = (of.astype(np.uint64) << np.uint64(BITS)) | successor
+        del of, successor
+        pa.default_memory_pool().release_unused()
         order = np.argsort(key, kind="stable")
         key = key[order]
-        blocks = [(chunk, b"") for chunk, _ in blocks]
         firsts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        run_of = np.empty(len(order), np.int64)
-        run_of[order] = np.repeat(np.arange(len(firsts)), np.diff(np.append(firsts, len(key))))
-        count = np.add.reduceat((doc_train[order] & 1).astype(np.int64), firsts)
-        owner, follower, unigram = of[order][firsts], successor[order][firsts], code[order][firsts]
+        run_of = np.empty(len(order), np.int32)
+        run_of[order] = np.repeat(np.arange(len(firsts), dtype=np.int32), np.diff(np.append(firsts, len(key))))
+        count = np.add.reduceat((doc_train[order] & 1).astype(np.uint8), firsts, dtype=np.int64)
+        owner, follower, unigram = (key[firsts] >> np.uint64(BITS)).astype(np.int64), key[firsts] & np.uint64((1 << BITS) - 1), code[order[firsts]]
+        del key, order, code, firsts
         seen = count > 0
         total = np.bincount(owner, count, len(context))
         total = np.where(times >= 0, times, total)
@@ -441,39 +530,30 @@ def _scored(z: float, step: float, smoothing: float, hot: np.ndarray, kinds_of_h
         with tempfile.TemporaryDirectory() as folder:
             path = os.path.join(folder, "trie")
             Trie.build(path, context[trained], start, follower[seen], quantised(p), quantised(weight))
-            score = Trie(path, step).score(context, owner, follower, unigram)[run_of]
-        doc, at = (doc_train >> 1).astype(np.int64), 0
-        for (chunk, _), n, docs in zip(blocks, sizes, shape, strict=True):
-            yield chunk, 0, _sums(docs, doc[at : at + n], [score[at : at + n]])
+            trie, score = Trie(path, step), np.empty(len(owner))
+            for at in range(0, len(owner), 1 << 19):
+                # Pairs stand in the order of their contexts.
+                own = slice(at, at + (1 << 19))
+                low, high = owner[own][0], owner[own][-1] + 1
+                score[own] = trie.score(context[low:high], owner[own] - low, follower[own], unigram[own])
+            del trie
+        at = 0
+        for chunk, n, docs in zip(blocks, sizes, shape, strict=True):
+            yield chunk, 0, _sums(docs, (doc_train[at : at + n] >> 1).astype(np.int64), [score[run_of[at : at + n]]])
             at += n
 
-    def rest(blocks: list[tuple[int, bytes]], vocabulary: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
-        value, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for blob in vocabulary:
-            n = len(blob) // 16
-            value, count = np.append(value, np.frombuffer(blob, np.uint64, n)), np.append(count, np.frombuffer(blob, np.int64, n, 8 * n))
-        order = np.argsort(value)
-        value, count = value[order], count[order]
-        for chunk, blob in blocks:
-            docs, n = int(np.frombuffer(blob, np.int64, 1)[0]), (len(blob) - 8) // 12
-            hashed, doc = np.frombuffer(blob, np.uint64, n, 8), np.frombuffer(blob, np.uint32, n, 8 + 8 * n).astype(np.int64)
-            at = np.minimum(np.searchsorted(value, hashed), max(0, len(value) - 1))
-            c = np.where(value[at] == hashed, count[at], 0) if len(value) else np.zeros(n, np.int64)
-            yield chunk, 1, _sums(docs, doc, [np.log10((c + 0.5) / z), (c > 0).astype(np.float64)])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {0: [], 1: [], 3: []}
+        held: dict[int, list] = {0: [], 4: []}
         kinds = (pa.int64(), pa.int32(), pa.binary())
         out = lambda row: pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], ["chunk", "kind", "blob"])
         for batch in batches:
             for chunk, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("chunk", "kind", "blob")), strict=True):
-                if kind == 2:
-                    yield out((chunk, 2, blob))
+                if kind in (1, 2):
+                    yield out((chunk, kind, blob))
                 else:
-                    held[kind].append(blob if kind == 3 else (chunk, blob))
-        if held[0]:
-            yield from map(out, pairs(held.pop(0)))
-        yield from map(out, rest(held[1], held[3]))
+                    held[kind].append(blob if kind == 4 else (chunk, blob))
+        if held[0] or held[4]:
+            yield from map(out, pairs(held[0], held[4]))
 
     return run
 
@@ -550,22 +630,26 @@ def score_texts(docs: DataFrame, divisor: int = 5, held_out: int = 1, smoothing:
     words, counts = words[order], listed["count"].to_numpy(np.int64)[order]
     z = total + 0.5 * (distinct + 1)
     step = max(1e-3, float(np.log10(2 * z)) / 255)
-    # Words that are not listed share one probability: what the listed ones leave, over those words and an unknown one.
-    unlisted = distinct - len(words)
-    rare = ((total - int(counts.sum())) + 0.5 * (unlisted + 1)) / z / (unlisted + 1)
+    complete = len(words) == distinct
 
     schema = "shard int, chunk long, kind int, blob binary"
-    paired = docs.mapInArrow(_paired(n, words, counts, z, step, rare, SPREAD), schema)
+    paired = docs.mapInArrow(_paired(n, words, counts, complete, z, step, SPREAD), schema)
     hot = words[counts > SPREAD]
     hot = np.sort(np.append(hot, START)) if END in hot else hot
     kinds_of_hot = np.zeros(len(hot), np.int64)
+    if len(hot) or not complete:
+        paired = stored(paired, "pairs", 8 << 20)
     if len(hot):
-        paired = stored(paired, "pairs")
-        found = paired.where("kind = 0").select("blob").mapInArrow(_successors(n, hot), "shard int, blob binary").repartition(n, "shard")
+        found = paired.where("kind < 2").select("kind", "blob").mapInArrow(_successors(n, hot), "shard int, blob binary").repartition(n, "shard")
         found = found.select("blob").mapInArrow(_distinct, "number long, kinds long").groupBy("number").agg(F.sum("kinds").alias("kinds")).toPandas()
         kinds_of_hot[found["number"].to_numpy(np.int64)] = found["kinds"].to_numpy(np.int64)
-    known = vocabulary.selectExpr("shard", "0L AS chunk", "3 AS kind", "blob")
-    sums = paired.unionByName(known).repartition(n, "shard").select("chunk", "kind", "blob").mapInArrow(_scored(z, step, smoothing, hot, kinds_of_hot), "chunk long, kind int, blob binary")
+    if not complete:
+        known = vocabulary.selectExpr("shard", "0L AS chunk", "3 AS kind", "blob")
+        asked = paired.where("kind = 1").unionByName(known).repartition(n, "shard").sortWithinPartitions(F.desc("kind"))
+        told = asked.select("chunk", "kind", "blob").mapInArrow(_told(n, z, step, SPREAD), schema)
+        paired = paired.where("kind != 1").unionByName(told)
+    scored = _scored(z, step, smoothing, hot, kinds_of_hot)
+    sums = paired.repartition(n, "shard").select("chunk", "kind", "blob").mapInArrow(scored, "chunk long, kind int, blob binary")
     met = sums.repartition(n, "chunk").sortWithinPartitions("chunk", F.desc("kind"))
     result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return met.mapInArrow(_gathered(total), result)

@@ -284,6 +284,13 @@ def test_language_model_with_spread_contexts(spark, odd, empty, which, monkeypat
     test_language_model(spark, odd, empty, which)
 
 
+@pytest.mark.parametrize("which,listed,spread", [("docs", 50, 3), ("docs", 2000, 200_000), ("odd", 0, 200_000), ("odd", 3, 3)])
+def test_language_model_with_words_that_are_not_listed(spark, odd, empty, which, listed, spread, monkeypatch):
+    monkeypatch.setattr(trie_lm, "LISTED", listed)
+    monkeypatch.setattr(trie_lm, "SPREAD", spread)
+    test_language_model(spark, odd, empty, which)
+
+
 @pytest.mark.parametrize("which", ["docs", "odd", "empty"])
 def test_byte_bpe(spark, odd, empty, which):
     import tiktoken
