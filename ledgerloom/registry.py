@@ -7,16 +7,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from ledgerloom.operators import cash, catalog, demand, freesql, inventory, overview, quality, supplier
+from ledgerloom.operators import cash, catalog, demand, freesql, inventory, levels, overview, quality, states, supplier, timeline
 from ledgerloom.tables import Tables
 
-_MODULES = (overview, quality, inventory, cash, demand, supplier, catalog, freesql)
+_MODULES = (overview, quality, inventory, cash, demand, supplier, catalog, freesql, timeline, levels, states)
 
 # Helpers in those modules that are not questions over tables.
 _OTHER = {
     "abc_xyz_lookup",
     "check_quality",
     "check_read_only",
+    "kpi_from_states",
+    "reach_from_states",
+    "trends_from_states",
     "duplicate_rows",
     "quality_issues",
 }

@@ -194,6 +194,101 @@ def _alternatives(candidates: str, extra: str, order: str) -> str:
         SELECT product_id, supplier_id, supplier_name, lead_time, rating{extra} FROM ranked WHERE place <= 5"""
 
 
+def _asof(comparison: str) -> str:
+    return f"""
+        WITH known AS (SELECT product_id, snapshot_date, {_long('sum(qty_on_hand)')} AS qty_on_hand
+                       FROM inventory_snapshot GROUP BY product_id, snapshot_date)
+        SELECT transaction_id, s.product_id, transaction_date, qty_sold, snapshot_date, qty_on_hand
+        FROM sales_transactions s ASOF LEFT JOIN known k
+             ON s.product_id = k.product_id AND transaction_date {comparison} snapshot_date"""
+
+
+def _ntile(tiles: int) -> str:
+    return f"""
+        WITH g AS (SELECT customer_id, sum(total_revenue) AS v FROM sales_transactions WHERE customer_id IS NOT NULL GROUP BY customer_id)
+        SELECT customer_id, {_double('v')} AS revenue, row_number() OVER (ORDER BY v DESC, customer_id) AS position,
+               CAST(ntile({tiles}) OVER (ORDER BY v DESC, customer_id) AS INTEGER) AS decile FROM g"""
+
+
+def _quantiles(source: str, group: str, value: str, shown: str, members: str) -> str:
+    keys, by = (f"{group}, ", f" GROUP BY {group}") if group else ("", "")
+    parts = [
+        f"SELECT {keys}CAST({share} AS DOUBLE) AS share, {shown.format(f'quantile_disc({value}, {share})')}, count({value}) AS {members} "
+        f"FROM {source} WHERE {value} IS NOT NULL{by}"
+        for share in (0.5, 0.9, 0.99)
+    ]
+    return " UNION ALL ".join(parts)
+
+
+def _history_texts() -> dict[str, str]:
+    """As-of and interval joins, neighbours, tiles, quantiles, levels and merged states."""
+    spells = "SELECT * FROM ar_ledger WHERE paid_date IS NULL OR paid_date > invoice_date"
+    exposure = f"""
+        WITH owed AS (
+            SELECT a.invoice_id, coalesce(sum(b.invoice_amount), 0) AS v, count(b.invoice_id) AS n
+            FROM ar_ledger a LEFT JOIN ar_ledger b
+                 ON a.customer_id = b.customer_id AND (b.paid_date IS NULL OR b.paid_date > a.invoice_date)
+                    AND (b.invoice_date < a.invoice_date OR (b.invoice_date = a.invoice_date AND b.invoice_id < a.invoice_id))
+            GROUP BY a.invoice_id)
+        SELECT invoice_id, customer_id, invoice_date, {_double('invoice_amount')} AS invoice_amount, {_double('v')} AS open_amount,
+               n AS open_invoices, v + invoice_amount > credit_limit AS over_limit
+        FROM ar_ledger JOIN owed USING (invoice_id) LEFT JOIN customers USING (customer_id)"""
+    levels = f"""
+        SELECT category, location_id, CAST(date_trunc('month', transaction_date) AS DATE) AS month,
+               CAST(grouping(category, location_id, CAST(date_trunc('month', transaction_date) AS DATE)) AS INTEGER) AS level,
+               {_double('sum(total_revenue)')} AS revenue, {_long('sum(qty_sold)')} AS units, count(DISTINCT customer_id) AS customers
+        FROM sales_transactions LEFT JOIN products USING (product_id)
+        GROUP BY {{}} (category, location_id, CAST(date_trunc('month', transaction_date) AS DATE))"""
+    reach = f"""
+        SELECT product_id, {_double('sum(total_revenue)')} AS revenue, {_long('sum(qty_sold)')} AS units, count(DISTINCT customer_id) AS customers
+        FROM sales_transactions WHERE {{}} GROUP BY product_id"""
+    return {
+        "stock_at_sale": _asof(">="),
+        "stock_before_sale": _asof(">"),
+        "receipt_before_sale": f"""
+            WITH known AS (SELECT product_id, actual_delivery_date AS received_date, {_long('sum(qty_ordered)')} AS received_qty, sum(total_po_value) AS v
+                           FROM purchase_orders WHERE actual_delivery_date IS NOT NULL GROUP BY product_id, actual_delivery_date)
+            SELECT transaction_id, s.product_id, transaction_date, qty_sold, received_date, received_qty,
+                   round({_double('v')} / nullif({_double('received_qty')}, 0), 4) AS unit_cost
+            FROM sales_transactions s ASOF LEFT JOIN known k ON s.product_id = k.product_id AND transaction_date > received_date""",
+        "open_receivables_daily": f"""
+            WITH spells AS ({spells}),
+            days AS (SELECT CAST(unnest(generate_series(min(a), max(b), INTERVAL 1 DAY)) AS DATE) AS day
+                     FROM (SELECT invoice_date AS a, coalesce(paid_date, invoice_date) AS b FROM spells))
+            SELECT day, count(*) FILTER (invoice_date = day) AS opened, count(*) FILTER (paid_date = day) AS closed,
+                   count(*) FILTER (invoice_date <= day AND (paid_date IS NULL OR paid_date > day)) AS open_invoices,
+                   {_double('coalesce(sum(invoice_amount) FILTER (invoice_date <= day AND (paid_date IS NULL OR paid_date > day)), 0)')} AS open_amount
+            FROM days LEFT JOIN spells ON invoice_date <= day AND (paid_date IS NULL OR paid_date >= day) GROUP BY day""",
+        "credit_exposure": exposure,
+        "credit_exposure_over_limit": f"SELECT * FROM ({exposure}) WHERE over_limit",
+        "order_gaps": """
+            SELECT invoice_id, customer_id, invoice_date, CAST(invoice_date - lag(invoice_date) OVER w AS INTEGER) AS days_since_previous,
+                   CAST(lead(invoice_date) OVER w - invoice_date AS INTEGER) AS days_to_next
+            FROM ar_ledger WINDOW w AS (PARTITION BY customer_id ORDER BY invoice_date, invoice_id)""",
+        "moving_revenue": f"""
+            WITH d AS (SELECT product_id, transaction_date, sum(total_revenue) AS v FROM sales_transactions GROUP BY product_id, transaction_date)
+            SELECT product_id, transaction_date, {_double('v')} AS revenue, {_double('sum(v) OVER w')} AS moving_revenue, CAST(count(*) OVER w AS INTEGER) AS days
+            FROM d WINDOW w AS (PARTITION BY product_id ORDER BY transaction_date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""",
+        "customer_deciles": _ntile(10),
+        "customer_quartiles": _ntile(4),
+        "customer_deciles_summary": f"""
+            SELECT decile, count(*) AS customers, {_double('sum(CAST(revenue AS DECIMAL(28,4)))')} AS revenue,
+                   CAST(printf('%.2f', {_double('sum(CAST(revenue AS DECIMAL(28,4)))')} / {_double('sum(sum(CAST(revenue AS DECIMAL(28,4)))) OVER ()')} * 100) AS DOUBLE) AS revenue_pct
+            FROM ({_ntile(10)}) GROUP BY decile""",
+        "payment_quantiles": _quantiles("ar_ledger LEFT JOIN customers USING (customer_id)", "segment", "days_to_pay", "{} AS days_to_pay", "invoices"),
+        "payment_quantiles_overall": _quantiles("ar_ledger", "", "days_to_pay", "{} AS days_to_pay", "invoices"),
+        "sale_value_quantiles": _quantiles("sales_transactions", "location_id", "total_revenue", "CAST({} AS DOUBLE) AS revenue", "sales"),
+        "revenue_cube": levels.format("CUBE"),
+        "revenue_rollup": levels.format("ROLLUP"),
+        "revenue_trends_sketched": f"""
+            SELECT CAST(date_trunc('month', transaction_date) AS DATE) AS period, {_double('sum(total_revenue)')} AS revenue,
+                   {_long('sum(qty_sold)')} AS units, count(DISTINCT product_id) AS products, count(DISTINCT customer_id) AS customers
+            FROM sales_transactions GROUP BY 1""",
+        "customer_reach": reach.format("true"),
+        "customer_reach_1998": reach.format("transaction_date BETWEEN DATE '1998-01-01' AND DATE '1998-12-31'"),
+    }
+
+
 def oracle_queries(scenarios: list[tuple], as_of: str, free_sql: str, sales_types: list[tuple[str, str]]) -> dict[str, str]:
     latest_value = "(SELECT CAST(sum(inventory_value) AS DOUBLE) FROM latest)"
     kpi = f"""
@@ -565,6 +660,8 @@ def oracle_queries(scenarios: list[tuple], as_of: str, free_sql: str, sales_type
         "run_sql_query": free_sql,
     }
 
+    texts |= _history_texts() | {"kpi_summary_by_day": texts["kpi_summary"]}
+
     def only(key: str, condition: str) -> str:
         return f"SELECT * FROM ({texts[key]}) WHERE {condition}"
 
