@@ -19,6 +19,7 @@ from ledgerloom.llm.shared import stored
 SPACE = r"[\x09-\x0D\x20]{2,}|[\x09-\x0D]"  # what one space replaces; a single space already is one
 KEY_BYTES = 16
 BROADCAST_KEYS = 100_000
+LARGE = 4096
 
 
 def normalised(text: Column) -> Column:
@@ -27,10 +28,16 @@ def normalised(text: Column) -> Column:
 
 
 def _judged(facts: DataFrame, by: list[str]) -> DataFrame:
-    """The class of every row: rows that agree in the columns ``by``. Copies are merged before they are moved."""
+    """The class of every row: rows that agree in the columns ``by``. Copies are merged before they are moved.
+
+    Groups with at least one row in ``LARGE`` go to the rows as a broadcast of at most ``LARGE`` groups, so no task gets
+    all rows of a large group; the rows of smaller ones move to their group.
+    """
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
     groups = facts.groupBy(*by).agg(first, F.count(F.lit(1)).alias("group_size"))
-    return facts.join(groups, by).select(
+    large = F.broadcast(groups.where(F.col("group_size") * LARGE >= F.lit(facts.count())))
+    placed = facts.join(large, by).unionByName(facts.join(large.select(*by), by, "left_anti").join(groups, by))
+    return placed.select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
         "group_size",
