@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -73,6 +74,18 @@ def version_history(t: Tables) -> DataFrame:
     )
 
 
+def versions_as_of(t: Tables, as_of: datetime | int | None = None, path: bool = False) -> DataFrame:
+    """The upload of each category that was the newest at ``as_of``, a time or the id of an upload; now without it."""
+    if t.upload_log is None:
+        raise MissingTable("there is no upload log")
+    log = t.upload_log
+    if as_of is not None:
+        log = log.where(F.col("id") <= as_of) if isinstance(as_of, int) else log.where(F.col("upload_timestamp") <= F.lit(as_of))
+    shown = ["id", "filename", "upload_timestamp", "row_count", *(["storage_path"] if path else [])]
+    newest = log.groupBy("file_category").agg(F.max_by(F.struct(*shown), "id").alias("newest"))
+    return newest.select("file_category", "newest.*").orderBy("file_category")
+
+
 def _graph_parts(t: Tables) -> dict[str, DataFrame]:
     parts = {}
     if t.has("suppliers") or t.has("purchase_orders"):

@@ -67,7 +67,7 @@ def customer_reach(t: Tables, first: str | None = None, last: str | None = None)
 
 
 # Per source of the headline figures: its day, the amount, and the days it is weighted by.
-_SOURCES = {
+SOURCES = {
     "inventory_snapshot": ("snapshot_date", "inventory_value", None),
     "sales_transactions": ("transaction_date", "total_cost", None),
     "ar_ledger": ("invoice_date", "invoice_amount", "days_to_pay"),
@@ -80,7 +80,7 @@ def kpi_state(t: Tables, days: list[str] | None = None) -> DataFrame:
     """What a day adds to the headline figures, per source: amount, amount times days, rows. A ledger without dates has
     one state without a day. ``days`` reads only those days."""
     parts = []
-    for source, (day, amount, weight) in _SOURCES.items():
+    for source, (day, amount, weight) in SOURCES.items():
         if not t.has(source):
             continue
         rows = t[source]
@@ -100,7 +100,7 @@ def kpi_state(t: Tables, days: list[str] | None = None) -> DataFrame:
 
 def kpi_from_states(states: DataFrame) -> DataFrame:
     """The cash conversion cycle from ``kpi_state`` rows: the same figures as from the tables."""
-    stock, sales, ar, ap = (states.where(F.col("source") == s) for s in _SOURCES)
+    stock, sales, ar, ap = (states.where(F.col("source") == s) for s in SOURCES)
     newest = stock.agg(F.max("day")).scalar()
     known = lambda df: F.count(F.lit(1)) > 0
     sections = [

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.functions import as_double, half_even, half_up, money
+from ledgerloom.plans.difference import changes
 from ledgerloom.plans.ranks import quantiles_by, ranked, tile
 from ledgerloom.plans.timeline import inside_slices, last_known, running, with_neighbours
 from ledgerloom.plans.totals import total
@@ -151,6 +152,18 @@ def customer_deciles_summary(t: Tables, tiles: int = 10) -> DataFrame:
     return rows.select("decile", "customers", money(F.col("_revenue")).alias("revenue"), share.alias("revenue_pct")).orderBy("decile")
 
 
+def purchase_order_changes(t: Tables, as_of: str) -> DataFrame:
+    """What changed in the purchase orders since the end of ``as_of``: orders placed since then, and orders received
+    since then in their old and new state, as rows added and removed."""
+    day = F.lit(as_of).cast("date")
+    orders = t["purchase_orders"]
+    later = F.col("actual_delivery_date") > day
+    unknown = {c: F.when(later, F.lit(None)).otherwise(F.col(c)) for c in ("actual_delivery_date", "delay_days")}
+    status = F.when(later, "open").otherwise(F.col("po_status"))
+    earlier = orders.where(F.col("po_date") <= day).withColumns({"po_status": status, **unknown})
+    return changes(earlier, orders)
+
+
 def payment_quantiles(t: Tables, shares: list[float] | None = None) -> DataFrame:
     """Exact quantiles of the days to pay per customer segment; invoices of unknown customers form a group."""
     segments = t["customers"].select("customer_id", "segment")

@@ -7,13 +7,16 @@ last: readers see the old table or the new one, never half of either.
 from __future__ import annotations
 
 import time
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.operators.catalog import versions_as_of
 from ledgerloom.operators.overview import kpi_record
+from ledgerloom.plans.difference import changes
 from ledgerloom.schema import KPI_HISTORY, LEGACY_TABLES, TABLES, UPLOAD_LOG
 from ledgerloom.sources.files import BAD_CELLS, CORRUPT, RejectedFile, bad_row, check_required, file_size, read_csv, table_spec
 from ledgerloom.tables import Tables
@@ -71,7 +74,7 @@ class Store:
         spec = table_spec(category)
         check_required(df, category)
         version = time.time_ns() // 1000
-        target = f"{self.root}/{category}/version={version}"
+        target = f"{self.root}/{category}/version={version}-{uuid.uuid4().hex[:8]}"
         seen = Observation(f"ingest-{category}-{version}")
         counted = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("bad"))
         kept = counted.drop(BAD_CELLS, CORRUPT)
@@ -83,11 +86,13 @@ class Store:
         if wrong and on_error == "fail":
             self._delete(target)
             raise RejectedFile(f"{category}: {wrong} of {rows} rows do not fit the declared types")
-        self._log(version, category, filename, rows, target)
+        self._log(category, filename, rows, target)
         return rows
 
-    def _log(self, version: int, category: str, filename: str, rows: int, path: str) -> None:
-        line = (version, category, filename, datetime.fromtimestamp(version / 1e6, timezone.utc), rows, "uploaded", path)
+    def _log(self, category: str, filename: str, rows: int, path: str) -> None:
+        # The line is numbered and dated when the rows are all there: a version never becomes visible before its time.
+        now = time.time_ns() // 1000
+        line = (now, category, filename, datetime.fromtimestamp(now / 1e6, timezone.utc), rows, "uploaded", path)
         self.spark.createDataFrame([line], UPLOAD_LOG).coalesce(1).write.mode("append").parquet(self._log_path)
 
     def append_kpi(self, date: str | None = None) -> None:
@@ -102,22 +107,28 @@ class Store:
     def kpi_history(self) -> DataFrame | None:
         return self.spark.read.schema(KPI_HISTORY).parquet(self._kpi_path) if self._exists(self._kpi_path) else None
 
-    def _current_paths(self) -> dict[str, str]:
+    def _paths(self, as_of: datetime | int | None = None) -> dict[str, str]:
+        """Where each table's version lies that was the newest at ``as_of`` (a time or the id of an upload; now without
+        it). The log is read once, so the versions belong together however many uploads run meanwhile."""
         log = self.upload_log()
         if log is None:
             return {}
         # At most one row per category.
-        newest = log.groupBy("file_category").agg(F.max_by("storage_path", "id").alias("path")).collect()
-        return {r["file_category"]: r["path"] for r in newest}
+        newest = versions_as_of(Tables(self.spark, {}, log), as_of, path=True).collect()
+        return {r["file_category"]: r["storage_path"] for r in newest}
 
-    def tables(self) -> Tables:
-        """The newest version of every uploaded table."""
-        frames = {n: (lambda p=p: self.spark.read.parquet(p)) for n, p in self._current_paths().items()}
+    def tables(self, as_of: datetime | int | None = None) -> Tables:
+        """The newest version of every uploaded table, or the newest at a time or upload."""
+        frames = {n: (lambda p=p: self.spark.read.parquet(p)) for n, p in self._paths(as_of).items()}
         return Tables(self.spark, frames, self.upload_log())
 
+    def changes(self, category: str, old: datetime | int, new: datetime | int | None = None) -> DataFrame:
+        """Rows a table gained and lost between two times or uploads (see ``plans.difference.changes``)."""
+        return changes(self.tables(old)[category], self.tables(new)[category])
+
     def size_bytes(self) -> int:
         """Bytes of the current versions."""
-        return sum(file_size(self.spark, p) for p in self._current_paths().values())
+        return sum(file_size(self.spark, p) for p in self._paths().values())
 
     def reset(self, confirm: bool = False) -> None:
         """Deletes every table, the log and the KPI history."""

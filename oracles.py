@@ -86,6 +86,10 @@ def _complete(sql: str) -> str:
             add(name)
     ctes = ",\n".join(f"{n} AS ({_definition(n)})" for n in names)
     body = sql.strip()
+    if not names:
+        return body
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
@@ -242,7 +246,50 @@ def _history_texts() -> dict[str, str]:
     reach = f"""
         SELECT product_id, {_double('sum(total_revenue)')} AS revenue, {_long('sum(qty_sold)')} AS units, count(DISTINCT customer_id) AS customers
         FROM sales_transactions WHERE {{}} GROUP BY product_id"""
+    paths = """
+        WITH RECURSIVE bom AS (
+            SELECT p_partkey AS c, p_partkey // 4 + 1 AS f, 1 + p_partkey % 3 AS n FROM part
+            UNION ALL SELECT p_partkey, p_partkey // 6 + 1, 1 FROM part WHERE p_partkey % 2 = 0),
+        uses AS (SELECT c, f, sum(n) AS n FROM bom WHERE c <> f GROUP BY c, f),
+        up AS (SELECT c, f, CAST(n AS BIGINT) AS n, 1 AS level FROM uses
+               UNION ALL SELECT up.c, uses.f, CAST(up.n * uses.n AS BIGINT), level + 1 FROM up JOIN uses ON up.f = uses.c)"""
+    order_columns = [c for c, _ in COLUMNS["purchase_orders"]]
+    late = "actual_delivery_date > DATE '2001-03-31'"
+    earlier = ", ".join(
+        {
+            "actual_delivery_date": f"CASE WHEN {late} THEN NULL ELSE actual_delivery_date END AS actual_delivery_date",
+            "delay_days": f"CASE WHEN {late} THEN NULL ELSE delay_days END AS delay_days",
+            "po_status": f"CASE WHEN {late} THEN 'open' ELSE po_status END AS po_status",
+        }.get(c, c)
+        for c in order_columns
+    )
+    log = """
+        WITH files AS (
+            SELECT 'ar_ledger' AS file_category, date_trunc('month', o_orderdate) AS d, INTERVAL 1 MONTH AS after, count(*) AS row_count, 9 AS code
+            FROM orders GROUP BY 2
+            UNION ALL SELECT 'purchase_orders', date_trunc('year', o_orderdate), INTERVAL 12 MONTH, count(*), 5 FROM orders GROUP BY 2),
+        log AS (SELECT CAST(strftime(d, '%Y%m') AS BIGINT) * 10 + code AS id, file_category, file_category || '-' || strftime(d, '%Y-%m') || '.csv' AS filename,
+                       CAST(d + after AS TIMESTAMP) AS upload_timestamp, row_count, 'uploaded' AS status FROM files)"""
     return {
+        "part_uses": f"""{paths}
+            SELECT 'P' || CAST(c AS STRING) AS component_id, 'P' || CAST(f AS STRING) AS finished_id, CAST(sum(n) AS DOUBLE) AS quantity,
+                   count(*) AS paths, min(level) AS first_level, max(level) AS last_level FROM up GROUP BY c, f""",
+        "ripple_all_levels": f"""{paths},
+            touched AS (SELECT supplier_id, product_id, 1 AS own FROM edges
+                        UNION ALL SELECT supplier_id, 'P' || CAST(f AS STRING), 0 FROM edges JOIN (SELECT DISTINCT c, f FROM up) a ON product_id = 'P' || CAST(c AS STRING)),
+            once AS (SELECT supplier_id, product_id, max(own) AS own FROM touched GROUP BY supplier_id, product_id)
+            SELECT supplier_id, CAST(sum(own) AS BIGINT) AS supplied, count(*) AS impacted, CAST(coalesce(sum(v), 0) AS DOUBLE) AS revenue_at_risk
+            FROM once LEFT JOIN sold USING (product_id) GROUP BY supplier_id""",
+        "purchase_order_changes": f"""
+            WITH earlier AS (SELECT {earlier} FROM purchase_orders WHERE po_date <= DATE '2001-03-31'),
+            added AS (SELECT {', '.join(order_columns)} FROM purchase_orders EXCEPT ALL SELECT * FROM earlier),
+            removed AS (SELECT * FROM earlier EXCEPT ALL SELECT {', '.join(order_columns)} FROM purchase_orders)
+            SELECT *, 'added' AS change, count(*) AS copies FROM added GROUP BY ALL
+            UNION ALL SELECT *, 'removed', count(*) FROM removed GROUP BY ALL""",
+        "version_history_logged": f"{log} SELECT * FROM log",
+        "versions_as_of": f"""{log}
+            SELECT file_category, arg_max(id, id) AS id, arg_max(filename, id) AS filename, arg_max(upload_timestamp, id) AS upload_timestamp,
+                   arg_max(row_count, id) AS row_count FROM log WHERE upload_timestamp <= TIMESTAMP '1998-07-15' GROUP BY file_category""",
         "stock_at_sale": _asof(">="),
         "stock_before_sale": _asof(">"),
         "receipt_before_sale": f"""
