@@ -155,6 +155,7 @@ def _tokenised(tokenizer: str, end_id: int, cuts: list):
                     ],
                     ["bucket", "doc_id", "tie", "n_ids", "words", "per_span", "escapes"],
                 )
+                pa.default_memory_pool().release_unused()
 
     return run
 
@@ -187,15 +188,17 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _TYPES, strict=True)], _NAMES)
 
     for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
-            if held and (row[0] != bucket or size + row[3] > BLOCK_IDS):
-                yield flush()
-                start, block, held, size = (start + size, block + 1, [], 0) if row[0] == bucket else (0, 0, [], 0)
-            elif row[0] != bucket:
-                start, block = 0, 0
-            bucket = row[0]
-            held.append(row[1:])
-            size += row[3]
+        for part in slices(batch, "words"):
+            for row in zip(*(part.column(i).to_pylist() for i in range(part.num_columns)), strict=True):
+                if held and (row[0] != bucket or size + row[3] > BLOCK_IDS):
+                    yield flush()
+                    start, block, held, size = (start + size, block + 1, [], 0) if row[0] == bucket else (0, 0, [], 0)
+                elif row[0] != bucket:
+                    start, block = 0, 0
+                bucket = row[0]
+                held.append(row[1:])
+                size += row[3]
+            pa.default_memory_pool().release_unused()
     if held:
         yield flush()
 
@@ -207,14 +210,16 @@ _TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
     """Writes the ids of every text, closed by ``end_id``, to files at ``path`` in ascending doc_id order.
 
-    Ids are dealt by ranges of doc_id, so file order is id order; a null id comes first. Rows with equal ids keep an
-    order by their content. A null text is empty. One shuffle moves the coded ids; texts stay where they are read.
+    Ids are dealt by ranges of doc_id, and range k becomes partition and file k, so reading the files in the order of their
+    names is reading in id order; a null id comes first. Rows with equal ids keep an order by their content. A null or
+    empty text has the end id only; a text of any length is one document; an empty table gives files without rows. One
+    shuffle moves the coded ids; texts stay where they are read.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cuts = quantiles(docs, "doc_id", width(spark))
     coded = docs.mapInArrow(_tokenised(tokenizer, end_id, cuts), _CODED)
-    dealt = coded.repartition(width(spark), "bucket").sortWithinPartitions("bucket", "doc_id", "tie")
+    dealt = coded.repartitionById(width(spark), F.col("bucket")).sortWithinPartitions("bucket", "doc_id", "tie")
     dealt.mapInArrow(_blocks, _BLOCKS).write.parquet(path)
 
 
@@ -233,7 +238,8 @@ def unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for bucket, start, payload in zip(*(batch.column(n).to_pylist() for n in ("bucket", "start", "payload")), strict=True):
+        for i in range(batch.num_rows):
+            bucket, start, payload = (batch.column(n)[i].as_py() for n in ("bucket", "start", "payload"))
             doc, null, bounds, ids = unpack(payload)
             small = ids.astype("<u4")
             crcs = [zlib.crc32(small[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
