@@ -30,6 +30,7 @@ MOST_MATCHES = 8
 VERIFY_COST = 20.0  # of verifying a candidate, in list entries
 BUFFER = 1 << 20  # shingles a task holds before it combines them
 SLICE = 1 << 20  # bytes of text shingled at a time
+PARTS = 8  # of a task's range of hashes, counted one after the other
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -70,13 +71,13 @@ def _counted(words: int, ranges: int):
         starts = np.flatnonzero(np.diff(values, prepend=np.uint64(1 << 41)))
         counts = np.diff(starts, append=len(values))
         values = values[starts]
-        owner, bounds = _pieces(values, ranges)
+        part, bounds = _pieces(values, ranges * PARTS)
         planes, more = [], []
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             planes.append(np.ascontiguousarray(values[a:b].astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:].T).tobytes())
             often = np.flatnonzero(counts[a:b] > 1)
             more.append(np.stack([often, counts[a:b][often]]).astype(np.uint32).tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(owner), pa.array(planes, pa.binary()), pa.array(more, pa.binary())], ["range", "planes", "more"])
+        return pa.RecordBatch.from_arrays([pa.array(part), pa.array(planes, pa.binary()), pa.array(more, pa.binary())], ["part", "planes", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -95,9 +96,26 @@ def _counted(words: int, ranges: int):
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    values, counts = [], []
+    """Shingles that stand in ``FREQUENT`` documents, from runs in the order of ``part``: one part is held at a time."""
+    held, values, counts = None, [], []
+
+    def flush() -> pa.RecordBatch:
+        value, count = np.concatenate(values), np.concatenate(counts)
+        values.clear(), counts.clear()
+        order = np.argsort(value, kind="stable")
+        value, count = value[order], count[order]
+        starts = np.flatnonzero(np.diff(value, prepend=np.uint64(1 << 41)))
+        sums = np.add.reduceat(count, starts, dtype=np.int64)
+        kept = sums >= FREQUENT
+        return pa.RecordBatch.from_arrays([pa.array(value[starts][kept].astype(np.int64)), pa.array(sums[kept])], ["value", "df"])
+
     for batch in batches:
-        for planes, more in zip(batch.column("planes").to_pylist(), batch.column("more").to_pylist(), strict=True):
+        for i in range(batch.num_rows):
+            part, planes, more = (batch.column(c)[i].as_py() for c in ("part", "planes", "more"))
+            if part != held and values:
+                yield flush()
+                pa.default_memory_pool().release_unused()
+            held = part
             bytes_ = np.frombuffer(planes, np.uint8).reshape(5, -1)
             value = np.zeros(bytes_.shape[1], np.uint64)
             for plane in bytes_:
@@ -108,20 +126,14 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values.append(value)
             counts.append(count)
     if values:
-        value, count = np.concatenate(values), np.concatenate(counts)
-        values.clear(), counts.clear()
-        order = np.argsort(value, kind="stable")
-        value, count = value[order], count[order]
-        starts = np.flatnonzero(np.diff(value, prepend=np.uint64(1 << 41)))
-        sums = np.add.reduceat(count, starts, dtype=np.int64)
-        kept = sums >= FREQUENT
-        yield pa.RecordBatch.from_arrays([pa.array(value[starts][kept].astype(np.int64)), pa.array(sums[kept])], ["value", "df"])
+        yield flush()
 
 
 def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted 40-bit hashes, counts) of the most frequent shingles over all documents, at most ``LISTED`` of them."""
     n = width(docs.sparkSession)
-    found = docs.select("text").mapInArrow(_counted(words, n), "range int, planes binary, more binary").repartition(n, "range")
+    found = docs.select("text").mapInArrow(_counted(words, n), "part int, planes binary, more binary")
+    found = found.repartitionById(n, F.floor(F.col("part") / PARTS).cast("int")).sortWithinPartitions("part")
     found = found.mapInArrow(_frequent, "value long, df long").orderBy(F.desc("df"), "value").limit(LISTED).toPandas()
     found = found.sort_values("value")
     return found["value"].to_numpy(np.uint64), found["df"].to_numpy(np.float64)
@@ -330,7 +342,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
     n = width(spark)
     posted = single.select("node", "n", "m", "light", "prefix").mapInArrow(_posted(n), f"range int, block binary, {_POSTING}")
     posted = stored(posted, "posted")
-    light = posted.where("block IS NOT NULL").select("range", "block").repartition(n, "range").mapInArrow(_shared, _POSTING)
+    light = posted.where("block IS NOT NULL").select("range", "block").repartitionById(n, F.col("range")).mapInArrow(_shared, _POSTING)
     lists = stored(light.unionByName(posted.where("block IS NULL").select("token", "node", "n", "m", "pos")).distinct(), "lists")
     drop(posted)
 
