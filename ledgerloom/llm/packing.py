@@ -25,34 +25,47 @@ from ledgerloom.llm.words import WordTokenizer, slices
 CAPACITY = 4096
 GRAIN = 256
 WINDOWS = 256
+PIECES = 1 << 16  # of a group, about; groups of short texts have fewer windows
 
 
 def difference(sizes: np.ndarray, k: int) -> np.ndarray:
-    """The window (0 to k - 1) of each piece, with near-equal sums."""
-    if not len(sizes):
+    """The window (0 to k - 1) of each piece, with near-equal sums.
+
+    A piece is a partition with one used window, written out only when it is merged; a merged partition keeps the order
+    of its windows, and its sums only until it is merged itself.
+    """
+    n = len(sizes)
+    if not n:
         return np.zeros(0, np.int64)
-    heap: list[tuple[int, int]] = []
-    nodes: list[tuple] = []  # (sums from large to small, left, right, order); leaf: (sums, piece)
-    for i, size in enumerate(sizes.tolist()):
-        sums = np.zeros(k, np.int64)
-        sums[0] = size
-        heap.append((-size, i))
-        nodes.append((sums, i))
+    heap = [(-size, i) for i, size in enumerate(sizes.tolist())]
     heapq.heapify(heap)
+    sums: dict[int, np.ndarray] = {}  # from large to small
+    merged: list[tuple[int, int, np.ndarray]] = []  # (left, right, order) of partition n, n + 1, ...
+    kind = np.uint8 if k <= 256 else np.uint32
+
+    def take(node: int) -> np.ndarray:
+        if node >= n:
+            return sums.pop(node)
+        alone = np.zeros(k, np.int64)
+        alone[0] = sizes[node]
+        return alone
+
     while len(heap) > 1:
         left, right = heapq.heappop(heap)[1], heapq.heappop(heap)[1]
-        sums = nodes[left][0] + nodes[right][0][::-1]
-        order = np.argsort(-sums, kind="stable")
-        sums = sums[order] - sums[order[-1]]
-        nodes.append((sums, left, right, order))
-        heapq.heappush(heap, (-int(sums[0]), len(nodes) - 1))
-    out, todo = np.empty(len(sizes), np.int64), [(heap[0][1], np.arange(k))]
+        both = take(left) + take(right)[::-1]
+        order = np.argsort(-both, kind="stable")
+        both = both[order]
+        merged.append((left, right, order.astype(kind)))
+        node = n + len(merged) - 1
+        sums[node] = both - both[-1]
+        heapq.heappush(heap, (-int(sums[node][0]), node))
+    out, todo = np.empty(n, np.int64), [(heap[0][1], np.arange(k))]
     while todo:
         node, windows = todo.pop()
-        if len(nodes[node]) == 2:
-            out[nodes[node][1]] = windows[0]
+        if node < n:
+            out[node] = windows[0]
             continue
-        _, left, right, order = nodes[node]
+        left, right, order = merged[node - n]
         unsorted = np.empty(k, np.int64)
         unsorted[order] = windows
         todo += [(left, unsorted), (right, unsorted[::-1])]
@@ -121,8 +134,8 @@ def pack(
         "pieces",
     )
     whole, rest = pieces.where(F.col("length") == capacity), pieces.where(F.col("length") < capacity)
-    total = rest.agg(F.sum("length").alias("n")).first().n or 0
-    groups = max(1, -(-total // (capacity * windows_per_group)))
+    size = rest.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("pieces")).first()
+    groups = max(1, -(-size.tokens // (capacity * windows_per_group)), -(-size.pieces // PIECES))
     names = [f.name for f in pieces.schema if f.name != "_row"]
 
     def packed(frame: pd.DataFrame) -> pd.DataFrame:
