@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.shared import remainder
 from ledgerloom.llm.words import Cached, Words, letters, slices
 
-TRAIN_DOCS = 16_000  # about so many labelled documents are learned from, drawn by a hash of the id
+TRAIN_DOCS = 16_000  # about so many labelled documents are learned from, drawn by a hash of the id within each language
 WORDS = 150_000  # known words, most frequent first
 GRAMS = 100_000  # known character n-grams
 LONGEST = 4
@@ -96,20 +96,30 @@ def _logs(table, languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
     number = {t: i for i, t in enumerate(terms)}
     counts = np.zeros((len(terms), len(languages)))
     counts[table["term"].map(number), table["lang"].map({x: i for i, x in enumerate(languages)})] = table["n"]
-    smoothed = counts + 0.5
-    return number, np.log(smoothed / (counts.sum(axis=0) + 0.5 * (len(terms) + 1)))
+    # Witten-Bell: as many chances of a new term as a language has terms, shared out by the frequency in all languages.
+    # So a term that no language but one has is likelier there, however little was learned of the others.
+    overall = (counts.sum(axis=1) + 0.5) / (counts.sum() + 0.5 * (len(terms) + 1))
+    kinds = np.maximum((counts > 0).sum(axis=0), 1)
+    return number, np.log((counts + kinds * overall[:, None]) / (counts.sum(axis=0) + kinds))
 
 
 def train(docs: DataFrame, most: int = TRAIN_DOCS) -> Model:
-    """Learns from columns doc_id, text, lang. ``most`` bounds the sample; tables are bounded by WORDS and GRAMS."""
+    """Learns from columns doc_id, text, lang. ``most`` bounds the sample, of which every language gets an equal share, or
+    all its documents if they are fewer (what those leave over goes to the others); tables are bounded by WORDS and GRAMS."""
     docs = docs.where("lang IS NOT NULL AND text IS NOT NULL").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")
     )
     sizes = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").toPandas()
     total = max(1, int(sizes["count"].sum()))
     languages = sorted(sizes["lang"])
-    share = min(1.0, most / total)
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1_000_000)) < int(1_000_000 * share))
+    left, share = most, {}
+    for place, (lang, size) in enumerate(reversed(list(zip(sizes["lang"], sizes["count"], strict=True)))):
+        quota = min(size, left / (len(sizes) - place))
+        share[lang], left = quota / size, left - quota
+    bound = F.lit(0)
+    if share:
+        bound = F.create_map(*(F.lit(x) for lang, s in share.items() for x in (lang, round(1_000_000 * s))))[F.col("lang")]
+    drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1_000_000)) < bound)
     counts = drawn.select("text", "lang").mapInArrow(_counted, "lang string, kind int, term string, n long").groupBy("lang", "kind", "term").agg(F.sum("n").alias("n"))
     terms = counts.groupBy("kind", "term").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
     tables = []

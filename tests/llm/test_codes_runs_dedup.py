@@ -246,3 +246,65 @@ def test_codes_decode_to_their_entries():
     codes, errors = books.assign(vectors)
     assert (books.decode(codes[:10]) == vectors[:10]).all() and (errors[:10] == 0).all()
     assert (((books.decode(codes) - vectors) ** 2).sum(axis=1) == errors.sum(axis=1)).all()
+
+
+# --- repairs of earlier operators
+
+
+def test_id_files_are_in_the_order_of_their_names(spark, tmp_path):
+    from ledgerloom.llm.simple8b import unpack, write_ids
+    from test_operators import WORD
+
+    rows = [(i * 7919 % 1000, f"text {i} of some words") for i in range(1000)]
+    path = str(tmp_path / "ids")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        write_ids(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), path, WORD)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    import glob
+
+    import pyarrow.parquet as pq
+
+    seen, files = [], sorted(glob.glob(f"{path}/part-*.parquet"))
+    for file in files:
+        for payload in pq.read_table(file).column("payload").to_pylist():
+            seen += unpack(payload)[0].tolist()
+    assert len(files) > 4 and seen == sorted(i for i, _ in rows)
+
+
+def test_a_thinly_labelled_language_does_not_win_other_languages_words(spark):
+    from ledgerloom.llm import language
+
+    rng = random.Random(2)
+    english = [f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(3000)]
+    rows = [(i, " ".join(rng.choices(english, weights=[1 / (k + 1) for k in range(3000)], k=60)), "en") for i in range(600)]
+    rows += [(9000 + i, f"qzx vuu {w}", "xx") for i, w in enumerate(("qqa", "qqb"))]
+    rows += [(10_000 + i, " ".join(rng.sample(english[1500:], 12)), None) for i in range(40)] + [(20_000, "qzx vuu", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: r.lang_pred for r in language.predict(df.where("lang IS NULL"), language.train(df)).collect()}
+    assert {v for k, v in found.items() if k < 20_000} == {"en"} and found[20_000] == "xx"
+    few = language.train(df, most=100)
+    assert few.words.get("qzx") is not None
+
+
+def test_packing_of_very_many_short_rows_needs_little_memory():
+    import tracemalloc
+
+    from ledgerloom.llm.packing import PIECES, difference
+
+    tracemalloc.start()
+    found = difference(np.full(PIECES, 16), 256)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.bincount(found).max() <= 4096 and peak < 300 << 20
+
+
+def test_packing_of_300_000_one_token_rows(spark):
+    from ledgerloom.llm.packing import pack
+    from test_operators import WORD
+
+    rows = pack(spark.range(300_000).selectExpr("id AS doc_id", "CAST(NULL AS STRING) AS text"), WORD)
+    filled = rows.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count_distinct("offset").alias("m")).collect()
+    assert sum(r.n for r in filled) == 300_000 and all(r.n == r.m <= 4096 for r in filled) and len(filled) < 85
