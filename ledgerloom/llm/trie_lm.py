@@ -256,7 +256,6 @@ def _paired(shards: int, listed: np.ndarray, counts: np.ndarray, complete: bool,
 
     ``complete``: words that are not listed have not been seen in training.
     """
-    codes = _codes(counts, z, step)
     other = 0 if complete else -1
     starts = int(counts[np.searchsorted(listed, END)]) if END in listed else other
 
@@ -273,7 +272,8 @@ def _paired(shards: int, listed: np.ndarray, counts: np.ndarray, complete: bool,
         at = np.minimum(np.searchsorted(listed, hashes), max(0, len(listed) - 1))
         known = listed[at] == hashes if len(listed) else np.zeros(n, bool)
         times = np.where(known, counts[at] if len(listed) else 0, other)
-        code = np.where(known, codes[at] if len(listed) else 0, _codes(np.zeros(1), z, step)).astype(np.uint8)
+        # A successor is written as its place in the list; words that were never learned share the place behind it.
+        place = np.where(known, at, len(listed))
         times[-1] = starts
         # Every text is followed by an end; a pair begins with the word before, or with a start.
         token = np.insert(words.index, words.bounds[1:], n - 2)
@@ -301,7 +301,7 @@ def _paired(shards: int, listed: np.ndarray, counts: np.ndarray, complete: bool,
         shard = _shard(hashes[before], times[before], successor, shards, spread)
         order = np.lexsort((before, shard))
         shard, before, token = shard[order], before[order], token[order]
-        successor, doc_train = successor[order], doc_train[order]
+        doc_train = doc_train[order]
         small = np.uint16 if docs < 1 << 15 else np.uint32
         rows: list[tuple] = []
         cuts = np.searchsorted(shard, np.arange(shards + 1))
@@ -314,9 +314,8 @@ def _paired(shards: int, listed: np.ndarray, counts: np.ndarray, complete: bool,
                 hashes[context],
                 times[context].astype(np.int64),
                 np.diff(np.append(firsts, b - a)).astype(np.uint32),
-                (successor[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32),
-                (successor[a:b] >> np.uint64(32)).astype(np.uint8),
-                code[token[a:b]],
+                (place[token[a:b]] & 0xFFFF).astype(np.uint16),
+                (place[token[a:b]] >> 16).astype(np.uint8),
                 doc_train[a:b].astype(small),
             ]
             head = np.array([len(context), b - a, docs, np.dtype(small).itemsize], np.int64).tobytes()
@@ -342,15 +341,26 @@ def _sums(docs: int, doc: np.ndarray, values: list[np.ndarray]) -> bytes:
     return np.int64(len(found)).tobytes() + found.astype(np.uint32).tobytes() + b"".join(np.bincount(doc, v, docs)[found].tobytes() for v in values)
 
 
-def _columns(blob: bytes) -> tuple[int, list[np.ndarray]]:
+def _by_place(words: np.ndarray, counts: np.ndarray, z: float, step: float) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, unigram code) of a successor by its place in the list; words that were never learned share one hash, of no word."""
+    hashes = words >> np.uint64(64 - BITS)
+    free = np.setdiff1d(np.arange(len(hashes) + 1, dtype=np.uint64), hashes)[:1]
+    return np.append(hashes, free), np.append(_codes(counts, z, step), _codes(np.zeros(1), z, step)).astype(np.uint8)
+
+
+def _columns(blob: bytes, by_place: tuple[np.ndarray, np.ndarray]) -> tuple[int, list[np.ndarray]]:
     """(documents, columns) of pairs: contexts, their occurrences and pairs; successors in two parts, codes, documents."""
     k, n, docs, width_ = np.frombuffer(blob, np.int64, 4).tolist()
     at, columns = 32, []
-    kinds = (np.uint64, np.int64, np.uint32, np.uint32, np.uint8, np.uint8, np.uint16 if width_ == 2 else np.uint32)
-    for kind, m in zip(kinds, (k, k, k, n, n, n, n), strict=True):
+    kinds = (np.uint64, np.int64, np.uint32, np.uint16, np.uint8, np.uint16 if width_ == 2 else np.uint32)
+    for kind, m in zip(kinds, (k, k, k, n, n, n), strict=True):
         columns.append(np.frombuffer(blob, kind, m, at))
         at += columns[-1].nbytes
-    return docs, columns
+    context, times, pairs, low, high, doc_train = columns
+    place = low.astype(np.uint32) | (high.astype(np.uint32) << np.uint32(16))
+    successor = by_place[0][place]
+    parts = (successor & np.uint64(0xFFFFFFFF)).astype(np.uint32), (successor >> np.uint64(32)).astype(np.uint8)
+    return docs, [context, times, pairs, *parts, by_place[1][place], doc_train]
 
 
 def _flat(blob: bytes, kinds: tuple, front: int = 0) -> list[np.ndarray]:
@@ -411,7 +421,7 @@ def _told(shards: int, z: float, step: float, spread: int):
     return run
 
 
-def _successors(shards: int, hot: np.ndarray):
+def _successors(shards: int, hot: np.ndarray, by_place: tuple[np.ndarray, np.ndarray]):
     """Distinct training pairs of the contexts ``hot`` (sorted hashes), by shard; each is its context's number and its successor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -422,7 +432,7 @@ def _successors(shards: int, hot: np.ndarray):
                     word, context, _, doc_train = _flat(blob, ASKED, 8)
                     pairs, follower = 1, word >> np.uint64(64 - BITS)
                 else:
-                    _, (context, _, pairs, low, high, _, doc_train) = _columns(blob)
+                    _, (context, _, pairs, low, high, _, doc_train) = _columns(blob, by_place)
                     follower = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
                 at = np.minimum(np.searchsorted(hot, context), len(hot) - 1)
                 of = np.repeat(np.where(hot[at] == context, at, -1), pairs)
@@ -463,7 +473,7 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(number.astype(np.int64)), pa.array(kinds.astype(np.int64))], ["number", "kinds"])
 
 
-def _scored(z: float, step: float, smoothing: float, hot: np.ndarray, kinds_of_hot: np.ndarray):
+def _scored(z: float, step: float, smoothing: float, hot: np.ndarray, kinds_of_hot: np.ndarray, by_place: tuple[np.ndarray, np.ndarray]):
     """One task's shards: builds the trie from training pairs, and answers each chunk with sums per document.
 
     Contexts ``hot`` (sorted hashes) have as many distinct successors over all tasks as ``kinds_of_hot`` says.
@@ -482,7 +492,7 @@ def _scored(z: float, step: float, smoothing: float, hot: np.ndarray, kinds_of_h
     def pairs(direct: list[tuple[int, bytes]], asked: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
         parts: list[list[np.ndarray]] = [[] for _ in range(7)]
         blocks, sizes, shape = [], [], []
-        for chunk, docs, columns in [*((chunk, *_columns(blob)) for chunk, blob in direct), *(told(asked) if asked else ())]:
+        for chunk, docs, columns in [*((chunk, *_columns(blob, by_place)) for chunk, blob in direct), *(told(asked) if asked else ())]:
             for part, column in zip(parts, columns, strict=True):
                 part.append(column)
             blocks.append(chunk)
@@ -634,13 +644,14 @@ def score_texts(docs: DataFrame, divisor: int = 5, held_out: int = 1, smoothing:
 
     schema = "shard int, chunk long, kind int, blob binary"
     paired = docs.mapInArrow(_paired(n, words, counts, complete, z, step, SPREAD), schema)
+    by_place = _by_place(words, counts, z, step)
     hot = words[counts > SPREAD]
     hot = np.sort(np.append(hot, START)) if END in hot else hot
     kinds_of_hot = np.zeros(len(hot), np.int64)
     if len(hot) or not complete:
         paired = stored(paired, "pairs", 8 << 20)
     if len(hot):
-        found = paired.where("kind < 2").select("kind", "blob").mapInArrow(_successors(n, hot), "shard int, blob binary").repartition(n, "shard")
+        found = paired.where("kind < 2").select("kind", "blob").mapInArrow(_successors(n, hot, by_place), "shard int, blob binary").repartition(n, "shard")
         found = found.select("blob").mapInArrow(_distinct, "number long, kinds long").groupBy("number").agg(F.sum("kinds").alias("kinds")).toPandas()
         kinds_of_hot[found["number"].to_numpy(np.int64)] = found["kinds"].to_numpy(np.int64)
     if not complete:
@@ -648,7 +659,7 @@ def score_texts(docs: DataFrame, divisor: int = 5, held_out: int = 1, smoothing:
         asked = paired.where("kind = 1").unionByName(known).repartition(n, "shard").sortWithinPartitions(F.desc("kind"))
         told = asked.select("chunk", "kind", "blob").mapInArrow(_told(n, z, step, SPREAD), schema)
         paired = paired.where("kind != 1").unionByName(told)
-    scored = _scored(z, step, smoothing, hot, kinds_of_hot)
+    scored = _scored(z, step, smoothing, hot, kinds_of_hot, by_place)
     sums = paired.repartition(n, "shard").select("chunk", "kind", "blob").mapInArrow(scored, "chunk long, kind int, blob binary")
     met = sums.repartition(n, "chunk").sortWithinPartitions("chunk", F.desc("kind"))
     result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
