@@ -319,13 +319,13 @@ def _paired(shards: int, listed: np.ndarray, counts: np.ndarray, complete: bool,
                 doc_train[a:b].astype(small),
             ]
             head = np.array([len(context), b - a, docs, np.dtype(small).itemsize], np.int64).tobytes()
-            rows.append((s, key, 0, head + b"".join(c.tobytes() for c in columns)))
+            rows.append((s, key, 0, _squeezed(head + b"".join(c.tobytes() for c in columns))))
         owner = (asked[0] % np.uint64(shards)).astype(np.int64)
         by = np.argsort(owner, kind="stable")
         cuts = np.searchsorted(owner[by], np.arange(shards + 1))
         for s in np.flatnonzero(np.diff(cuts)).tolist():
             own = by[cuts[s] : cuts[s + 1]]
-            rows.append((s, key, 1, np.int64(docs).tobytes() + b"".join(c[own].tobytes() for c in asked)))
+            rows.append((s, key, 1, _squeezed(np.int64(docs).tobytes() + b"".join(c[own].tobytes() for c in asked))))
         null = np.asarray(ids.is_null()).astype(np.uint8)
         columns = [ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), null, trained.astype(np.uint8), np.diff(bounds), known_tokens, base]
         rows.append((int(np.uint64(key) % np.uint64(shards)) if key >= 0 else 0, key, 2, np.int64(docs).tobytes() + b"".join(c.tobytes() for c in columns)))
@@ -341,6 +341,15 @@ def _sums(docs: int, doc: np.ndarray, values: list[np.ndarray]) -> bytes:
     return np.int64(len(found)).tobytes() + found.astype(np.uint32).tobytes() + b"".join(np.bincount(doc, v, docs)[found].tobytes() for v in values)
 
 
+def _squeezed(columns: bytes) -> bytes:
+    """Columns of pairs as they are stored and shuffled: entropy-coded, as most bytes of a column are far from random."""
+    return np.int64(len(columns)).tobytes() + pa.Codec("zstd", compression_level=1).compress(columns, asbytes=True)
+
+
+def _loosened(blob: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(blob[8:], int(np.frombuffer(blob, np.int64, 1)[0]), asbytes=True)
+
+
 def _by_place(words: np.ndarray, counts: np.ndarray, z: float, step: float) -> tuple[np.ndarray, np.ndarray]:
     """(hash, unigram code) of a successor by its place in the list; words that were never learned share one hash, of no word."""
     hashes = words >> np.uint64(64 - BITS)
@@ -350,6 +359,7 @@ def _by_place(words: np.ndarray, counts: np.ndarray, z: float, step: float) -> t
 
 def _columns(blob: bytes, by_place: tuple[np.ndarray, np.ndarray]) -> tuple[int, list[np.ndarray]]:
     """(documents, columns) of pairs: contexts, their occurrences and pairs; successors in two parts, codes, documents."""
+    blob = _loosened(blob)
     k, n, docs, width_ = np.frombuffer(blob, np.int64, 4).tolist()
     at, columns = 32, []
     kinds = (np.uint64, np.int64, np.uint32, np.uint16, np.uint8, np.uint16 if width_ == 2 else np.uint32)
@@ -386,7 +396,7 @@ def _told(shards: int, z: float, step: float, spread: int):
         cuts = np.searchsorted(shard[order], np.arange(shards + 1))
         for s in np.flatnonzero(np.diff(cuts)).tolist():
             own = order[cuts[s] : cuts[s + 1]]
-            yield s, 0, 4, b"".join(c[own].astype(k).tobytes() for c, k in zip(columns, TOLD, strict=True))
+            yield s, 0, 4, _squeezed(b"".join(c[own].astype(k).tobytes() for c, k in zip(columns, TOLD, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
@@ -403,6 +413,7 @@ def _told(shards: int, z: float, step: float, spread: int):
                     value, count = (np.concatenate(x) for x in zip(*vocabulary, strict=True))
                     order = np.argsort(value)
                     value, count = value[order], count[order]
+                blob = _loosened(blob)
                 ready, docs = True, int(np.frombuffer(blob, np.int64, 1)[0])
                 word, context, times, doc_train = _flat(blob, ASKED, 8)
                 at = np.minimum(np.searchsorted(value, word), max(0, len(value) - 1))
@@ -429,7 +440,7 @@ def _successors(shards: int, hot: np.ndarray, by_place: tuple[np.ndarray, np.nda
         for batch in batches:
             for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob").to_pylist(), strict=True):
                 if kind == 1:
-                    word, context, _, doc_train = _flat(blob, ASKED, 8)
+                    word, context, _, doc_train = _flat(_loosened(blob), ASKED, 8)
                     pairs, follower = 1, word >> np.uint64(64 - BITS)
                 else:
                     _, (context, _, pairs, low, high, _, doc_train) = _columns(blob, by_place)
@@ -481,7 +492,7 @@ def _scored(z: float, step: float, smoothing: float, hot: np.ndarray, kinds_of_h
 
     def told(blobs: list[bytes]) -> Iterator[tuple[int, int, list[np.ndarray]]]:
         """(chunk, documents, columns) of pairs of kind 4, by chunk."""
-        context, times, successor, chunk, docs, doc_train, code = (np.concatenate(c) for c in zip(*(_flat(b, TOLD) for b in blobs), strict=True))
+        context, times, successor, chunk, docs, doc_train, code = (np.concatenate(c) for c in zip(*(_flat(_loosened(b), TOLD) for b in blobs), strict=True))
         order = np.argsort(chunk, kind="stable")
         low, high = (successor & np.uint64(0xFFFFFFFF)).astype(np.uint32), (successor >> np.uint64(32)).astype(np.uint8)
         cuts = np.flatnonzero(np.append(True, np.diff(chunk[order]) != 0))
