@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.shared import remainder, stored, width
-from ledgerloom.llm.words import Words, mix, slices
+from ledgerloom.llm.words import Words, give_back, mix, slices
 
 LISTED = 1 << 19  # most frequent words whose counts every task knows, the others' owners are asked; bounds the broadcast to 8 MB
 SPREAD = 200_000  # pairs of one context in a shard, about
@@ -263,6 +263,7 @@ def _paired(shards: int, listed: np.ndarray, counts: np.ndarray, complete: bool,
         for batch in batches:
             for part in slices(batch):
                 yield from chunk(part)
+        give_back()
 
     def chunk(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         words = Words(part.column("text"))
@@ -373,6 +374,12 @@ def _columns(blob: bytes, by_place: tuple[np.ndarray, np.ndarray]) -> tuple[int,
     return docs, [context, times, pairs, *parts, by_place[1][place], doc_train]
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:
+    """(chunk, kind, blob) of each row, one at a time."""
+    for i in range(batch.num_rows):
+        yield tuple(batch.column(c)[i].as_py() for c in ("chunk", "kind", "blob"))
+
+
 def _flat(blob: bytes, kinds: tuple, front: int = 0) -> list[np.ndarray]:
     """Columns of equal length that stand behind one another, after ``front`` bytes."""
     n, at, columns = (len(blob) - front) // sum(np.dtype(k).itemsize for k in kinds), front, []
@@ -404,7 +411,7 @@ def _told(shards: int, z: float, step: float, spread: int):
         vocabulary: list[tuple[np.ndarray, np.ndarray]] = []
         value, count, ready, held, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), False, [], 0
         for batch in batches:
-            for chunk, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("chunk", "kind", "blob")), strict=True):
+            for chunk, kind, blob in _rows(batch):
                 if kind == 3:
                     n = len(blob) // 16
                     vocabulary.append((np.frombuffer(blob, np.uint64, n), np.frombuffer(blob, np.int64, n, 8 * n)))
@@ -428,6 +435,8 @@ def _told(shards: int, z: float, step: float, spread: int):
                     held, size = [], 0
         if held:
             yield from map(out, dealt(held))
+        del vocabulary, value, count, held
+        give_back()
 
     return run
 
@@ -568,13 +577,14 @@ def _scored(z: float, step: float, smoothing: float, hot: np.ndarray, kinds_of_h
         kinds = (pa.int64(), pa.int32(), pa.binary())
         out = lambda row: pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], ["chunk", "kind", "blob"])
         for batch in batches:
-            for chunk, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("chunk", "kind", "blob")), strict=True):
+            for chunk, kind, blob in _rows(batch):
                 if kind in (1, 2):
                     yield out((chunk, kind, blob))
                 else:
                     held[kind].append(blob if kind == 4 else (chunk, blob))
         if held[0] or held[4]:
             yield from map(out, pairs(held[0], held[4]))
+        give_back()
 
     return run
 
@@ -605,7 +615,7 @@ def _gathered(total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, heads, sums = None, [], {}
         for batch in batches:
-            for chunk, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("chunk", "kind", "blob")), strict=True):
+            for chunk, kind, blob in _rows(batch):
                 if chunk != current:
                     if heads:
                         yield from rows(heads, sums)

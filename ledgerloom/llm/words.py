@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import sys
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -180,6 +182,15 @@ class WordTokenizer:
         return np.concatenate([[0], np.cumsum(lengths)])[words.bounds], ids
 
 
+def give_back() -> None:
+    """Returns unused memory of this worker process, which serves many tasks, to the system."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim is not None:
+            trim(0)
+
+
 def letters(words: pa.Array) -> pa.Array:
     """Words in lower case without anything but letters."""
     return pc.replace_substring_regex(pc.utf8_lower(words), r"[^\p{L}]+", "")
