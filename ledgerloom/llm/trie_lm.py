@@ -29,6 +29,7 @@ from ledgerloom.llm.words import Words, give_back, mix, slices
 
 LISTED = 1 << 19  # most frequent words whose counts every task knows, the others' owners are asked; bounds the broadcast to 8 MB
 SPREAD = 200_000  # pairs of one context in a shard, about
+SHARD = 600_000  # training pairs of a shard, about: their number grows with the corpus
 SMOOTHING = 8.0
 BITS = 40  # of a successor's hash within its context
 # A word cannot contain a space.
@@ -251,9 +252,19 @@ def _shard(context: np.ndarray, times: np.ndarray, successor: np.ndarray, shards
     return (mix(context + salt) % np.uint64(shards)).astype(np.int64)
 
 
-def _paired(shards: int, listed: np.ndarray, counts: np.ndarray, complete: bool, z: float, step: float, spread: int):
-    """Texts to (context, successor) pairs by shard (kind 0), or by the successor's shard if its count is not known (kind 1), and documents (kind 2).
+def _tokens(words: Words, docs: int, end: int, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, the token before each, bounds of the texts): a text is followed by an end, its first pair begins with a start."""
+    token = np.insert(words.index, words.bounds[1:], end)
+    bounds = words.bounds + np.arange(docs + 1)
+    before = np.roll(token, 1)
+    before[bounds[:-1]] = start
+    return token, before, bounds
 
+
+def _paired(owners: int, shards: int, listed: np.ndarray, counts: np.ndarray, complete: bool, z: float, step: float, spread: int, asking: bool):
+    """Texts to (context, successor) pairs by shard (kind 0) and documents (kind 2).
+
+    With ``asking`` instead, only the pairs whose successor's count is not known, by the owner of that word (kind 1).
     ``complete``: words that are not listed have not been seen in training.
     """
     other = 0 if complete else -1
@@ -265,6 +276,10 @@ def _paired(shards: int, listed: np.ndarray, counts: np.ndarray, complete: bool,
                 yield from chunk(part)
         give_back()
 
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["shard", "chunk", "kind", "blob"])
+
     def chunk(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         words = Words(part.column("text"))
         docs = part.num_rows
@@ -276,26 +291,33 @@ def _paired(shards: int, listed: np.ndarray, counts: np.ndarray, complete: bool,
         # A successor is written as its place in the list; words that were never learned share the place behind it.
         place = np.where(known, at, len(listed))
         times[-1] = starts
-        # Every text is followed by an end; a pair begins with the word before, or with a start.
-        token = np.insert(words.index, words.bounds[1:], n - 2)
-        bounds = words.bounds + np.arange(docs + 1)
-        before = np.roll(token, 1)
-        before[bounds[:-1]] = n - 1
+        token, before, bounds = _tokens(words, docs, n - 2, n - 1)
         doc = np.repeat(np.arange(docs), np.diff(bounds))
         trained = np.asarray(part.column("train")).astype(np.int64)
 
-        listed_token = times[token] >= 0
-        logs = np.where(listed_token, np.log10((np.maximum(times[token], 0) + 0.5) / z), 0.0)
-        base = np.bincount(doc, logs, docs)
-        known_tokens = np.bincount(doc, times[token] > 0, docs).astype(np.int64)
         ids = part.column("doc_id")
         key = xxhash.xxh3_64(bounds.tobytes())
         for x in (hashes, token, ids.fill_null(-1).to_numpy(zero_copy_only=False)):
             key.update(x.tobytes())
         key = np.uint64(key.intdigest()).astype(np.int64)
+        rows: list[tuple] = []
 
-        rest = np.flatnonzero(~listed_token)
-        asked = [hashes[token[rest]], hashes[before[rest]], times[before[rest]].astype(np.int64), (doc * 2 + trained[doc])[rest].astype(np.uint32)]
+        listed_token = times[token] >= 0
+        if asking:
+            rest = np.flatnonzero(~listed_token)
+            asked = [hashes[token[rest]], hashes[before[rest]], times[before[rest]].astype(np.int64), (doc * 2 + trained[doc])[rest].astype(np.uint32)]
+            owner = (asked[0] % np.uint64(owners)).astype(np.int64)
+            by = np.argsort(owner, kind="stable")
+            cuts = np.searchsorted(owner[by], np.arange(owners + 1))
+            for s in np.flatnonzero(np.diff(cuts)).tolist():
+                own = by[cuts[s] : cuts[s + 1]]
+                rows.append((s, key, 1, _squeezed(np.int64(docs).tobytes() + b"".join(c[own].tobytes() for c in asked))))
+            if rows:
+                yield packed(rows)
+            return
+        logs = np.where(listed_token, np.log10((np.maximum(times[token], 0) + 0.5) / z), 0.0)
+        base = np.bincount(doc, logs, docs)
+        known_tokens = np.bincount(doc, times[token] > 0, docs).astype(np.int64)
         doc_train = (doc * 2 + trained[doc])[listed_token]
         before, token = before[listed_token], token[listed_token]
         successor = hashes[token] >> np.uint64(64 - BITS)
@@ -304,7 +326,6 @@ def _paired(shards: int, listed: np.ndarray, counts: np.ndarray, complete: bool,
         shard, before, token = shard[order], before[order], token[order]
         doc_train = doc_train[order]
         small = np.uint16 if docs < 1 << 15 else np.uint32
-        rows: list[tuple] = []
         cuts = np.searchsorted(shard, np.arange(shards + 1))
         for s in np.flatnonzero(np.diff(cuts)).tolist():
             a, b = cuts[s], cuts[s + 1]
@@ -321,17 +342,10 @@ def _paired(shards: int, listed: np.ndarray, counts: np.ndarray, complete: bool,
             ]
             head = np.array([len(context), b - a, docs, np.dtype(small).itemsize], np.int64).tobytes()
             rows.append((s, key, 0, _squeezed(head + b"".join(c.tobytes() for c in columns))))
-        owner = (asked[0] % np.uint64(shards)).astype(np.int64)
-        by = np.argsort(owner, kind="stable")
-        cuts = np.searchsorted(owner[by], np.arange(shards + 1))
-        for s in np.flatnonzero(np.diff(cuts)).tolist():
-            own = by[cuts[s] : cuts[s + 1]]
-            rows.append((s, key, 1, _squeezed(np.int64(docs).tobytes() + b"".join(c[own].tobytes() for c in asked))))
         null = np.asarray(ids.is_null()).astype(np.uint8)
         columns = [ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), null, trained.astype(np.uint8), np.diff(bounds), known_tokens, base]
         rows.append((int(np.uint64(key) % np.uint64(shards)) if key >= 0 else 0, key, 2, np.int64(docs).tobytes() + b"".join(c.tobytes() for c in columns)))
-        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["shard", "chunk", "kind", "blob"])
+        yield packed(rows)
 
     return run
 
@@ -441,32 +455,32 @@ def _told(shards: int, z: float, step: float, spread: int):
     return run
 
 
-def _successors(shards: int, hot: np.ndarray, by_place: tuple[np.ndarray, np.ndarray]):
-    """Distinct training pairs of the contexts ``hot`` (sorted hashes), by shard; each is its context's number and its successor."""
+def _successors(shards: int, hot: np.ndarray):
+    """Texts to distinct training pairs of the contexts ``hot`` (sorted hashes), by shard: its context's number and its successor."""
+
+    def pairs(part: pa.RecordBatch) -> np.ndarray:
+        words = Words(part.column("text"))
+        hashes = np.concatenate([words.hashes(), [END, START]])
+        token, before, _ = _tokens(words, part.num_rows, len(hashes) - 2, len(hashes) - 1)
+        at = np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)
+        number = np.where(hot[at] == hashes, at, -1)[before]
+        some = number >= 0
+        return np.unique((number[some].astype(np.uint64) << np.uint64(BITS)) | (hashes[token[some]] >> np.uint64(64 - BITS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [np.zeros(0, np.uint64)], 0
         for batch in batches:
-            for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                if kind == 1:
-                    word, context, _, doc_train = _flat(_loosened(blob), ASKED, 8)
-                    pairs, follower = 1, word >> np.uint64(64 - BITS)
-                else:
-                    _, (context, _, pairs, low, high, _, doc_train) = _columns(blob, by_place)
-                    follower = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
-                at = np.minimum(np.searchsorted(hot, context), len(hot) - 1)
-                of = np.repeat(np.where(hot[at] == context, at, -1), pairs)
-                some = (of >= 0) & (doc_train & 1 > 0)
-                follower = follower[some]
-                held.append(np.unique((of[some].astype(np.uint64) << np.uint64(BITS)) | follower))
+            for part in slices(batch):
+                held.append(pairs(part))
                 size += len(held[-1])
                 if size > 2_000_000:
                     held = [np.unique(np.concatenate(held))]
-                    size = 0 if len(held[0]) < 1_000_000 else size
-                if size > 2_000_000:
+                    size = len(held[0])
+                if size > 1_000_000:
                     yield flush(held)
                     held, size = [np.zeros(0, np.uint64)], 0
         yield flush(held)
+        give_back()
 
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
         pair = np.unique(np.concatenate(held))
@@ -626,6 +640,8 @@ def _gathered(total: int):
                         sums = {k: np.zeros(int(np.frombuffer(blob, np.int64, 1)[0])) for k in range(3)}
                     heads.append(blob)
                     continue
+                if not heads:
+                    raise RuntimeError("the texts came in another order when they were read again; store them as a table first")
                 n = int(np.frombuffer(blob, np.int64, 1)[0])
                 doc = np.frombuffer(blob, np.uint32, n, 8)
                 sums[kind][doc] += np.frombuffer(blob, np.float64, n, 8 + 4 * n)
@@ -643,6 +659,8 @@ def score_texts(docs: DataFrame, divisor: int = 5, held_out: int = 1, smoothing:
     Tokens are the words of the text, A-Z lower-cased, and one end; a null or empty text is an end alone. The model
     learns from documents whose crc32(doc_id) modulo ``divisor`` is not ``held_out``. ``base_score`` is the add-half
     unigram score from exact counts, ``score`` that of the quantised bigram trie. Words are told apart by 64-bit hashes.
+    Pairs are made anew from the texts wherever they are needed and never stored: ``docs`` must be a table or files, which
+    give the same rows in the same order each time; rows in another order raise an error.
     """
     n = width(docs.sparkSession)
     train = (remainder(F.col("doc_id").cast("long"), divisor) != held_out).alias("train")
@@ -663,25 +681,25 @@ def score_texts(docs: DataFrame, divisor: int = 5, held_out: int = 1, smoothing:
     step = max(1e-3, float(np.log10(2 * z)) / 255)
     complete = len(words) == distinct
 
+    # A shard's trie and pairs are held by one task.
+    shards = max(n, -(-total // SHARD))
     schema = "shard int, chunk long, kind int, blob binary"
-    paired = docs.mapInArrow(_paired(n, words, counts, complete, z, step, SPREAD), schema)
+    paired = docs.mapInArrow(_paired(n, shards, words, counts, complete, z, step, SPREAD, False), schema)
     by_place = _by_place(words, counts, z, step)
     hot = words[counts > SPREAD]
     hot = np.sort(np.append(hot, START)) if END in hot else hot
     kinds_of_hot = np.zeros(len(hot), np.int64)
-    if len(hot) or not complete:
-        paired = stored(paired, "pairs", 8 << 20)
     if len(hot):
-        found = paired.where("kind < 2").select("kind", "blob").mapInArrow(_successors(n, hot, by_place), "shard int, blob binary").repartition(n, "shard")
+        found = docs.where("train").select("text").mapInArrow(_successors(n, hot), "shard int, blob binary").repartition(n, "shard")
         found = found.select("blob").mapInArrow(_distinct, "number long, kinds long").groupBy("number").agg(F.sum("kinds").alias("kinds")).toPandas()
         kinds_of_hot[found["number"].to_numpy(np.int64)] = found["kinds"].to_numpy(np.int64)
     if not complete:
         known = vocabulary.selectExpr("shard", "0L AS chunk", "3 AS kind", "blob")
-        asked = paired.where("kind = 1").unionByName(known).repartition(n, "shard").sortWithinPartitions(F.desc("kind"))
-        told = asked.select("chunk", "kind", "blob").mapInArrow(_told(n, z, step, SPREAD), schema)
-        paired = paired.where("kind != 1").unionByName(told)
+        asked = docs.mapInArrow(_paired(n, shards, words, counts, complete, z, step, SPREAD, True), schema)
+        asked = asked.unionByName(known).repartition(n, "shard").sortWithinPartitions(F.desc("kind"))
+        paired = paired.unionByName(asked.select("chunk", "kind", "blob").mapInArrow(_told(shards, z, step, SPREAD), schema))
     scored = _scored(z, step, smoothing, hot, kinds_of_hot, by_place)
-    sums = paired.repartition(n, "shard").select("chunk", "kind", "blob").mapInArrow(scored, "chunk long, kind int, blob binary")
+    sums = paired.repartition(shards, "shard").select("chunk", "kind", "blob").mapInArrow(scored, "chunk long, kind int, blob binary")
     met = sums.repartition(n, "chunk").sortWithinPartitions("chunk", F.desc("kind"))
     result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return met.mapInArrow(_gathered(total), result)

@@ -288,9 +288,23 @@ def test_language_model_with_spread_contexts(spark, odd, empty, which, monkeypat
 def test_language_model_with_words_that_are_not_listed(spark, odd, empty, which, listed, spread, monkeypatch):
     monkeypatch.setattr(trie_lm, "LISTED", listed)
     monkeypatch.setattr(trie_lm, "SPREAD", spread)
+    monkeypatch.setattr(trie_lm, "SHARD", 2_000)
     test_language_model(spark, odd, empty, which)
 
 
+def test_language_model_with_repeated_chunks_and_null_ids(spark, monkeypatch):
+    """Equal rows, null ids and null texts among them, in equal chunks of several tasks get equal scores."""
+    monkeypatch.setattr(trie_lm, "LISTED", 2)
+    rows = [(None, "a b a c"), (None, "a b a c"), (7, None), (7, None), (8, ""), (9, "a b x"), (9, "a b x")]
+    twice = spark.createDataFrame(rows * 6, "doc_id long, text string").coalesce(1)
+    twice = twice.union(twice)
+    found = collections.defaultdict(set)
+    for r in lm_scores(twice).collect():
+        found[r.doc_id].add((r.n_tokens, r.n_known, round(r.score, 9), round(r.base_score, 9)))
+    assert {k: len(v) for k, v in found.items()} == {None: 1, 7: 1, 8: 1, 9: 1}
+    assert {k: min(v)[0] for k, v in found.items()} == {None: 5, 7: 1, 8: 1, 9: 4}
+
+
 @pytest.mark.parametrize("which", ["docs", "odd", "empty"])
 def test_byte_bpe(spark, odd, empty, which):
     import tiktoken
