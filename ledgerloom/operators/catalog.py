@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.schema import GRAPH, LEGACY_EXAMPLES, LEGACY_TABLES, TABLES, TABLE_NAMES, UPLOAD_LOG_COLUMNS
-from ledgerloom.sources.graph import product_vertices, supplier_vertices, supply_edges
+from ledgerloom.sources.graph import described_suppliers, supply_edges
 from ledgerloom.tables import MissingTable, Tables
 
 
@@ -86,14 +86,38 @@ def versions_as_of(t: Tables, as_of: datetime | int | None = None, path: bool =
     return newest.select("file_category", "newest.*").orderBy("file_category")
 
 
-def _graph_parts(t: Tables) -> dict[str, DataFrame]:
-    parts = {}
-    if t.has("suppliers") or t.has("purchase_orders"):
-        parts["suppliers"] = supplier_vertices(t)
-    if t.has("purchase_orders"):
-        parts["products"] = product_vertices(t)
-        parts["relationships"] = supply_edges(t)
-    return parts
+def _graph_sizes(t: Tables) -> DataFrame:
+    """(object, status, rows) of the supplier graph. The orders are read once: both kinds of nodes come from the edges."""
+    ordered = t.has("purchase_orders")
+    loaded = {"suppliers": ordered or t.has("suppliers"), "products": ordered, "relationships": ordered}
+    found = t.spark.range(0).selectExpr("'' AS object", "'' AS id", "id AS edges")
+    if ordered:
+        # One row per end of an edge; all edges of a task add up to one row without an id.
+        ends = F.array(
+            F.struct(F.lit("suppliers").alias("object"), F.col("supplier_id").alias("id"), F.lit(0).cast("bigint").alias("edges")),
+            F.struct(F.lit("products").alias("object"), F.col("product_id").alias("id"), F.lit(0).cast("bigint").alias("edges")),
+            F.struct(F.lit("relationships").alias("object"), F.lit(None).cast("string").alias("id"), F.lit(1).cast("bigint").alias("edges")),
+        )
+        found = found.unionByName(supply_edges(t).select(F.inline(ends)))
+    if t.has("suppliers"):
+        found = found.unionByName(described_suppliers(t).selectExpr("'suppliers' AS object", "supplier_id AS id", "0L AS edges"))
+    found = found.groupBy("object", "id").agg(F.sum("edges").alias("edges"))
+    sizes = {
+        "suppliers": F.count_if(F.col("object") == "suppliers"),
+        "products": F.count_if(F.col("object") == "products"),
+        "relationships": F.coalesce(F.sum("edges"), F.lit(0).cast("bigint")),
+    }
+    lines = F.array(
+        *(
+            F.struct(
+                F.lit(name).alias("object"),
+                F.lit("ok" if loaded[name] else "not_loaded").alias("status"),
+                (F.col(name) if loaded[name] else F.lit(None).cast("bigint")).alias("rows"),
+            )
+            for name in sizes
+        )
+    )
+    return found.agg(*(size.alias(name) for name, size in sizes.items())).select(F.inline(lines))
 
 
 def database_state(t: Tables) -> DataFrame:
@@ -111,13 +135,12 @@ def database_state(t: Tables) -> DataFrame:
     tables = [
         line("table", n, t[n], len(t[n].columns)) if t.has(n) else line("table", n, None, None) for n in TABLE_NAMES
     ]
-    parts = _graph_parts(t)
-    graph = [line("graph", n, parts.get(n), None) for n in ("suppliers", "products", "relationships")]
-    return _union(tables + graph)
+    graph = _graph_sizes(t).select(F.lit("graph").alias("store"), "object", "status", "rows", F.lit(None).cast("int").alias("columns"))
+    return _union([*tables, graph])
 
 
-def database_status(t: Tables) -> DataFrame:
-    """Totals over everything that is loaded: tables, rows, graph nodes and relationships."""
+def database_status(t: Tables, size_bytes: int | None = None) -> DataFrame:
+    """Totals over everything that is loaded: tables, rows, graph nodes and relationships, and its size where given."""
     state = database_state(t).where(F.col("status") == "ok")
     table = F.col("store") == "table"
     edge = F.col("object") == "relationships"
@@ -130,6 +153,7 @@ def database_status(t: Tables) -> DataFrame:
         rows(table).alias("total_rows"),
         rows(~table & ~edge).alias("nodes"),
         rows(~table & edge).alias("relationships"),
+        *([] if size_bytes is None else [F.lit(size_bytes).cast("bigint").alias("size_bytes")]),
     )
 
 

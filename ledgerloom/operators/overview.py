@@ -85,10 +85,10 @@ def _stock_value(t: Tables) -> DataFrame:
     return latest_snapshot(t["inventory_snapshot"]).agg(_or_zero(F.sum("inventory_value")).alias("stock"))
 
 
-def _daily(t: Tables, amount: str) -> DataFrame:
-    """Total of a sales amount per date with sales."""
+def _daily(t: Tables, amount: str, *more: Column) -> DataFrame:
+    """Total of a sales amount per date with sales, and ``more`` aggregates."""
     per_day = _or_zero(F.sum(amount)) / F.greatest(F.count_distinct("transaction_date"), F.lit(1))
-    return t["sales_transactions"].agg(per_day.alias("per_day"))
+    return t["sales_transactions"].agg(per_day.alias("per_day"), *more)
 
 
 def _days_outstanding(ledger: DataFrame, days: str, name: str) -> DataFrame:
@@ -97,15 +97,11 @@ def _days_outstanding(ledger: DataFrame, days: str, name: str) -> DataFrame:
     return known.agg(half_even(zero_if_null(mean), 1).alias(name))
 
 
-def kpi_summary(t: Tables) -> DataFrame:
-    """Days of inventory, receivables and payables, and the cash conversion cycle.
-
-    Four independent aggregates in one plan. Without receivables the days are
-    taken as 30, without payables or stock as 0.
-    """
+def _headline(t: Tables, sales: DataFrame | None, *more: str) -> DataFrame:
+    """The headline figures, and the columns ``more`` of their sections; ``sales`` is one row with the cost per day."""
     sections = []
-    if t.has("inventory_snapshot") and t.has("sales_transactions"):
-        sections += [_stock_value(t), _daily(t, "total_cost")]
+    if t.has("inventory_snapshot") and sales is not None:
+        sections += [_stock_value(t), sales]
         dio = F.when(F.col("per_day") > 0, half_even(F.col("stock") / F.col("per_day"), 1)).otherwise(0.0)
     else:
         dio = F.lit(0.0)
@@ -118,9 +114,19 @@ def kpi_summary(t: Tables) -> DataFrame:
         dio.alias("dio"),
         (F.col("dso") if t.has("ar_ledger") else F.lit(30.0)).alias("dso"),
         (F.col("dpo") if t.has("ap_ledger") else F.lit(0.0)).alias("dpo"),
+        *more,
     ).withColumn("ccc", half_even(F.col("dio") + F.col("dso") - F.col("dpo"), 1))
 
 
+def kpi_summary(t: Tables) -> DataFrame:
+    """Days of inventory, receivables and payables, and the cash conversion cycle.
+
+    Four independent aggregates in one plan. Without receivables the days are
+    taken as 30, without payables or stock as 0.
+    """
+    return _headline(t, _daily(t, "total_cost") if t.has("sales_transactions") else None)
+
+
 def kpi_simple(t: Tables) -> DataFrame:
     """The shorter form: stock at unit cost over daily revenue, 30 days receivable, none payable."""
     stock = latest_snapshot(t["inventory_snapshot"]).agg(
@@ -140,9 +146,10 @@ def kpi_simple(t: Tables) -> DataFrame:
 
 
 def kpi_record(t: Tables, date: str | None = None) -> DataFrame:
-    """One row for the KPI history: the summary plus revenue per unit of stock value."""
+    """One row for the KPI history: the summary plus revenue per unit of stock value. Sales and stock are read once."""
     day = F.lit(date).cast("date") if date else F.current_date()
-    sales = t["sales_transactions"].agg(money(F.sum("total_revenue")).alias("revenue"))
     turnover = half_up(F.col("revenue") / F.nullif(F.col("stock"), F.lit(0.0)), 2)
-    row = side_by_side(t.spark, [kpi_summary(t), sales, _stock_value(t)])
+    if not t.has("inventory_snapshot"):
+        raise MissingTable("the KPI history needs inventory_snapshot")
+    row = _headline(t, _daily(t, "total_cost", money(F.sum("total_revenue")).alias("revenue")), "revenue", "stock")
     return row.select(day.alias("date"), "dio", "dso", "dpo", "ccc", turnover.alias("inventory_turnover"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.schema import TABLES, TABLE_NAMES, TableSpec
+from ledgerloom.schema import LEGACY_TABLES, TABLES, TableSpec
 
 CORRUPT = "_corrupt_record"
 BAD_CELLS = "_bad_cells"
@@ -32,10 +32,11 @@ class RejectedFile(ValueError):
     """A file holds values or lines that do not fit its table."""
 
 
-def table_spec(category: str) -> TableSpec:
-    if category not in TABLES:
-        raise UnknownCategory(f"unknown category {category!r}; expected one of {list(TABLE_NAMES)}")
-    return TABLES[category]
+def table_spec(category: str, legacy: bool = False) -> TableSpec:
+    registry = LEGACY_TABLES if legacy else TABLES
+    if category not in registry:
+        raise UnknownCategory(f"unknown category {category!r}; expected one of {list(registry)}")
+    return registry[category]
 
 
 def _typed(text: Column, data_type: T.DataType) -> Column:
@@ -93,9 +94,9 @@ def file_size(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(target).getLength()
 
 
-def validate_file(spark: SparkSession, path: str, category: str) -> DataFrame:
-    """One row: does the file have the required columns, and how large is it."""
-    spec = table_spec(category)
+def validate_file(spark: SparkSession, path: str, category: str, legacy: bool = False) -> DataFrame:
+    """One row: does the file have the required columns, and how large is it. ``legacy`` takes the older four layouts."""
+    spec = table_spec(category, legacy)
     df = read_text_columns(spark, path).drop(CORRUPT)
     missing = [c for c in spec.required_columns if c not in df.columns]
 

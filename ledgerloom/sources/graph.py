@@ -22,6 +22,11 @@ def supply_edges(t: Tables) -> DataFrame:
     return orders.where(_filled("supplier_id") & _filled("product_id")).select("supplier_id", "product_id").distinct()
 
 
+def described_suppliers(t: Tables) -> DataFrame:
+    """Ids in the supplier table, as often as they stand there."""
+    return t["suppliers"].where(_filled("supplier_id")).select("supplier_id")
+
+
 def known_suppliers(t: Tables) -> DataFrame:
     """Vertices described in the supplier table; missing numbers read as 0."""
     s = t["suppliers"]

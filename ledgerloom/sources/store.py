@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.operators.catalog import versions_as_of
+from ledgerloom.operators.catalog import database_status, versions_as_of
 from ledgerloom.operators.overview import kpi_record
 from ledgerloom.plans.difference import changes
 from ledgerloom.schema import KPI_HISTORY, LEGACY_TABLES, TABLES, UPLOAD_LOG
@@ -130,6 +130,10 @@ class Store:
         """Bytes of the current versions."""
         return sum(file_size(self.spark, p) for p in self._paths().values())
 
+    def status(self) -> DataFrame:
+        """Totals over the current versions, their size included."""
+        return database_status(self.tables(), self.size_bytes())
+
     def reset(self, confirm: bool = False) -> None:
         """Deletes every table, the log and the KPI history."""
         if not confirm:

@@ -479,6 +479,7 @@ def test_catalog_of_a_partly_loaded_set(make, rows):
     assert state["table", "suppliers"]["columns"] == 11
     assert state["graph", "suppliers"]["rows"] == 1 and state["graph", "products"]["status"] == "not_loaded"
     assert rows(catalog.database_status(t))[0] == {"tables": 1, "total_rows": 1, "nodes": 1, "relationships": 0}
+    assert rows(catalog.database_status(t, 12))[0]["size_bytes"] == 12
     assert len(rows(catalog.schema_info_sample(t, "suppliers"))) == 1
     assert rows(catalog.schema_info(t, "suppliers"))[0] == {"column_name": "supplier_id", "column_type": "string", "rows": 1}
     assert len(rows(catalog.schema_listing(t))) == 13
@@ -486,6 +487,28 @@ def test_catalog_of_a_partly_loaded_set(make, rows):
     assert {r["example"] for r in rows(catalog.templates(t, "inventory", legacy=True))} == {"SKU001", "500", "100", None}
 
 
+def test_graph_sizes_read_the_orders_once(make, rows):
+    orders = [dict(po_id=str(i), supplier_id=f"S{i % 3}", product_id=f"P{i % 4}") for i in range(40)]
+    orders += [dict(po_id="a", supplier_id="", product_id="P9"), dict(po_id="b", supplier_id="S9", product_id=None)]
+    t = make(purchase_orders=orders, suppliers=[dict(supplier_id=s) for s in ("S0", "S0", "S7", None, "")])
+    state = {r["object"]: r["rows"] for r in rows(catalog.database_state(t)) if r["store"] == "graph"}
+    assert state == {"suppliers": 4, "products": 4, "relationships": 12}
+    empty = {r["object"]: r["rows"] for r in rows(catalog.database_state(make(purchase_orders=[]))) if r["store"] == "graph"}
+    assert empty == {"suppliers": 0, "products": 0, "relationships": 0}
+    assert not rows(catalog.database_state(make(products=[dict(product_id="P1")])))[-1]["rows"]
+
+
+def test_kpi_record_reads_each_fact_once(make):
+    t = make(
+        sales_transactions=[dict(product_id="P1", transaction_date=date(2024, 1, 1), total_revenue=Decimal(10), total_cost=Decimal(4))],
+        inventory_snapshot=[dict(product_id="P1", snapshot_date=date(2024, 1, 1), inventory_value=Decimal(20))],
+    )
+    plan = overview.kpi_record(t, "2024-01-02")._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("LogicalRDD" in line or "LocalRelation" in line for line in plan.splitlines()) <= 3  # sales, stock, its latest day
+    row = overview.kpi_record(t, "2024-01-02").first()
+    assert (row.dio, row.dso, row.dpo, row.ccc, row.inventory_turnover) == (5.0, 30.0, 0.0, 35.0, 0.5)
+
+
 def test_exact_rounding(spark):
     from pyspark.sql import functions as F
 

@@ -1,5 +1,7 @@
 """The read-only guard looks at the parsed statement, not at its text."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 
 from ledgerloom.operators.freesql import ReadOnlyViolation, check_read_only, run_sql_query, run_sql_query_summary
@@ -74,3 +76,32 @@ def test_files_cannot_be_read_by_path(t, spark):
     with pytest.raises(Exception, match="TABLE_OR_VIEW_NOT_FOUND|UNSUPPORTED_DATASOURCE|not found"):
         run_sql_query(t, "SELECT * FROM parquet.`/root/testdata/sf0.001/part.parquet`")
     assert spark.conf.get("spark.sql.runSQLOnFiles") == "true"
+
+
+def test_views_and_settings_of_the_caller_stay(t, spark):
+    spark.range(3).createOrReplaceTempView("products")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        assert run_sql_query_summary(t, "SELECT * FROM products").first().rows == 150
+        assert run_sql_query(t, "SELECT current_timezone() AS z").first().z == "Asia/Tokyo"
+        assert spark.table("products").count() == 3
+        assert not [v for v in spark.catalog.listTables("global_temp") if v.database == "global_temp"]
+    finally:
+        spark.conf.unset("spark.sql.session.timeZone")
+        spark.catalog.dropTempView("products")
+
+
+def test_views_of_the_caller_are_not_seen(t, spark):
+    spark.range(3).createOrReplaceTempView("private_rows")
+    try:
+        with pytest.raises(Exception, match="TABLE_OR_VIEW_NOT_FOUND"):
+            run_sql_query(t, "SELECT * FROM private_rows")
+    finally:
+        spark.catalog.dropTempView("private_rows")
+
+
+def test_statements_at_the_same_time(t, make):
+    other = make(products=[dict(product_id="X", unit_cost=1)])
+    with ThreadPoolExecutor(4) as pool:
+        counts = list(pool.map(lambda i: run_sql_query_summary((t, other)[i % 2], "SELECT * FROM products").first().rows, range(12)))
+    assert counts == [150, 1] * 6

@@ -76,6 +76,21 @@ def test_validate_file(spark, csv):
         validate_file(spark, path, "sales")
 
 
+@pytest.mark.parametrize(
+    "category,header,missing",
+    [
+        ("sales", "date,sku,quantity,revenue,region", []),
+        ("inventory", "sku,qty_on_hand", ["reorder_point"]),
+        ("suppliers", "supplier_id,supplier_name,lead_time", []),
+        ("purchase_orders", "po_id,sku,quantity", ["po_number"]),
+    ],
+)
+def test_validate_older_layouts(spark, csv, category, header, missing):
+    row = validate_file(spark, csv("old.csv", f"{header}\n{'1,' * header.count(',')}1\n"), category, legacy=True).first()
+    assert row.valid is not bool(missing) and row.columns_missing == missing and row.row_count == 1
+    assert row.columns_found == header.split(",")
+
+
 def test_store_replaces_versions(spark, csv, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     assert store.tables().names == [] and store.upload_log() is None
@@ -89,6 +104,7 @@ def test_store_replaces_versions(spark, csv, tmp_path):
     history = catalog.version_history(store.tables()).collect()
     assert [(r.filename, r.row_count, r.status) for r in history] == [("two.csv", 3, "uploaded"), ("one.csv", 2, "uploaded")]
     assert len({r.id for r in history}) == 2 and store.size_bytes() > 0
+    assert store.status().first().size_bytes == store.size_bytes()
 
 
 def test_store_rejects_whole_files(spark, csv, tmp_path):
