@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import remainder
-from ledgerloom.llm.words import Cached, Words, letters, slices
+from ledgerloom.llm.shared import remainder, whole_rows
+from ledgerloom.llm.words import Cached, Words, letters, slices, with_texts
 
 TRAIN_DOCS = 16_000  # about so many labelled documents are learned from, drawn by a hash of the id within each language
 WORDS = 150_000  # known words, most frequent first
@@ -137,7 +137,7 @@ def _predicted(model: Model):
         cache = Cached(model.logs, len(model.languages))
         names = np.array([*model.languages, UNKNOWN])
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(with_texts(batch)):
                 words = Words(part.column("text"), lower=False)
                 plain = letters(words.unique).to_pylist()
                 real = np.array([bool(w) for w in plain], bool)
@@ -153,8 +153,8 @@ def _predicted(model: Model):
                     shares = np.exp(sums) / np.exp(sums).sum(axis=1, keepdims=True)
                     best = np.where(some, shares.argmax(axis=1), len(model.languages))
                     score = np.where(some, shares.max(axis=1), 0.0)
-                arrays = [part.column("doc_id"), pa.array(names[best].tolist(), pa.string()), pa.array(score)]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "lang_pred", "score"])
+                arrays = [part.column(0), pa.array(names[best].tolist(), pa.string()), pa.array(score)]
+                yield pa.RecordBatch.from_arrays(arrays, [part.schema.names[0], "lang_pred", "score"])
 
     return run
 
@@ -165,6 +165,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(_predicted(model), "doc_id long, lang_pred string, score double")
 
 
+def predict_rows(docs: DataFrame, model: Model) -> DataFrame:
+    """``predict`` with whole rows: row (a struct of all columns of ``docs``), lang_pred, score."""
+    return whole_rows(docs, _predicted(model), "lang_pred string, score double")
+
+
 def identify(docs: DataFrame, divisor: int = 4, held_out: int = 2) -> DataFrame:
     """``predict`` for all rows of ``docs``, learned from those whose crc32(doc_id) modulo ``divisor`` is not ``held_out``."""
     model = train(docs.where(remainder(F.col("doc_id").cast("long"), divisor) != held_out))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -52,6 +54,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def whole_rows(docs: DataFrame, decide: Callable, decision: str) -> DataFrame:
+    """``row``, a struct of all columns of ``docs``, and what ``decide`` says of it (columns ``decision``): whatever ids or
+    other columns a row has, its decision stays with it, and nothing is shuffled."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), *T.StructType.fromDDL(decision)])
+    return rows.mapInArrow(decide, schema)
+
+
 def remainder(doc_id: Column | str, divisor: int) -> Column:
     """crc32 of the id as text, modulo ``divisor``: the fold of a document. A null id counts as empty text."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

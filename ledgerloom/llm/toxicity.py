@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.jaccard import shingle_sets
-from ledgerloom.llm.shared import remainder, stored
-from ledgerloom.llm.words import Cached, Words, letters, slices
+from ledgerloom.llm.shared import remainder, stored, whole_rows
+from ledgerloom.llm.words import Cached, Words, letters, slices, with_texts
 
 TOXIC_TEXTS, CLEAN_TEXTS = 6_000, 18_000  # about so many are learned from, drawn by a hash of the id
 POSITIVES, NEGATIVES = 3_000, 15_000  # words to train on
@@ -254,14 +254,14 @@ def _scored(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Cached(lambda words: model.words(words)[:, None], 1) if model else None
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(with_texts(batch)):
                 best = np.full(part.num_rows, -5.0)
                 if model:
                     row, index, words = _units(part.column("text"))
                     decisions = np.where([bool(w) for w in words], cache.get(words)[:, 0], -5.0) if words else np.zeros(0)
                     np.maximum.at(best, row, decisions[index])
                 score = model.score(best) if model else np.zeros(part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score)], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score)], [part.schema.names[0], "score"])
 
     return run
 
@@ -273,6 +273,12 @@ def score_texts(docs: DataFrame, model: Model | None) -> DataFrame:
     return found.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def score_rows(docs: DataFrame, model: Model | None) -> DataFrame:
+    """``score_texts`` with whole rows: row (a struct of all columns of ``docs``), score, predicted."""
+    found = whole_rows(docs, _scored(model), "score double")
+    return found.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, divisor: int = 4, held_out: int = 2) -> DataFrame:
     """doc_id, text and toxic of the documents to learn from: those whose crc32(doc_id) modulo ``divisor`` is not ``held_out``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -31,6 +31,14 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         start = end
 
 
+def with_texts(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """``batch`` with a column of texts; a column ``row`` of whole rows holds them itself."""
+    if "text" in batch.schema.names:
+        return batch
+    row = batch.column(0)
+    return pa.RecordBatch.from_arrays([row, row.field("text").cast(pa.string())], ["row", "text"])
+
+
 def strings(array: pa.Array) -> list[str]:
     """The values as Python strings; several times as fast as ``to_pylist``."""
     return array.to_numpy(zero_copy_only=False).tolist()
