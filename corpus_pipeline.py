@@ -1,7 +1,8 @@
 """A training corpus from raw documents: language, toxicity, near duplicates, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the docs of
-the next one. All but the last return the columns of ``documents``.
+the next one. All but the last return the columns of ``documents``. Decisions belong to rows, not to ids: rows without an
+id, or with the same one, are judged each by its own text; of equal rows one stays. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -19,29 +20,28 @@ from ledgerloom.llm.shared import documents, remainder, stored
 SURE = 0.5  # a language with a smaller share is no decision
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is not among ``rejected``; rows without an id stay."""
-    return docs.join(rejected.where("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-
-
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language the labelled ones have; text without letters, or null, goes."""
+    """Keeps rows in a language the labelled ones have; text without letters, or null, goes."""
     model = language.train(docs.where(remainder(F.col("doc_id").cast("long"), 4) != 2))
-    found = language.predict(docs, model)
-    return _without(docs, found.where((F.col("lang_pred") == language.UNKNOWN) | (F.col("score") < SURE)))
+    found = language.predict_rows(docs, model)
+    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= SURE)).select("row.*")
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that are not predicted toxic."""
+    """Keeps rows that are not predicted toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    found = toxicity.score_texts(docs, toxicity.train(toxicity.labelled(docs, labels)))
-    return _without(docs, found.where("predicted = 1"))
+    found = toxicity.score_rows(docs, toxicity.train(toxicity.labelled(docs, labels)))
+    return found.where("predicted = 0").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that with the smallest id, of each group linked by 0.8 of their five-word shingles."""
-    found = jaccard_components(docs, words=5, percent=80)
-    return _without(docs, found.where("doc_id != component_id"))
+    """Keeps one row, the first of the table, of each group linked by 0.8 of their five-word shingles."""
+    # Rows are numbered once, in a table: numbers given anew could change when executors are lost.
+    number = "_row" + "_" * max(map(len, docs.columns))
+    numbered = stored(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    found = jaccard_components(numbered.select(F.col(number).alias("doc_id"), "text"), words=5, percent=80)
+    copies = found.where("doc_id != component_id").select(F.col("doc_id").alias(number))
+    return numbered.join(copies, number, "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
