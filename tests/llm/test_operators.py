@@ -375,3 +375,30 @@ def test_pipeline(spark, docs):
     assert kept <= set(docs) and len(kept) > 0.6 * len(docs) and max(heads.values()) == 1
     code = word_ids()
     assert {r.doc_id: r.doc_tokens for r in rows} == {i: len(code(docs[i], 2)) for i in kept}
+
+
+def test_pipeline_stages_judge_rows(spark, docs, empty):
+    """Null and repeated ids, null and letterless texts, equal rows, and columns with the names that stages use."""
+    first, *others = [t for t in docs.values() if t and len(t.split()) > 40][:12]
+    rows = [(i, t, "en", "x", 1.5, 1) for i, t in docs.items()]
+    odd = [(None, None), (None, "12 34"), (None, first), (None, first), (-1, "!!"), (-1, others[0]), (-2, others[1]), (-2, others[1])]
+    rows += [(i, t, None, "y", None, 0) for i, t in odd]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score double, `row` int").repartition(4)
+    want = lambda df: collections.Counter(df.select("doc_id", "text", "source", "score", "row").collect())
+    told = corpus_pipeline.languages(spark, table, SMALL)
+    assert told.columns == table.columns
+    found, given = want(told), want(table)
+    assert not found - given
+    assert {(r.doc_id, r.text) for r in found if r.source == "y"} == {x for x in odd if x[1] not in (None, "12 34", "!!")}
+    assert sum(n for r, n in found.items() if r.source == "y") == 5
+    harmless = corpus_pipeline.toxic(spark, told, SMALL)
+    assert harmless.columns == table.columns and not want(harmless) - found
+    single = corpus_pipeline.near_duplicates(spark, told, SMALL)
+    assert single.columns == table.columns and not want(single) - found
+    kept = [r for r, n in want(single).items() for _ in range(n)]
+    shingles = {i: r.text for i, r in enumerate(kept)}
+    groups = brute_components({i: r.text for i, r in enumerate(r for r, n in found.items() for _ in range(n))}, 5, 80)
+    assert len(kept) == len({c for n, c in groups.values() if n}) + sum(not n for n, _ in groups.values())
+    assert max(collections.Counter(c for n, c in brute_components(shingles, 5, 80).values() if n).values()) == 1
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, empty, SMALL).count() == 0
