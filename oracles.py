@@ -336,7 +336,7 @@ def _history_texts() -> dict[str, str]:
     }
 
 
-def oracle_queries(scenarios: list[tuple], as_of: str, free_sql: str, sales_types: list[tuple[str, str]]) -> dict[str, str]:
+def oracle_queries(scenarios: list[tuple], as_of: str, free_sql: str, long_sql: str, sales_types: list[tuple[str, str]]) -> dict[str, str]:
     latest_value = "(SELECT CAST(sum(inventory_value) AS DOUBLE) FROM latest)"
     kpi = f"""
         WITH n AS (
@@ -705,6 +705,21 @@ def oracle_queries(scenarios: list[tuple], as_of: str, free_sql: str, sales_type
                    (SELECT count(*) FROM edges) AS relationships
             FROM ({_counts('SELECT count(*) AS n FROM {name}')})""",
         "run_sql_query": free_sql,
+        "run_sql_query_all": long_sql,
+        "run_sql_query_summary": f"SELECT count(*) AS rows FROM ({long_sql})",
+        # questions where an optional table is not loaded
+        "kpi_without_ledgers": f"""{kpi}
+            SELECT dio, 30.0::DOUBLE AS dso, 0.0::DOUBLE AS dpo, CAST(printf('%.1f', dio + 30.0::DOUBLE) AS DOUBLE) AS ccc FROM n""",
+        "dso_without_customers": """
+            SELECT customer_id, round(CAST(sum(days_to_pay) AS DOUBLE) / count(days_to_pay), 1) AS weighted_dso, count(*) AS invoices
+            FROM ar_ledger WHERE days_to_pay IS NOT NULL GROUP BY customer_id""",
+        "dpo_without_suppliers": """
+            SELECT supplier_id, round(CAST(sum(actual_days_to_pay) AS DOUBLE) / nullif(count(actual_days_to_pay), 0), 1) AS weighted_dpo,
+                   count(*) AS invoices
+            FROM ap_ledger GROUP BY supplier_id""",
+        "customer_concentration_without_customers": f"""
+            SELECT customer_id, {_double('sum(total_revenue)')} AS revenue
+            FROM sales_transactions WHERE customer_id IS NOT NULL GROUP BY customer_id""",
     }
 
     texts |= _history_texts() | {"kpi_summary_by_day": texts["kpi_summary"]}
@@ -719,6 +734,8 @@ def oracle_queries(scenarios: list[tuple], as_of: str, free_sql: str, sales_type
         "working_capital_total": f"SELECT {_double('sum(v)')} AS total_cash_trapped FROM stock",
         "dso_by_customer_all": texts["dso_by_customer"].replace(" LIMIT 20", ""),
         "abc_xyz_computed_all": texts["abc_xyz_computed"].replace(" LIMIT 100", ""),
+        "abc_xyz_without_products": texts["abc_xyz_computed"].replace(" LIMIT 100", ""),
+        "product_catalog_filtered": only("product_catalog", "abc_class = 'A' AND xyz_class = 'X'"),
         "forecast_demand_one": only("forecast_demand", "product_id = 'P1'"),
         "seasonality_one": texts["seasonality"].replace("GROUP BY 1", "WHERE product_id = 'P1' GROUP BY 1"),
         "safety_stock_some": only("safety_stock", listed),
