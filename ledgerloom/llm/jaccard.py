@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import components
 from ledgerloom.llm.shared import drop, stored, width
-from ledgerloom.llm.words import Words, mix, slices
+from ledgerloom.llm.words import Words, frugal, mix, slices
 
 FREQUENT = 16  # shingles in fewer documents are ordered by hash alone
 LISTED = 1 << 20  # frequent shingles whose counts every task knows, most frequent first; bounds the broadcast to 16 MB
@@ -132,9 +132,9 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted 40-bit hashes, counts) of the most frequent shingles over all documents, at most ``LISTED`` of them."""
     n = width(docs.sparkSession)
-    found = docs.select("text").mapInArrow(_counted(words, n), "part int, planes binary, more binary")
+    found = docs.select("text").mapInArrow(frugal(_counted(words, n)), "part int, planes binary, more binary")
     found = found.repartitionById(n, F.floor(F.col("part") / PARTS).cast("int")).sortWithinPartitions("part")
-    found = found.mapInArrow(_frequent, "value long, df long").orderBy(F.desc("df"), "value").limit(LISTED).toPandas()
+    found = found.mapInArrow(frugal(_frequent), "value long, df long").orderBy(F.desc("df"), "value").limit(LISTED).toPandas()
     found = found.sort_values("value")
     return found["value"].to_numpy(np.uint64), found["df"].to_numpy(np.float64)
 
@@ -313,14 +313,14 @@ def _verified(pairs: DataFrame, single: DataFrame, docs: DataFrame, words: int,
     """
     spread = single.select("node", "spread")
     both = pairs.join(spread.selectExpr("node AS a", "spread AS x"), "a").join(spread.selectExpr("node AS b", "spread AS y"), "b")
-    pairs = stored(both.select("a", "b", "x", "y").mapInArrow(_possible(percent), "a long, b long").distinct(), "possible")
+    pairs = stored(both.select("a", "b", "x", "y").mapInArrow(frugal(_possible(percent)), "a long, b long").distinct(), "possible")
     nodes = pairs.selectExpr("explode(array(a, b)) AS node").distinct()
     wanted = stored(single.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("first")), "wanted")
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["first"])).select("node", "text")
-    sets = stored(texts.mapInArrow(_sets(words), "node long, tokens binary").dropDuplicates(["node"]), "sets")
+    sets = stored(texts.mapInArrow(frugal(_sets(words)), "node long, tokens binary").dropDuplicates(["node"]), "sets")
     first = pairs.join(sets.selectExpr("node AS a", "tokens AS x"), "a")
     both = first.join(sets.selectExpr("node AS b", "tokens AS y"), "b").select("a", "b", "x", "y")
-    return stored(both.mapInArrow(_linked(percent), "a long, b long"), "linked")
+    return stored(both.mapInArrow(frugal(_linked(percent)), "a long, b long"), "linked")
 
 
 def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
@@ -334,15 +334,15 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     values, dfs = frequent_shingles(docs, words)
-    profiles = stored(docs.mapInArrow(_profiled(words, percent, values, dfs), _PROFILE), "profiles")
+    profiles = stored(docs.mapInArrow(frugal(_profiled(words, percent, values, dfs)), _PROFILE), "profiles")
     classes = profiles.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     # One row per node; rows repeated under one id may leave a few more, which later steps tolerate.
     single = profiles.where("n > 0").join(classes.withColumnRenamed("doc_id", "first"), "node").where("doc_id <=> first").drop("first")
 
     n = width(spark)
-    posted = single.select("node", "n", "m", "light", "prefix").mapInArrow(_posted(n), f"range int, block binary, {_POSTING}")
+    posted = single.select("node", "n", "m", "light", "prefix").mapInArrow(frugal(_posted(n)), f"range int, block binary, {_POSTING}")
     posted = stored(posted, "posted")
-    light = posted.where("block IS NOT NULL").select("range", "block").repartitionById(n, F.col("range")).mapInArrow(_shared, _POSTING)
+    light = posted.where("block IS NOT NULL").select("range", "block").repartitionById(n, F.col("range")).mapInArrow(frugal(_shared), _POSTING)
     lists = stored(light.unionByName(posted.where("block IS NULL").select("token", "node", "n", "m", "pos")).distinct(), "lists")
     drop(posted)
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.shared import remainder, whole_rows
-from ledgerloom.llm.words import Cached, Words, letters, slices, with_texts
+from ledgerloom.llm.words import Cached, Words, frugal, letters, slices, with_texts
 
 TRAIN_DOCS = 16_000  # about so many labelled documents are learned from, drawn by a hash of the id within each language
 WORDS = 150_000  # known words, most frequent first
@@ -120,7 +120,7 @@ def train(docs: DataFrame, most: int = TRAIN_DOCS) -> Model:
     if share:
         bound = F.create_map(*(F.lit(x) for lang, s in share.items() for x in (lang, round(1_000_000 * s))))[F.col("lang")]
     drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1_000_000)) < bound)
-    counts = drawn.select("text", "lang").mapInArrow(_counted, "lang string, kind int, term string, n long").groupBy("lang", "kind", "term").agg(F.sum("n").alias("n"))
+    counts = drawn.select("text", "lang").mapInArrow(frugal(_counted), "lang string, kind int, term string, n long").groupBy("lang", "kind", "term").agg(F.sum("n").alias("n"))
     terms = counts.groupBy("kind", "term").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
     tables = []
     for kind, bound in ((0, WORDS), (1, GRAMS)):
@@ -162,12 +162,12 @@ def _predicted(model: Model):
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """Per row: doc_id, lang_pred, score. ``und`` with score 0 where the text is null or has no letter, or nothing was learned."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_predicted(model), "doc_id long, lang_pred string, score double")
+    return docs.mapInArrow(frugal(_predicted(model)), "doc_id long, lang_pred string, score double")
 
 
 def predict_rows(docs: DataFrame, model: Model) -> DataFrame:
     """``predict`` with whole rows: row (a struct of all columns of ``docs``), lang_pred, score."""
-    return whole_rows(docs, _predicted(model), "lang_pred string, score double")
+    return whole_rows(docs, frugal(_predicted(model)), "lang_pred string, score double")
 
 
 def identify(docs: DataFrame, divisor: int = 4, held_out: int = 2) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.shared import stored
-from ledgerloom.llm.words import WordTokenizer, slices
+from ledgerloom.llm.words import WordTokenizer, give_back, slices
 
 CAPACITY = 4096
 GRAIN = 256
@@ -108,6 +108,7 @@ def _cut(tokenizer: str, end_id: int, capacity: int, grain: int, with_ids: bool)
                     columns.append(pa.array([p.tobytes() for p in pieces], pa.binary()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+        give_back()
 
     return run
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.jaccard import shingle_sets
 from ledgerloom.llm.shared import remainder, stored, whole_rows
-from ledgerloom.llm.words import Cached, Words, letters, slices, with_texts
+from ledgerloom.llm.words import Cached, Words, frugal, letters, slices, with_texts
 
 TOXIC_TEXTS, CLEAN_TEXTS = 6_000, 18_000  # about so many are learned from, drawn by a hash of the id
 POSITIVES, NEGATIVES = 3_000, 15_000  # words to train on
@@ -207,9 +207,9 @@ def train(texts: DataFrame) -> Model | None:
     drawn = texts.where(((F.col("toxic") == 1) & (draw < int(1e6 * shares[1]))) | ((F.col("toxic") == 0) & (draw < int(1e6 * shares[0]))))
     # Copies of a text would make all of its words stand out: one of them stays.
     parts = max(1, min(24, int((sizes.get(0, 0) * shares[0] + sizes.get(1, 0) * shares[1]) // 500)))
-    drawn = drawn.select("text", "toxic").mapInArrow(_keyed, "text string, toxic int, least long, most long")
+    drawn = drawn.select("text", "toxic").mapInArrow(frugal(_keyed), "text string, toxic int, least long, most long")
     drawn = stored(drawn.dropDuplicates(["toxic", "least"]).dropDuplicates(["toxic", "most"]).repartition(parts), "toxic-texts")
-    counts = drawn.mapInArrow(_counted, "word string, pos long, neg long").where("length(word) > 0")
+    counts = drawn.mapInArrow(frugal(_counted), "word string, pos long, neg long").where("length(word) > 0")
     counts = stored(counts.groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "toxic-words")
     kept = {r.toxic: r["count"] for r in drawn.groupBy("toxic").count().collect()}
     toxic, clean, n = kept.get(1, 0), kept.get(0, 0), counts.count()
@@ -236,7 +236,7 @@ def train(texts: DataFrame) -> Model | None:
         landmarks = list(dict.fromkeys([*positive[: LANDMARKS // 2], *hard[: LANDMARKS // 4], *chosen]))[:LANDMARKS]
         weights, bias = fit(positive, [*negative, *hard], landmarks)
         model = Model(weights.astype(np.float32), bias, 0.0, 6.0)
-        found = negatives.select("word").mapInPandas(_hard(model, -0.5), "word string, decision double")
+        found = negatives.select("word").mapInPandas(frugal(_hard(model, -0.5)), "word string, decision double")
         found = found.orderBy(F.desc("decision"), "word").limit(NEGATIVES // 10).toPandas()
         known = {*negative, *hard}
         new = [w for w in found["word"] if w not in known]
@@ -269,13 +269,13 @@ def _scored(model: Model | None):
 def score_texts(docs: DataFrame, model: Model | None) -> DataFrame:
     """Per row: doc_id, score (0 to 1), predicted (1 from THRESHOLD on). Without a model, or without letters, near or at 0."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = docs.mapInArrow(_scored(model), "doc_id long, score double")
+    found = docs.mapInArrow(frugal(_scored(model)), "doc_id long, score double")
     return found.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def score_rows(docs: DataFrame, model: Model | None) -> DataFrame:
     """``score_texts`` with whole rows: row (a struct of all columns of ``docs``), score, predicted."""
-    found = whole_rows(docs, _scored(model), "score double")
+    found = whole_rows(docs, frugal(_scored(model)), "score double")
     return found.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
