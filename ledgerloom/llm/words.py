@@ -13,13 +13,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 # Letters with punctuation behind them, which tokenizers' patterns split; an apostrophe may begin a suffix.
 SPLIT = r"^(?P<core>\p{L}+)(?P<tail>[.,;:!?]*)$"
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive pieces of ``batch`` with at most ``most`` bytes of text each, or a single longer row."""
+    """Consecutive pieces of ``batch`` with at most ``most`` bytes of text each, or a single longer row.
+
+    What the work on a piece took and has freed is given back before the next one.
+    """
     if not batch.num_rows:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -28,6 +31,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         done = ends[start - 1] if start else 0
         end = max(start + 1, int(np.searchsorted(ends, done + most, side="right")))
         yield batch.slice(start, end - start)
+        give_back()
         start = end
 
 
