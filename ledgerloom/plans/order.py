@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.plans.cuts import cuts_upto
 from ledgerloom.plans.lineage import materialize
 
 
@@ -32,7 +33,7 @@ def _quantiled(groups: DataFrame, value: str) -> DataFrame:
         return groups.withColumn("_slice", F.when(F.col(value).isNull(), 1).otherwise(0))
     shares = [i / slices for i in range(1, slices)]
     bounds = groups.agg(F.percentile_approx(value, shares, max(10_000, 20 * slices)).alias("b")).scalar()
-    larger = F.size(F.filter("_bounds", lambda bound: bound > F.col(value)))
+    larger = F.size("_bounds") - cuts_upto(F.col("_bounds"), F.col(value), slices - 1)
     return (
         groups.withColumn("_bounds", bounds)
         .withColumn("_slice", F.when(F.col(value).isNull(), slices).otherwise(larger))

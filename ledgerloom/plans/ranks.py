@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.plans.cuts import cuts_upto
 from ledgerloom.plans.timeline import slices_of
 
 
@@ -33,9 +34,9 @@ def ranked(df: DataFrame, value: str, key: str, slices: int | None = None) -> Da
         ids = df.select(_leading_bytes(df, key).alias("k"))
         marks = ids.agg(F.percentile_approx("k", shares, accuracy).alias("k")).scalar()
         placed = df.withColumn("_cuts", cuts).withColumn("_marks", marks).withColumn("_v", -F.col(value).cast("double")).withColumn("_k", _leading_bytes(df, key))
-        below = F.size(F.filter("_cuts.v", lambda c: c < F.col("_v")))
-        upto = F.size(F.filter("_cuts.v", lambda c: c <= F.col("_v")))
-        share = F.size(F.filter("_marks", lambda c: c <= F.col("_k"))) / F.lit(float(n))
+        below = cuts_upto(F.col("_cuts.v"), F.col("_v"), n - 1, strict=True)
+        upto = cuts_upto(F.col("_cuts.v"), F.col("_v"), n - 1)
+        share = cuts_upto(F.col("_marks"), F.col("_k"), n - 1) / F.lit(float(n))
         spread = F.when(F.col("_v").isNull(), F.lit(n) + F.floor(share * n)).when(
             upto > below, below + F.least(F.floor(share * (upto - below + 1)), upto - below)
         ).otherwise(below)
@@ -79,7 +80,7 @@ def quantiles_by(df: DataFrame, by: list[str], value: str, shares: list[float],
     counts = known.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
     if n > 1:
         cuts = known.agg(F.percentile_approx(F.col(value).cast("double"), [i / n for i in range(1, n)], max(10_000, 20 * n)).alias("c")).scalar()
-        counts = counts.withColumn("_cuts", cuts).withColumn("_slice", F.size(F.filter("_cuts", lambda c: c <= F.col(value).cast("double")))).drop("_cuts")
+        counts = counts.withColumn("_cuts", cuts).withColumn("_slice", cuts_upto(F.col("_cuts"), F.col(value).cast("double"), n - 1)).drop("_cuts")
     else:
         counts = counts.withColumn("_slice", F.lit(0))
     sizes = counts.groupBy(*by, "_slice").agg(F.sum("_n").alias("_size"))
