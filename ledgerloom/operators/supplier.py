@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import half_even, level, money, quotient, zero_if_null
 from ledgerloom.plans.absent import best_absent
-from ledgerloom.plans.lineage import materialize
-from ledgerloom.plans.paths import all_uses
+from ledgerloom.plans.lineage import materialize, stored
+from ledgerloom.plans.paths import reached
 from ledgerloom.plans.totals import total
 from ledgerloom.sources.graph import supplier_vertices, supply_edges, with_supplier
 from ledgerloom.tables import Tables
@@ -210,11 +210,12 @@ def ripple_with_finished_goods(
 def ripple_all_levels(t: Tables, bom: DataFrame) -> DataFrame:
     """Per supplier: products it supplies, everything those go into through all levels of ``bom`` (component_id,
     finished_id, quantity), and the revenue of all of them."""
-    edges = supply_edges(t)
-    above = all_uses(bom).select(F.col("component_id").alias("product_id"), "finished_id")
-    finished = edges.join(above, "product_id").select("supplier_id", F.col("finished_id").alias("product_id"))
-    touched = edges.withColumn("_own", F.lit(1)).unionByName(finished.withColumn("_own", F.lit(0)))
-    touched = touched.groupBy("supplier_id", "product_id").agg(F.max("_own").alias("_own"))
+    edges = stored(supply_edges(t))
+    touched = edges.withColumn("_own", F.lit(1))
+    for level in reached(edges, "supplier_id", bom):
+        touched = touched.unionByName(level.withColumn("_own", F.lit(0)))
+    # Dealt out by product alone, which the join below needs too: a product has at most its suppliers' rows per level.
+    touched = touched.repartition("product_id").groupBy("supplier_id", "product_id").agg(F.max("_own").alias("_own"))
     revenue = t["sales_transactions"].groupBy("product_id").agg(F.sum("total_revenue").alias("revenue"))
     found = touched.join(revenue, "product_id", "left").groupBy("supplier_id").agg(
         F.sum("_own").alias("supplied"), F.count(F.lit(1)).alias("impacted"), F.sum("revenue").alias("_revenue")
