@@ -46,7 +46,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all kept documents in windows of at most 4096 tokens."""
-    return pack(docs, public_tokenizers.path(WORD_TOKENIZER), end_id=2)
+    # Workers and heap come from the stages before with what those left in them, so each worker takes less text at a time.
+    return pack(docs, public_tokenizers.path(WORD_TOKENIZER), end_id=2, text_bytes=1 << 20)
 
 
 STAGES = [("languages", languages), ("toxic", toxic), ("near_duplicates", near_duplicates), ("packing", packing)]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.shared import stored
-from ledgerloom.llm.words import WordTokenizer, give_back, slices
+from ledgerloom.llm.words import SLICE_BYTES, WordTokenizer, give_back, slices
 
 CAPACITY = 4096
 GRAIN = 256
@@ -85,11 +85,12 @@ def windows(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def _cut(tokenizer: str, end_id: int, capacity: int, grain: int, with_ids: bool):
+def _cut(tokenizer: str, end_id: int, capacity: int, grain: int, with_ids: bool, text_bytes: int = SLICE_BYTES):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         coder = WordTokenizer.open(tokenizer)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=text_bytes):
                 bounds, ids = coder.encode(part.column("text"))
                 ids = np.insert(ids, bounds[1:], end_id).astype("<u4")
                 bounds = bounds + np.arange(len(bounds))
@@ -121,17 +122,18 @@ def pack(
     grain: int = GRAIN,
     windows_per_group: int = WINDOWS,
     with_ids: bool = False,
+    text_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ``ids`` if asked for.
 
     A null or empty text is one piece with the end id. Rows with equal or null ids are packed like any others. Every
     group is bounded whatever the ids are, as it is drawn by position, not by id; only pieces' digests (or their ids,
-    if asked for) are shuffled.
+    if asked for) are shuffled. A worker codes ``text_bytes`` of text at a time: fewer take less memory and more time.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = _PIECES + (", ids binary" if with_ids else "")
     pieces = stored(
-        docs.mapInArrow(_cut(tokenizer, end_id, capacity, grain, with_ids), schema).withColumn("_row", F.monotonically_increasing_id()),
+        docs.mapInArrow(_cut(tokenizer, end_id, capacity, grain, with_ids, text_bytes), schema).withColumn("_row", F.monotonically_increasing_id()),
         "pieces",
     )
     whole, rest = pieces.where(F.col("length") == capacity), pieces.where(F.col("length") < capacity)
