@@ -16,12 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import components
-from ledgerloom.llm.shared import drop, stored, width
+from ledgerloom.llm.shared import drop, shuffles_freed, stored, width
 from ledgerloom.llm.words import Words, frugal, mix, slices
 
 FREQUENT = 16  # shingles in fewer documents are ordered by hash alone
@@ -134,7 +135,8 @@ def frequent_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
     n = width(docs.sparkSession)
     found = docs.select("text").mapInArrow(frugal(_counted(words, n)), "part int, planes binary, more binary")
     found = found.repartitionById(n, F.floor(F.col("part") / PARTS).cast("int")).sortWithinPartitions("part")
-    found = found.mapInArrow(frugal(_frequent), "value long, df long").orderBy(F.desc("df"), "value").limit(LISTED).toPandas()
+    with shuffles_freed(docs.sparkSession):
+        found = found.mapInArrow(frugal(_frequent), "value long, df long").orderBy(F.desc("df"), "value").limit(LISTED).toPandas()
     found = found.sort_values("value")
     return found["value"].to_numpy(np.uint64), found["df"].to_numpy(np.float64)
 
@@ -218,7 +220,8 @@ _KINDS = (np.uint64, np.int64, np.int32, np.int32, np.int32)
 
 
 def _posted(ranges: int):
-    """Prefixes to lists: entries of frequent shingles as rows, those of others in blocks by range of their hash."""
+    """Prefixes to lists: entries of frequent shingles as rows, those of others in blocks by range of their hash. The rows
+    are dealt over the ranges by shingle and node, so the longest list goes to all of them."""
 
     def block(held: list[tuple]) -> tuple[np.ndarray, ...]:
         return tuple(np.concatenate(x) for x in zip(*held, strict=True)) if held else tuple(np.zeros(0, k) for k in _KINDS)
@@ -231,8 +234,9 @@ def _posted(ranges: int):
         blocks = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         rows = block(heavy)
         ours, theirs = len(blocks), len(rows[0])
+        dealt = (mix(rows[0] ^ rows[1].view(np.uint64)) % np.uint64(ranges)).astype(np.int32)
         arrays = [
-            pa.concat_arrays([pa.array(owner), pa.nulls(theirs, pa.int32())]),
+            pa.concat_arrays([pa.array(owner), pa.array(dealt)]),
             pa.concat_arrays([pa.array(blocks, pa.binary()), pa.nulls(theirs, pa.binary())]),
         ]
         for c, kind in zip(rows, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True):
@@ -259,10 +263,13 @@ def _posted(ranges: int):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries of shingles that stand in two prefixes at least."""
+    """Entries of shingles that stand in two prefixes at least; those of frequent ones as they come."""
     held: list[list[np.ndarray]] = [[] for _ in _KINDS]
     for batch in batches:
-        for block in batch.column("block").to_pylist():
+        rows = batch.filter(pc.is_null(batch.column("block")))
+        if rows.num_rows:
+            yield rows.select(["token", "node", "n", "m", "pos"])
+        for block in batch.column("block").drop_null().to_pylist():
             n, at = len(block) // sum(np.dtype(k).itemsize for k in _KINDS), 0
             for column, kind in zip(held, _KINDS, strict=True):
                 column.append(np.frombuffer(block, kind, n, at))
@@ -320,7 +327,10 @@ def _verified(pairs: DataFrame, single: DataFrame, docs: DataFrame, words: int,
     sets = stored(texts.mapInArrow(frugal(_sets(words)), "node long, tokens binary").dropDuplicates(["node"]), "sets")
     first = pairs.join(sets.selectExpr("node AS a", "tokens AS x"), "a")
     both = first.join(sets.selectExpr("node AS b", "tokens AS y"), "b").select("a", "b", "x", "y")
-    return stored(both.mapInArrow(frugal(_linked(percent)), "a long, b long"), "linked")
+    linked = stored(both.mapInArrow(frugal(_linked(percent)), "a long, b long"), "linked")
+    for done in (pairs, wanted, sets):
+        drop(done)
+    return linked
 
 
 def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
@@ -341,10 +351,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
 
     n = width(spark)
     posted = single.select("node", "n", "m", "light", "prefix").mapInArrow(frugal(_posted(n)), f"range int, block binary, {_POSTING}")
-    posted = stored(posted, "posted")
-    light = posted.where("block IS NOT NULL").select("range", "block").repartitionById(n, F.col("range")).mapInArrow(frugal(_shared), _POSTING)
-    lists = stored(light.unionByName(posted.where("block IS NULL").select("token", "node", "n", "m", "pos")).distinct(), "lists")
-    drop(posted)
+    lists = stored(posted.repartitionById(n, F.col("range")).mapInArrow(frugal(_shared), _POSTING).distinct(), "lists")
 
     # Stars: every entry of a list against the one with the fewest rarer shingles.
     heads = lists.groupBy("token").agg(F.count("*").alias("entries"), F.min(F.struct("pos", "n", "node")).alias("head")).where("entries > 1")
@@ -375,6 +382,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
     pairs = pairs.groupBy("node", "node2").agg(F.count("*").alias("shared"), F.min(F.least("m", "m2")).alias("needed")).where("shared >= needed")
     pairs = pairs.selectExpr("least(node, node2) AS a", "greatest(node, node2) AS b").join(stars, ["a", "b"], "left_anti")
     bridges = _verified(pairs, single, docs, words, percent)
+    drop(lists), drop(stars)
     links = united.selectExpr("node AS a", "component AS b").unionByName(bridges)
     final = components(links, "final")
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,13 +28,30 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """A query made and run inside frees its shuffle files when it ends; otherwise they stay until the driver happens to
+    collect its garbage. A frame made inside should run once only: to run it again means to shuffle again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, name: str, group_bytes: int = 128 << 20) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: computed once, and safe when executors are lost.
 
-    A task holds ``group_bytes`` of rows before it writes them.
+    A task holds ``group_bytes`` of rows before it writes them. What the query shuffled is freed with its end.
     """
     path = new_path(df.sparkSession, name)
-    df.write.option("parquet.block.size", group_bytes).parquet(path)
+    with shuffles_freed(df.sparkSession):
+        df.write.option("parquet.block.size", group_bytes).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
