@@ -324,11 +324,13 @@ def _verified(pairs: DataFrame, single: DataFrame, docs: DataFrame, words: int,
     nodes = pairs.selectExpr("explode(array(a, b)) AS node").distinct()
     wanted = stored(single.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("first")), "wanted")
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["first"])).select("node", "text")
-    sets = stored(texts.mapInArrow(frugal(_sets(words)), "node long, tokens binary").dropDuplicates(["node"]), "sets")
+    # Repeated nodes go in the shuffle that the joins need anyway, when that of the texts has been freed.
+    written = stored(texts.mapInArrow(frugal(_sets(words)), "node long, tokens binary"), "sets")
+    sets = written.dropDuplicates(["node"])
     first = pairs.join(sets.selectExpr("node AS a", "tokens AS x"), "a")
     both = first.join(sets.selectExpr("node AS b", "tokens AS y"), "b").select("a", "b", "x", "y")
     linked = stored(both.mapInArrow(frugal(_linked(percent)), "a long, b long"), "linked")
-    for done in (pairs, wanted, sets):
+    for done in (pairs, wanted, written):
         drop(done)
     return linked
 

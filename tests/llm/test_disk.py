@@ -98,3 +98,14 @@ def test_frequent_entries_go_over_all_ranges_and_come_through():
             got += [tuple(x.values()) for x in out.to_pylist()]
     want = [(light, i, 9, 2, 0) for i in range(2)] + [(common, i, 9, 2, 1 if i < 3 else 0) for i in range(100)]
     assert sorted(got) == sorted(want)
+
+
+def test_rows_that_repeat_an_id_count_once(spark):
+    """Equal and different texts under one id, and without an id."""
+    rows = near_copies(spark).union(near_copies(spark).where("doc_id < 5 OR doc_id IS NULL")).collect()
+    rows += [(3, " ".join(f"w1x{i}" for i in range(60)))] + [(None, " ".join([*(f"w2x{i}" for i in range(59)), "end"]))] * 3
+    found = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=80).collect()
+    assert len(found) == len(rows)
+    assert {r.component_id for r in found if r.doc_id == 3} == {0, 3}
+    assert {r.component_id for r in found if r.doc_id is not None and 200 <= r.doc_id < 300} == {200}
+    assert [r.component_id for r in found if r.doc_id is None].count(200) == 3
