@@ -10,7 +10,7 @@ from ledgerloom.plans.absent import best_absent
 from ledgerloom.plans.lineage import materialize, stored
 from ledgerloom.plans.paths import reached
 from ledgerloom.plans.totals import total
-from ledgerloom.sources.graph import supplier_vertices, supply_edges, with_supplier
+from ledgerloom.sources.graph import ordered_pairs, supplier_vertices, supply_edges, with_supplier
 from ledgerloom.tables import Tables
 
 
@@ -209,18 +209,28 @@ def ripple_with_finished_goods(
 
 def ripple_all_levels(t: Tables, bom: DataFrame) -> DataFrame:
     """Per supplier: products it supplies, everything those go into through all levels of ``bom`` (component_id,
-    finished_id, quantity), and the revenue of all of them."""
-    edges = stored(supply_edges(t))
-    touched = edges.withColumn("_own", F.lit(1))
-    for level in reached(edges, "supplier_id", bom):
-        touched = touched.unionByName(level.withColumn("_own", F.lit(0)))
-    # Dealt out by product alone, which the join below needs too: a product has at most its suppliers' rows per level.
-    touched = touched.repartition("product_id").groupBy("supplier_id", "product_id").agg(F.max("_own").alias("_own"))
+    finished_id, quantity), and the revenue of all of them.
+
+    Suppliers are numbered in order of their ids, and a row stands for those of 64 numbers that reach a product, a bit for
+    each: the higher a level, the more suppliers share its products.
+    """
+    pairs = stored(ordered_pairs(t))  # what is ordered twice sets the same bit
+    numbers = pairs.select("supplier_id").distinct().orderBy("supplier_id")
+    numbers = stored(numbers.select("supplier_id", F.monotonically_increasing_id().alias("_number")))
+    block, bit = F.expr("_number >> 6").alias("_block"), F.expr("1L << CAST(_number & 63 AS INT)")
+    own = stored(pairs.join(numbers, "supplier_id").groupBy(block, "product_id").agg(F.bit_or(bit).alias("_bits")))
+    touched = own.withColumn("_own", F.col("_bits"))
+    for level in reached(own, "_block", bom, "_bits"):
+        touched = touched.unionByName(level.withColumn("_own", F.lit(0).cast("bigint")))
+    # Dealt out by product alone, which the join below needs too: a product has at most a row per block and level.
+    touched = touched.repartition("product_id").groupBy("_block", "product_id").agg(F.bit_or("_bits").alias("_bits"), F.bit_or("_own").alias("_own"))
     revenue = t["sales_transactions"].groupBy("product_id").agg(F.sum("total_revenue").alias("revenue"))
-    found = touched.join(revenue, "product_id", "left").groupBy("supplier_id").agg(
-        F.sum("_own").alias("supplied"), F.count(F.lit(1)).alias("impacted"), F.sum("revenue").alias("_revenue")
+    each = touched.join(revenue, "product_id", "left").withColumn("_bit", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    each = each.where("getbit(_bits, _bit) = 1").selectExpr("(_block << 6) + _bit AS _number", "getbit(_own, _bit) AS _own", "revenue")
+    found = each.groupBy("_number").agg(F.sum("_own").alias("supplied"), F.count(F.lit(1)).alias("impacted"), F.sum("revenue").alias("_revenue"))
+    return found.join(numbers, "_number").select(
+        "supplier_id", "supplied", "impacted", zero_if_null(money(F.col("_revenue"))).alias("revenue_at_risk")
     )
-    return found.select("supplier_id", "supplied", "impacted", zero_if_null(money(F.col("_revenue"))).alias("revenue_at_risk"))
 
 
 def ripple_with_finished_goods_lines(

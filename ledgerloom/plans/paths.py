@@ -55,20 +55,23 @@ def all_uses(bom: DataFrame) -> DataFrame:
     )
 
 
-def reached(starts: DataFrame, key: str, bom: DataFrame) -> list[DataFrame]:
+def reached(starts: DataFrame, key: str, bom: DataFrame, bits: str | None = None) -> list[DataFrame]:
     """For each level of ``bom`` the distinct (``key``, product_id) that the pairs of ``starts`` go into by that many uses;
     uses of ``cyclic_uses`` are left out.
 
     What several products of a key go into is followed once, so a level has at most keys times parts of that level, where
     pairing every start with everything above it would count each meeting path again. A level is written before the next.
+    Rows may stand for several keys: those of the bits set in the column ``bits``. What meets in a part is then united.
     """
     uses = bom.select("component_id", "finished_id").distinct()
     uses = materialize(uses.join(cyclic_uses(bom).hint("merge"), ["component_id", "finished_id"], "left_anti"))
     step = uses.select(F.col("component_id").alias("_at"), F.col("finished_id").alias("_next"))
-    levels, frontier = [], starts.select(key, "product_id")
+    carried = [] if bits is None else [bits]
+    levels, frontier = [], starts.select(key, "product_id", *carried)
     while True:
         up = frontier.join(step.hint("merge"), F.col("product_id") == F.col("_at"))
-        frontier = stored(up.select(key, F.col("_next").alias("product_id")).distinct())
+        up = up.select(key, F.col("_next").alias("product_id"), *carried)
+        frontier = stored(up.distinct() if bits is None else up.groupBy(key, "product_id").agg(F.bit_or(bits).alias(bits)))
         if frontier.isEmpty():
             return levels
         levels.append(frontier)

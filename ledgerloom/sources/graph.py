@@ -16,10 +16,14 @@ def _or_missing(df: DataFrame, column: str, type_: str) -> Column:
     return F.col(column) if column in df.columns else F.lit(None).cast(type_)
 
 
+def ordered_pairs(t: Tables) -> DataFrame:
+    """The (supplier_id, product_id) of all orders that name both, as often as they were ordered."""
+    return t["purchase_orders"].where(_filled("supplier_id") & _filled("product_id")).select("supplier_id", "product_id")
+
+
 def supply_edges(t: Tables) -> DataFrame:
     """Distinct (supplier_id, product_id) pairs that were ordered at least once."""
-    orders = t["purchase_orders"]
-    return orders.where(_filled("supplier_id") & _filled("product_id")).select("supplier_id", "product_id").distinct()
+    return ordered_pairs(t).distinct()
 
 
 def described_suppliers(t: Tables) -> DataFrame:

@@ -1,5 +1,8 @@
 """Everything that the products of a key go into, each level followed once per key."""
 
+import collections
+
+from ledgerloom.operators import supplier
 from ledgerloom.plans.paths import all_uses, reached
 
 
@@ -17,6 +20,37 @@ def test_levels_hold_each_pair_once(spark):
     assert reached(spark.createDataFrame(starts, "supplier_id string, product_id string"), "supplier_id", bom.limit(0)) == []
 
 
+def test_suppliers_that_share_parts_share_rows(spark, make, monkeypatch):
+    """A level has a row per part and block of suppliers, not one per part and supplier; the figures stay those of each supplier."""
+    orders = [(f"S{i:03}", f"p{(i + k) % 7}") for i in range(130) for k in range(1 + i % 3)] * 2 + [("alone", "end"), ("", "p1"), (None, "p1"), ("S001", None)]
+    uses = [(f"p{i}", f"q{j}") for i in range(6) for j in range(3)] + [(f"q{j}", "top") for j in range(3)]
+    uses += [("top", "end"), ("p0", "end"), ("x", "y"), ("y", "x"), ("p2", "x"), ("p3", None), ("q1", "p6")]
+    price = {"p0": 1.5, "p6": 2.25, "q1": 4, "top": 8, "x": 16, "far": 32}
+    t = make(
+        purchase_orders=[{"supplier_id": s, "product_id": p} for s, p in orders],
+        sales_transactions=[{"product_id": p, "total_revenue": v} for p, v in price.items() for _ in range(2)],
+    )
+    counts, real = [], supplier.reached
+
+    def counted(*args, **kwargs):
+        levels = real(*args, **kwargs)
+        counts.extend(level.count() for level in levels)
+        return levels
+
+    monkeypatch.setattr(supplier, "reached", counted)
+    bom = spark.createDataFrame([(a, b, 1) for a, b in uses], "component_id string, finished_id string, quantity int")
+    found = {r.supplier_id: (r.supplied, r.impacted, r.revenue_at_risk) for r in supplier.ripple_all_levels(t, bom).collect()}
+    above, want = collections.defaultdict(set), collections.defaultdict(set)
+    for r in all_uses(bom).collect():
+        above[r.component_id].add(r.finished_id)
+    own = {(s, p) for s, p in orders if s and p}
+    for s, p in own:
+        want[s] |= {p} | above[p]
+    assert found == {s: (sum(x == s for x, _ in own), len(ps), 2 * sum(price.get(p, 0) for p in ps)) for s, ps in want.items()}
+    # 131 suppliers are three blocks where one task numbers them; each of at most four tasks may begin one more.
+    assert counts and all(n <= 7 * 6 for n in counts), counts
+
+
 def test_small_sides_are_not_sent_through_the_driver(spark):
     """A level joins without a broadcast, however small a side is."""
     bom = spark.createDataFrame([("a", "b", 2), ("b", "c", 3)], "component_id string, finished_id string, quantity int")
