@@ -3,7 +3,10 @@
 Equal vectors are one node. A tree halves a bounded sample of nodes again and again at the median of a random projection;
 what lies near the cut goes to both sides, so that neighbours across a cut still meet. All nodes descend all trees and are
 compared within leaves by cosine in double precision; what verifies is united. A pair that meets in several leaves is
-counted in the first of them only, so links are counted without writing pairs down.
+counted in the first of them only, so links are counted without writing pairs down. Leaves below one inner node go to a task
+together, as a node lies in many more leaves than such buckets.
+
+A worker holds a bounded piece of what it makes of its rows: products of vectors, copies for buckets, pairs that link.
 
 Dense groups need no comparisons. Nodes within half the linking angle of a sampled pivot all link with each other; such
 balls are kept when they are large. A node links with all of a ball, or none, when its angle to the pivot says so for
@@ -35,6 +38,9 @@ SAMPLE = 30_000  # nodes that the trees are fitted on
 PIVOTS = 2048  # sampled nodes that balls form around
 LEAST_BALL = 64  # nodes in a ball, or left within the linking angle of a pivot that becomes the centre of a wide one
 BLOCK = 1024  # least nodes in a slice of a ball; slices grow from 64 of them on
+BUCKET = 16_384  # nodes of the most frequent label in the leaves that are compared together, as the sample has it
+CELLS = 1 << 21  # numbers in a product of vectors
+ROWS = 4096  # rows handed on at once
 
 
 def _unit(rows: list[bytes], dim: int) -> np.ndarray:
@@ -67,6 +73,13 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _products(rows: list[bytes], dim: int, p: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """The cosines of vectors and unit vectors ``p``, a piece of the rows at a time."""
+    step = max(1, CELLS // max(1, len(p)))
+    for at in range(0, len(rows), step):
+        yield slice(at, at + step), _unit(rows[at : at + step], dim) @ p.T
+
+
 def _near_pivots(pivots: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]], half: float):
     """Adds to nodes the pivot (a number, or -1) within ``half`` that is nearest, and the angle to it."""
 
@@ -76,11 +89,12 @@ def _near_pivots(pivots: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]], h
             for key, rows in frame.groupby(["label", "dim"]).indices.items():
                 if key in pivots:
                     numbers, p = pivots[key]
-                    angles = np.arccos(np.clip(_unit(frame["v"].iloc[rows].tolist(), key[1]) @ p.T, -1, 1))
-                    best = angles.argmin(axis=1)
-                    least = angles[np.arange(len(rows)), best]
-                    frame.iloc[rows, frame.columns.get_loc("ball")] = np.where(least <= half, numbers[best], -1).astype(np.int32)
-                    frame.iloc[rows, frame.columns.get_loc("angle")] = least
+                    for piece, cosines in _products(frame["v"].iloc[rows].tolist(), key[1], p):
+                        angles = np.arccos(np.clip(cosines, -1, 1))
+                        best = angles.argmin(axis=1)
+                        least = angles[np.arange(len(best)), best]
+                        frame.iloc[rows[piece], frame.columns.get_loc("ball")] = np.where(least <= half, numbers[best], -1).astype(np.int32)
+                        frame.iloc[rows[piece], frame.columns.get_loc("angle")] = least
             yield frame[["node", "label", "dim", "v", "m", "ball", "angle"]]
 
     return run
@@ -99,13 +113,16 @@ def _against_balls(balls: pd.DataFrame, pivots: dict, whole: float):
                 if not len(own):
                     continue
                 p = p[np.searchsorted(numbers, own["ball"].to_numpy())]
-                angles = np.arccos(np.clip(_unit(frame["v"].iloc[rows].tolist(), key[1]) @ p.T, -1, 1))
-                radius, ball, mine = own["radius"].to_numpy(), own["ball"].to_numpy(), frame["ball"].to_numpy()[rows]
-                may = (angles - radius <= whole + 1e-9) & ((mine[:, None] < 0) | (ball[None, :] < mine[:, None]))
-                i, j = np.nonzero(may)
-                surely = angles[i, j] + radius[j] <= whole - 1e-9
-                some = frame.iloc[rows[i]]
-                yield pd.DataFrame({"node": some["node"].to_numpy(), "m": some["m"].to_numpy(), "v": some["v"].to_numpy(), "ball": ball[j], "surely": surely})
+                radius, ball, own_ball = own["radius"].to_numpy(), own["ball"].to_numpy(), frame["ball"].to_numpy()[rows]
+                for piece, cosines in _products(frame["v"].iloc[rows].tolist(), key[1], p):
+                    angles, mine = np.arccos(np.clip(cosines, -1, 1)), own_ball[piece]
+                    may = (angles - radius <= whole + 1e-9) & ((mine[:, None] < 0) | (ball[None, :] < mine[:, None]))
+                    met = np.nonzero(may)
+                    for at in range(0, len(met[0]), ROWS):
+                        i, j = met[0][at : at + ROWS], met[1][at : at + ROWS]
+                        surely = angles[i, j] + radius[j] <= whole - 1e-9
+                        some = frame.iloc[rows[piece][i]]
+                        yield pd.DataFrame({"node": some["node"].to_numpy(), "m": some["m"].to_numpy(), "v": some["v"].to_numpy(), "ball": ball[j], "surely": surely})
 
     return run
 
@@ -118,9 +135,11 @@ def _left(pivots: dict, leaders: set[int], cosine: float):
             for key, rows in frame.groupby(["label", "dim"]).indices.items():
                 if key in pivots:
                     numbers, p = pivots[key]
-                    near = _unit(frame["v"].iloc[rows].tolist(), key[1]) @ p.T >= cosine
-                    near = near[~near[:, [n in leaders for n in numbers.tolist()]].any(axis=1)]
-                    yield pd.DataFrame({"ball": numbers, "n": near.sum(axis=0)})
+                    led, n = np.array([n in leaders for n in numbers.tolist()]), np.zeros(len(numbers), np.int64)
+                    for _, cosines in _products(frame["v"].iloc[rows].tolist(), key[1], p):
+                        near = cosines >= cosine
+                        n += near[~near[:, led].any(axis=1)].sum(axis=0)
+                    yield pd.DataFrame({"ball": numbers, "n": n})
 
     return run
 
@@ -166,8 +185,9 @@ def _met(least: float):
         dim = len(members["v"].iloc[0]) // 8
         x, m = _unit(members["v"].tolist(), dim), members["m"].to_numpy()
         root, gain, place = np.arange(n + more), np.zeros(n + more, np.int64), 0 if itself else n
-        for at in range(0, len(others), BLOCK):
-            some = others.iloc[at : at + BLOCK]
+        step = max(1, CELLS // n)
+        for at in range(0, len(others), step):
+            some = others.iloc[at : at + step]
             near = _unit(some["v"].tolist(), dim) @ x.T >= least
             own = place + at + np.arange(len(some))
             if itself:
@@ -216,65 +236,102 @@ def leaves(tree: list | None, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
 
 
+def buckets(tree: list | None, x: np.ndarray, kinds: np.ndarray, most: float) -> np.ndarray:
+    """For each leaf number the number of its bucket: the widest part of the tree around it in which no kind has more than
+    ``most`` rows of the sample ``x``, or the leaf alone."""
+    out, todo, number = [], [(tree, np.arange(len(x)), None)], 0
+    while todo:
+        node, rows, bucket = todo.pop()
+        if bucket is None and (node is None or np.bincount(kinds[rows], minlength=1).max() <= most):
+            bucket, number, rows = number, number + 1, rows[:0]
+        if node is None:
+            out.append(bucket)
+            continue
+        at = x[rows] @ node[0]
+        todo += [(node[3], rows[at <= node[2]], bucket), (node[4], rows[at >= node[1]], bucket)]
+    return np.array(out)
+
+
 def _descended(trees: dict[int, list]):
-    """One row per node, tree and leaf, with all leaves of the node."""
+    """One row per node and bucket, with the node's leaves up to the last of the bucket; ``own`` of them are in the bucket.
+
+    ``trees`` has pairs of a tree and its buckets. Leaves and buckets are numbered through all trees.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             for dim, rows in frame.groupby("dim").indices.items():
                 some = frame.iloc[rows]
                 x = _unit(some["v"].tolist(), int(dim))
-                found = [leaves(tree, x) for tree in trees.get(int(dim), [None])]
+                grown = trees.get(int(dim), [(None, np.zeros(1, np.int64))])
+                first = np.cumsum([0] + [len(of) for _, of in grown])
+                of = np.concatenate([own + at for (_, own), at in zip(grown, first, strict=False)])
+                found = [leaves(tree, x) for tree, _ in grown]
                 row = np.concatenate([r for r, _ in found])
-                leaf = np.concatenate([(t << 32) + number for t, (_, number) in enumerate(found)])
+                leaf = np.concatenate([number + at for (_, number), at in zip(found, first, strict=False)]).astype(np.int32)
                 order = np.lexsort((leaf, row))
-                row, leaf = row[order], leaf[order].astype(np.int64)
-                ends = np.searchsorted(row, np.arange(len(x) + 1))
-                all_ = [leaf[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                out = some.iloc[row][["label", "dim", "node", "m", "v"]].copy()
-                out["leaf"], out["leaves"] = leaf, [all_[i] for i in row]
-                yield out
+                row, leaf = row[order], leaf[order]
+                starts, bucket = np.searchsorted(row, np.arange(len(x))), of[leaf]
+                new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1])]))
+                ends = np.append(new[1:], len(row))
+                for at in range(0, len(new), ROWS):
+                    begin, end = new[at : at + ROWS], ends[at : at + ROWS]
+                    out = some.iloc[row[begin]][["label", "dim", "node", "m", "v"]].copy()
+                    out["bucket"], out["own"] = bucket[begin], (end - begin).astype(np.int32)
+                    out["leaves"] = [leaf[a:b].tobytes() for a, b in zip(starts[row[begin]], end, strict=True)]
+                    yield out
 
     return run
 
 
+def _met_before(lists: list[np.ndarray], leaf: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the ascending lists ``i`` and ``j`` have a value below ``leaf`` in common, for each pair of them."""
+    seen = np.zeros(len(lists), np.int64)
+    seen[i] = seen[j] = 1
+    place, used = np.cumsum(seen) - 1, np.flatnonzero(seen)
+    i, j = place[i], place[j]
+    lists = [lists[u][: np.searchsorted(lists[u], leaf)] for u in used.tolist()]
+    _, column, times = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    shared = np.cumsum(times > 1) - 1  # places of values that two lists or more have
+    kept = times[column] > 1
+    owner, column = np.repeat(np.arange(len(used)), [len(x) for x in lists])[kept], shared[column[kept]]
+    met, words = np.zeros(len(i), bool), max(1, CELLS // len(used))
+    for low in range(0, int(column.max(initial=-1)) + 1, 64 * words):
+        now = (column >= low) & (column < low + 64 * words)
+        at = column[now] - low
+        bits = np.zeros((len(used), int(at.max(initial=0)) // 64 + 1), np.uint64)
+        np.bitwise_or.at(bits, (owner[now], at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
+        step = max(1, CELLS // bits.shape[1])
+        for begin in range(0, len(i), step):
+            piece = slice(begin, begin + step)
+            met[piece] |= (bits[i[piece]] & bits[j[piece]]).any(axis=1)
+    return met
+
+
 def _compared(least: float):
-    """Links within a leaf, without the pairs that met in an earlier leaf; b: the smallest node reachable in the leaf."""
+    """Links within the leaves of a bucket, without the pairs that met in an earlier leaf; b: the smallest node reachable there."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("node", ignore_index=True)
-        n, leaf = len(frame), int(frame["leaf"].iloc[0])
+        n = len(frame)
         x, m, nodes = _unit(frame["v"].tolist(), int(frame["dim"].iloc[0])), frame["m"].to_numpy(), frame["node"].to_numpy()
-        lists = [np.frombuffer(b, np.int64) for b in frame["leaves"]]
-        earlier = np.full((n, max(map(len, lists))), -1, np.int64)
-        for i, own in enumerate(lists):
-            own = own[own < leaf]
-            earlier[i, : len(own)] = own
+        lists, own = [np.frombuffer(b, np.int32) for b in frame["leaves"]], frame["own"].to_numpy()
+        leaf, member = np.concatenate([a[-k:] for a, k in zip(lists, own, strict=True)]), np.repeat(np.arange(n), own)
+        order = np.argsort(leaf, kind="stable")
+        leaf, member = leaf[order], member[order]
         root, gain = np.arange(n), np.zeros(n, np.int64)
-        links: list[tuple[np.ndarray, np.ndarray]] = []
-        for at in range(0, n, BLOCK):
-            i, j = np.nonzero(x[at : at + BLOCK] @ x.T >= least)
-            i = i + at
-            i, j = i[i < j], j[i < j]
-            if not len(i):
-                continue
-            met = np.zeros(len(i), bool)
-            for k in range(earlier.shape[1]):
-                own = earlier[i, k]
-                met |= (own >= 0) & (earlier[j] == own[:, None]).any(axis=1)
-            np.add.at(gain, i[~met], m[j[~met]])
-            np.add.at(gain, j[~met], m[i[~met]])
-            links.append((i, j))
-        if links:
-            i, j = np.concatenate([a for a, _ in links]), np.concatenate([b for _, b in links])
-            while True:
-                low = np.minimum(root[i], root[j])
-                before = root.copy()
-                np.minimum.at(root, i, low)
-                np.minimum.at(root, j, low)
-                root = root[root]
-                if (root == before).all():
-                    break
+        for at in np.split(np.arange(len(leaf)), np.flatnonzero(np.diff(leaf)) + 1):
+            members, number = member[at], leaf[at[0]]
+            y, step = x[members], max(1, CELLS // 8 // len(members))  # all may link
+            for begin in range(0, len(members), step):
+                i, j = np.nonzero(y[begin : begin + step] @ y[begin:].T >= least)
+                i, j = members[begin + i[i < j]], members[begin + j[i < j]]
+                if not len(i):
+                    continue
+                met = _met_before(lists, number, i, j)
+                np.add.at(gain, i[~met], m[j[~met]])
+                np.add.at(gain, j[~met], m[i[~met]])
+                root = _united(root, i, j)
         kept = (gain > 0) | (root != np.arange(n))
         return pd.DataFrame({"a": nodes[kept], "links": gain[kept], "b": nodes[root[kept]]})
 
@@ -359,15 +416,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, trees: int = TREES
         pairs = pairs.unionByName(pair(between, "explode(sequence(0, slices - 1)) AS one", "slices + at AS other", 1))
         parts.append(pairs.groupBy("ball", "one", "other").applyInPandas(_met(cosine), result))
 
-    most = sparse.groupBy("label", "dim").count().agg(F.max("count").alias("n")).first().n or 0
-    depth = max(0, int(np.ceil(np.log2(max(1, most) / LEAF) / np.log2(2 / (1 + 2 * SPILL)))))
-    drawn = sparse.orderBy(F.xxhash64("node", F.lit(1)), "node").limit(sample).select("dim", "v").toPandas()
+    left = sparse.groupBy("label", "dim").count().agg(F.max("count").alias("most"), F.sum("count").alias("nodes")).first()
+    depth = max(0, int(np.ceil(np.log2(max(1, left.most or 0) / LEAF) / np.log2(2 / (1 + 2 * SPILL)))))
+    drawn = sparse.orderBy(F.xxhash64("node", F.lit(1)), "node").limit(sample).select("label", "dim", "v").toPandas()
     forest = {}
     for dim, at in drawn.groupby("dim").indices.items():
-        x = _unit(drawn["v"].iloc[at].tolist(), int(dim))
-        forest[int(dim)] = [fit(x, depth, 1_000_003 * (t + 1)) for t in range(trees)]
-    fallen = sparse.mapInPandas(_descended(forest), "label string, dim int, node long, m long, v binary, leaf long, leaves binary")
-    parts.append(fallen.groupBy("label", "dim", "leaf").applyInPandas(_compared(cosine), result))
+        x, kinds = _unit(drawn["v"].iloc[at].tolist(), int(dim)), pd.factorize(drawn["label"].iloc[at])[0]
+        grown = [fit(x, depth, 1_000_003 * (t + 1)) for t in range(trees if depth else 1)]
+        forest[int(dim)] = [(tree, buckets(tree, x, kinds, BUCKET * len(drawn) / left.nodes)) for tree in grown]
+    fallen = sparse.mapInPandas(_descended(forest), "label string, dim int, node long, m long, v binary, bucket long, own int, leaves binary")
+    parts.append(fallen.groupBy("label", "dim", "bucket").applyInPandas(_compared(cosine), result))
 
     found = parts[0]
     for part in parts[1:]:
